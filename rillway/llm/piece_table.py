@@ -14,11 +14,12 @@ back by position. The table is dropped and begun anew when it holds ``MAX_ENTRIE
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 MARK = "▁"
-MAX_ENTRIES, MAX_IDS = 300_000, 8_000_000
+MAX_ENTRIES, MAX_IDS = 400_000, 8_000_000
 _CHUNKS = re.compile(r" +[^ ]*")
 _CACHE: dict = {}
 
@@ -46,6 +47,11 @@ class PieceTable:
     def __init__(self, processor):
         self.processor = processor
         self.safe = marker_safe(processor)
+        size = processor.get_piece_size()
+        self.opens = np.array([processor.id_to_piece(i).startswith(MARK) for i in range(size)])
+        self.lone = processor.piece_to_id(MARK)
+        texts = {i: processor.id_to_piece(i).replace(MARK, " ") for i in range(size)}
+        self.surface = {i: x for i, x in texts.items() if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))}
         self.single = self._whole_tokens() if self.safe else {}
         self.reset()
 
@@ -56,53 +62,64 @@ class PieceTable:
         return {w.replace(MARK, " "): 1 for w, ids in zip(words, alone, strict=True) if len(ids) == 1}
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.decoded: list[str] = []
+        self.table: dict[str, tuple[bytes, str]] = {}
         self.held = 0
         self.counts: dict[str, int] = dict(self.single)
 
     def chunks(self, text: str) -> list[str]:
-        marked = " " + text.replace(MARK, " ")
-        return _CHUNKS.findall(marked) if self.safe else [marked]
-
-    def _places(self, text: str) -> np.ndarray:
-        words = self.chunks(text)
-        index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            # Without the proof an entry is the whole text as it came, markers included.
-            for w, ids in zip(new, self.processor.encode([w[1:] for w in new] if self.safe else [text], num_threads=1), strict=True):
-                index[w] = len(self.ids)
-                self.ids.append(np.array(ids, dtype=np.int32))
-                self.decoded.append(self.processor.decode(ids))
-                self.held += len(ids)
-        return [index[w] for w in words]
+        """Marked words in order, with spaces for markers; the first has the marker that every text gets."""
+        return _CHUNKS.findall(" " + text.replace(MARK, " "))
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
+        """The ids of distinct marked words. Words with one marker are segmented in one string:
+        a piece that opens with a marker then begins the next word."""
+        plain = [w for w in words if len(w) > 1 and w[1] != " "]
+        found: dict[str, list[int]] = {}
+        if plain:
+            ids = self.processor.encode("".join(plain)[1:])
+            at = np.flatnonzero(self.opens[ids]).tolist()
+            found = dict(zip(plain, [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)], strict=True))
+        if len(found) < len(words):
+            for w in words:
+                if w not in found:
+                    # A marker alone, at a text's end: the library gives no ids for an empty text.
+                    found[w] = [self.lone] if w == " " else self.processor.encode(w[1:])
+        return [found[w] for w in words]
+
+    def decode(self, ids: list[int]) -> str:
+        """The library's decode(ids), whose text is that of the pieces unless bytes are among them."""
+        surface = self.surface
+        try:
+            return "".join([surface[i] for i in ids])[1:] if ids and self.opens[ids[0]] else self.processor.decode(ids)
+        except KeyError:
+            return self.processor.decode(ids)
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """All ids of a text, and the text that they decode to."""
         if not text:
             return np.empty(0, dtype=np.int32), ""
-        if len(self.index) > MAX_ENTRIES or self.held > MAX_IDS:
+        if not self.safe:
+            ids = self.processor.encode(text)
+            return np.array(ids, dtype=np.int32), self.processor.decode(ids)
+        if len(self.table) > MAX_ENTRIES or self.held > MAX_IDS:
             self.reset()
-        at = self._places(text)
-        ids, decoded = self.ids, self.decoded
-        return np.concatenate([ids[i] for i in at]), " ".join([decoded[i] for i in at])
+        words, table = self.chunks(text), self.table
+        if new := [w for w in dict.fromkeys(words) if w not in table]:
+            for w, ids in zip(new, self._segment(new), strict=True):
+                table[w] = array("i", ids).tobytes(), self.decode(ids)
+                self.held += len(ids)
+        got = [table[w] for w in words]
+        return np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32), " ".join([g[1] for g in got])
 
     def count(self, text: str) -> int:
         """Number of ids: whole tokens count one each, only other words are merged."""
         if not text:
             return 0
         if not self.safe:
-            return len(self.processor.encode(text, num_threads=1))
-        counts = self.counts
-        if len(counts) > MAX_ENTRIES + len(self.single):
-            counts = self.counts = dict(self.single)
-        words = self.chunks(text)
-        try:
-            return sum(map(counts.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in counts]
-            for w, ids in zip(new, self.processor.encode([w[1:] for w in new], num_threads=1), strict=True):
-                counts[w] = len(ids)
-            return sum(map(counts.__getitem__, words))
+            return len(self.processor.encode(text))
+        if len(self.counts) > MAX_ENTRIES + len(self.single):
+            self.counts = dict(self.single)
+        counts, words = self.counts, self.chunks(text)
+        if new := [w for w in dict.fromkeys(words) if w not in counts]:
+            counts.update(zip(new, map(len, self._segment(new)), strict=True))
+        return sum(map(counts.__getitem__, words))
