@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from itertools import accumulate
 
 import numpy as np
 
@@ -62,7 +63,8 @@ class PieceTable:
         return {w.replace(MARK, " "): 1 for w, ids in zip(words, alone, strict=True) if len(ids) == 1}
 
     def reset(self) -> None:
-        self.table: dict[str, tuple[bytes, str]] = {}
+        self.packed: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
         self.held = 0
         self.counts: dict[str, int] = dict(self.single)
 
@@ -90,7 +92,8 @@ class PieceTable:
         """The library's decode(ids), whose text is that of the pieces unless bytes are among them."""
         surface = self.surface
         try:
-            return "".join([surface[i] for i in ids])[1:] if ids and self.opens[ids[0]] else self.processor.decode(ids)
+            joined = "".join([surface[i] for i in ids])
+            return joined[1:] if joined[:1] == " " else joined
         except KeyError:
             return self.processor.decode(ids)
 
@@ -101,15 +104,20 @@ class PieceTable:
         if not self.safe:
             ids = self.processor.encode(text)
             return np.array(ids, dtype=np.int32), self.processor.decode(ids)
-        if len(self.table) > MAX_ENTRIES or self.held > MAX_IDS:
+        if len(self.packed) > MAX_ENTRIES or self.held > MAX_IDS:
             self.reset()
-        words, table = self.chunks(text), self.table
-        if new := [w for w in dict.fromkeys(words) if w not in table]:
-            for w, ids in zip(new, self._segment(new), strict=True):
-                table[w] = array("i", ids).tobytes(), self.decode(ids)
-                self.held += len(ids)
-        got = [table[w] for w in words]
-        return np.frombuffer(b"".join([g[0] for g in got]), dtype=np.int32), " ".join([g[1] for g in got])
+        words, packed, decoded = self.chunks(text), self.packed, self.decoded
+        if new := [w for w in dict.fromkeys(words) if w not in packed]:
+            segments = self._segment(new)
+            flat = [i for ids in segments for i in ids]
+            raw = array("i", flat).tobytes()
+            ends = list(accumulate([4 * len(ids) for ids in segments]))
+            packed.update(zip(new, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            # A word's own spaces are those it begins with, so the next word begins at the next one.
+            back = self.decode(flat).split(" ") if all(len(w) > 1 and w[1] != " " for w in new) else []
+            decoded.update(zip(new, back if len(back) == len(new) else map(self.decode, segments), strict=True))
+            self.held += len(flat)
+        return np.frombuffer(b"".join([packed[w] for w in words]), dtype=np.int32), " ".join([decoded[w] for w in words])
 
     def count(self, text: str) -> int:
         """Number of ids: whole tokens count one each, only other words are merged."""
