@@ -7,6 +7,8 @@ from importlib import import_module
 _MODULES = {
     "op2_sentencepiece": "sentencepiece_codec",
     "op4_token_counts": "token_counts",
+    "op5_language_id": "language_id",
+    "op6_toxicity": "toxicity",
     "op9_exact_dedup": "exact_dedup",
 }
 
