@@ -92,3 +92,54 @@ def with_hot_keys_broadcast(rows: DataFrame, groups: DataFrame, key: str, size:
     of_hot = tagged.filter(F.col(size).isNotNull()).select(out)
     of_cold = tagged.filter(F.col(size).isNull()).drop(*names).join(cold, key).select(out)
     return of_hot.unionByName(of_cold)
+
+
+#: Most words of a broadcast Bloom filter: 2^20 words of 8 bytes.
+MAX_WORDS = 1 << 20
+
+
+def filter_words(n_keys: int, most: int = MAX_WORDS) -> int:
+    """Words of a filter for ``n_keys`` keys: two keys a word until the bound is reached."""
+    return max(64, min(most, 1 << (max(n_keys, 1) // 2).bit_length()))
+
+
+def with_pattern(df: DataFrame, key: Column, n_words: int) -> DataFrame:
+    """Adds the filter word ``_word`` that ``key`` falls in and the four bits ``_mask`` it sets there."""
+    bit = lambda k: f"shiftleft(1L, cast(shiftright(_h64, {6 * k}) & 63 as int))"
+    return (
+        df.withColumn("_h64", F.xxhash64(key))
+        .withColumn("_word", F.expr(f"shiftrightunsigned(_h64, 24) % {n_words}L"))
+        .withColumn("_mask", F.expr(" | ".join(bit(k) for k in range(4))))
+        .drop("_h64")
+    )
+
+
+def filter_of(patterns: DataFrame) -> DataFrame:
+    """The filter as a relation: one row a word, at most as many as ``n_words``."""
+    return patterns.groupBy("_word").agg(F.expr("bit_or(_mask)").alias("_bits"))
+
+
+def split_by_filter(patterns: DataFrame, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that are certainly not in the filter, and rows that may be."""
+    tested = patterns.join(F.broadcast(bits), "_word", "left")
+    hit = F.expr("_bits is not null and (_bits & _mask) = _mask")
+    return tested.filter(~hit), tested.filter(hit)
+
+
+def without_rows(docs: DataFrame, flagged: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are in ``flagged``, which has columns of those names.
+
+    A Bloom filter of the flagged keys, bounded by ``MAX_WORDS``, lets the other rows through
+    without a shuffle; whole rows shuffle only where the filter says that they may be flagged.
+    """
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, *[c.alias(k) for k, c in keys.items()])
+    n_words = filter_words(flagged.count())
+    key = F.struct(*[F.col(k) for k in keys])
+    bits = materialise(filter_of(with_pattern(flagged, key, n_words)))
+    passed, maybe = split_by_filter(with_pattern(rows, key, n_words), bits)
+    same = [maybe[k].eqNullSafe(flagged[k]) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return passed.select("_row").unionByName(maybe.join(flagged, on, "left_anti").select("_row")).select("_row.*")

@@ -22,54 +22,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import SPACE_CLASS, materialise, table, with_hot_keys_broadcast
-
-#: Most words of the broadcast filter: 2^20 words of 8 bytes.
-MAX_WORDS = 1 << 20
-
+from rillway.llm.common import (
+    MAX_WORDS,
+    SPACE_CLASS,
+    filter_of,
+    filter_words,
+    materialise,
+    split_by_filter,
+    table,
+    with_hot_keys_broadcast,
+    with_pattern,
+)
 
 def _digest(text: str):
     return F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE_CLASS, " ").cast("binary"), 256)
 
 
-def _patterns(df: DataFrame, sha: str, n_words: int) -> DataFrame:
-    """Adds the filter word ``_word`` and the four bits ``_mask`` that ``sha`` sets in it."""
-    h = F.xxhash64(F.col(sha))
-    bit = lambda k: f"shiftleft(1L, cast(shiftright(_h, {6 * k}) & 63 as int))"
-    return (
-        df.withColumn("_h", h)
-        .withColumn("_word", F.expr(f"shiftrightunsigned(_h, 24) % {n_words}L"))
-        .withColumn("_mask", F.expr(" | ".join(bit(k) for k in range(4))))
-        .drop("_h")
-    )
-
-
-def _repeat_filter(patterns: DataFrame) -> DataFrame:
-    """Words of the second filter: the bits of every pattern that was inserted twice or more."""
-    twice = patterns.groupBy("_word", "_mask").count().filter("count > 1")
-    return twice.groupBy("_word").agg(F.expr("bit_or(_mask)").alias("_bits"))
-
-
-def _split(df: DataFrame, repeats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that are certainly unique, and rows that may be repeated."""
-    tested = df.join(F.broadcast(repeats), "_word", "left")
-    hit = F.expr("_bits is not null and (_bits & _mask) = _mask")
-    return tested.filter(~hit), tested.filter(hit)
-
-
 def _prepare(docs: DataFrame, doc_id: str, text: str, max_words: int):
     thin = materialise(docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("_sha")))
     n_rows = thin.count()
-    n_words = max(64, min(max_words, 1 << (n_rows // 2).bit_length()))
-    marked = _patterns(thin, "_sha", n_words)
-    repeats = materialise(_repeat_filter(marked))
+    n_words = filter_words(n_rows, max_words)
+    marked = with_pattern(thin, F.col("_sha"), n_words)
+    # A pattern inserted twice or more goes into the second filter.
+    twice = marked.groupBy("_word", "_mask").count().filter("count > 1")
+    repeats = materialise(filter_of(twice))
     return marked, repeats, n_rows, n_words
 
 
 def decide_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """One row per document: which row of its text stays, and how many rows share the text."""
     marked, repeats, n_rows, _ = _prepare(docs, doc_id, text, max_words)
-    once, maybe = _split(marked, repeats)
+    once, maybe = split_by_filter(marked, repeats)
     groups = materialise(maybe.groupBy("_sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     exact = with_hot_keys_broadcast(maybe.select("doc_id", "_sha"), groups, "_sha", "group_size", n_rows)
     alone = once.select("doc_id", "_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
@@ -84,10 +67,10 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     Whole rows shuffle only where the second filter says that their text may be repeated.
     """
     marked, repeats, _, n_words = _prepare(docs, doc_id, text, max_words)
-    _, maybe = _split(marked, repeats)
+    _, maybe = split_by_filter(marked, repeats)
     stays = maybe.groupBy("_sha").agg(F.min("doc_id").alias("_keep"))
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_id"), _digest(text).alias("_sha"))
-    once, again = _split(_patterns(packed, "_sha", n_words), repeats)
+    once, again = split_by_filter(with_pattern(packed, F.col("_sha"), n_words), repeats)
     kept = again.join(stays, (again["_id"].eqNullSafe(stays["_keep"])) & (again["_sha"] == stays["_sha"]), "left_semi")
     # Rows that repeat id and text as well: the first of them by hash of the whole row.
     kept = kept.groupBy("_id", "_sha").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))

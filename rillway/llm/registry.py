@@ -5,11 +5,13 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_decontaminate": "decontaminate",
     "op2_sentencepiece": "sentencepiece_codec",
     "op4_token_counts": "token_counts",
     "op5_language_id": "language_id",
     "op6_toxicity": "toxicity",
     "op9_exact_dedup": "exact_dedup",
+    "op10_license_scan": "license_scan",
 }
 
 
