@@ -143,3 +143,34 @@ def without_rows(docs: DataFrame, flagged: DataFrame, keys: dict[str, Column]) -
     for c in same[1:]:
         on = on & c
     return passed.select("_row").unionByName(maybe.join(flagged, on, "left_anti").select("_row")).select("_row.*")
+
+
+def only_rows(docs: DataFrame, wanted: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are in ``wanted``; rows that its Bloom filter rules out never shuffle."""
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, *[c.alias(k) for k, c in keys.items()])
+    n_words = filter_words(wanted.count())
+    key = F.struct(*[F.col(k) for k in keys])
+    bits = materialise(filter_of(with_pattern(wanted, key, n_words)))
+    _, maybe = split_by_filter(with_pattern(rows, key, n_words), bits)
+    return maybe.join(wanted, list(keys), "left_semi").select("_row.*")
+
+
+def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """Connected components of links between longs: ``node`` and ``label``, its smallest node.
+
+    Each round takes the smallest label among a node's own and its neighbours', then lets
+    every node jump to its label's label; it ends when no label changes. Inputs of every join
+    are written tables, so that adaptive execution can split the links of a popular node.
+    """
+    both = materialise(links.select(F.col(src).alias("u"), F.col(dst).alias("v")).unionByName(links.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct())
+    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    while True:
+        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("other"))
+        took = materialise(labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "other").alias("label")))
+        up = took.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        jumped = materialise(took.join(up, "label").select("node", "was", F.col("above").alias("label")))
+        changed = jumped.filter("label < was").limit(1).count()
+        labels = jumped.select("node", "label")
+        if not changed:
+            return labels

@@ -10,6 +10,7 @@ _MODULES = {
     "op4_token_counts": "token_counts",
     "op5_language_id": "language_id",
     "op6_toxicity": "toxicity",
+    "op7_shingle_join": "shingle_join",
     "op9_exact_dedup": "exact_dedup",
     "op10_license_scan": "license_scan",
 }
