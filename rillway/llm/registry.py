@@ -7,10 +7,12 @@ from importlib import import_module
 _MODULES = {
     "op1_decontaminate": "decontaminate",
     "op2_sentencepiece": "sentencepiece_codec",
+    "op3_secret_scan": "secret_scan",
     "op4_token_counts": "token_counts",
     "op5_language_id": "language_id",
     "op6_toxicity": "toxicity",
     "op7_shingle_join": "shingle_join",
+    "op8_lm_scores": "lm_scores",
     "op9_exact_dedup": "exact_dedup",
     "op10_license_scan": "license_scan",
 }
