@@ -16,7 +16,7 @@ In the band of up to 63 tokens every token is its own segment, so that a set alw
 tokens, and the chance that a set of 64 or more falls into ``H`` segments is below 1e-30.
 
 Equal sets are one class, which takes part once. Sets that meet in an index entry are
-verified by exact intersection: first each against the entry's smallest id. What is linked
+verified, by parity bitmaps that can only rule pairs out and then by exact intersection: first each against the entry's smallest id. What is linked
 already needs no more comparing, so later rounds compare only members of different
 components, against the next 8, 64, 512, ... of an entry, until every entry is one component
 or compared in full. Nothing is capped.
@@ -73,6 +73,20 @@ def tokens_of(text: str | None) -> np.ndarray:
     return np.unique(total)
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """A parity bitmap of at least two bits a token: two sets' bitmaps differ in at most as many bits as the sets in tokens."""
+    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = (np.bincount((_mix(tokens) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _bits_apart() -> str:
+    """SQL for the differing bits of ``_ka`` and ``_kb``; the longer bitmap is folded onto the shorter one."""
+    fold = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
+    count = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p ^ q)), 0, (n, m) -> n + m)"
+    return f"case when size(_ka) = size(_kb) then {count('_ka', '_kb')} when size(_ka) = 2 * size(_kb) then {count(fold('_ka'), '_kb')} when 2 * size(_ka) = size(_kb) then {count('_ka', fold('_kb'))} else 0 end"
+
+
 def _set_key(tokens: np.ndarray) -> bytes:
     import hashlib
 
@@ -167,9 +181,13 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that link. Only the texts of documents in a pair are read into token sets."""
-    pairs = materialise(pairs)
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that link. Pairs whose bitmaps differ in more bits than linked sets can differ
+    in tokens go first; only the texts of documents in the others are read into token sets."""
+    ka = sketches.select(F.col("node").alias("a"), F.col("_sketch").alias("_ka"), F.col("n_shingles").alias("_na"))
+    kb = sketches.select(F.col("node").alias("b"), F.col("_sketch").alias("_kb"), F.col("n_shingles").alias("_nb"))
+    near = pairs.join(ka, "a").join(kb, "b").filter(F.expr(f"7 * ({_bits_apart()}) <= _na + _nb"))
+    pairs = materialise(near.select("a", "b").distinct())
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = materialise(_tokens(only_rows(docs, materialise(nodes), {"doc_id": F.col("doc_id")})))
     a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
@@ -187,13 +205,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [tokens_of(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_key(f) for f in found], pa.binary())], names=["doc_id", "_text", "n_shingles", "_set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_key(f) for f in found], pa.binary()), pa.array([sketch_of(f) if len(f) else np.empty(0, np.int64) for f in found], pa.list_(pa.int64()))], names=["doc_id", "_text", "n_shingles", "_set", "_sketch"])
 
-    thin = materialise(rows.mapInArrow(measure, "doc_id long, _text long, n_shingles long, _set binary"))
+    thin = materialise(rows.mapInArrow(measure, "doc_id long, _text long, n_shingles long, _set binary, _sketch array<long>"))
     full = thin.filter("n_shingles > 0 and doc_id is not null")
     n_docs = full.count()
     classes = materialise(full.groupBy("_set").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_size")))
-    members = materialise(with_hot_keys_broadcast(full, classes, "_set", "_size", n_docs).select("doc_id", "_text", "n_shingles", "node"))
+    members = materialise(with_hot_keys_broadcast(full, classes, "_set", "_size", n_docs).select("doc_id", "_text", "n_shingles", "node", "_sketch"))
+    sketches = members.filter("doc_id = node").select("node", "_sketch", "n_shingles").distinct()
     copies = members.filter("doc_id <> node").select("doc_id", "_text").distinct()
     alone = without_rows(rows.filter("doc_id is not null"), materialise(copies), {"doc_id": F.col("doc_id"), "_text": F.col("_text")})
     common = _common_tokens(rows, n_docs)
@@ -213,7 +232,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     same = Window.partitionBy("sig")
     met = entries.withColumn("_least", F.min("node").over(same)).withColumn("_most", F.max("node").over(same)).filter("_least < _most")
     met = materialise(met.select("sig", "node", "size").distinct())
-    links, label = _link_all(met, rows)
+    links, label = _link_all(met, rows, materialise(sketches))
     if label is None:
         labels = members.withColumn("component_id", F.col("node"))
     else:
@@ -223,7 +242,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return labels.select("doc_id", "_text", "n_shingles", "component_id").unionByName(rest)
 
 
-def _link_all(met: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Links that suffice for the components, and each linked node's component."""
     links = label = tried = None
     done, hubs = 0, 1
@@ -247,7 +266,7 @@ def _link_all(met: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, DataFr
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        got = _verified(pairs, docs)
+        got = _verified(pairs, docs, sketches)
         tried = pairs if tried is None else materialise(tried.unionByName(pairs))
         links = got if links is None else materialise(links.unionByName(got))
         label = materialise(components(links)) if links.take(1) else None
