@@ -19,6 +19,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,8 +108,15 @@ def train(bags: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, 0.0)
-    vocab = {w: k for k, w in enumerate(sorted({w for bag in bags for w in bag}))}
-    buckets, count = subwords(list(vocab))
+    # A word of one text is that text's alone: only words of two or more are learned from.
+    texts_of = Counter(w for bag in bags for w in bag)
+    vocab = {w: k for k, w in enumerate(sorted(w for w, n in texts_of.items() if n > 1))}
+    bags = [[w for w in bag if w in vocab] for bag in bags]
+    if not vocab:
+        return Model(None, 0.0)
+    names = list(vocab)
+    parts = [subwords(names[k : k + 20_000]) for k in range(0, len(names), 20_000)]
+    buckets, count = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
     word_of = np.repeat(np.arange(len(vocab)), count)
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     word = np.array([vocab[w] for b in bags for w in b], dtype=np.int64)
