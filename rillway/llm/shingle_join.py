@@ -6,19 +6,22 @@ A document is the set of its distinct five-word shingles; two link when
 the size band of the larger set asks for; the two sets differ in at most ``H`` segments.
 With the segments of each set in one global order, the first ``H + 1`` of one and of the
 other must share one that is equal in both, so only those are indexed. The order is
-the cost-based allocation: segments that hold a token rarely seen in a sample come first, so
-a passage that many documents share is indexed only where a set has too little else. In
+the cost-based allocation: segments come in the order of how often a sample has their rarest
+token, so a passage that many documents share is indexed only where a set has too little else. In
 the band of the smallest sets (``H <= 1``) the whole set is one segment, indexed with its
 one-deletion neighbourhood.
 
-In the band of up to 63 tokens every token is its own segment, so that a set always has
+In the band of up to 511 tokens every token is its own segment, so that a set always has
 ``H + 1`` of them; above, there are twice as many segments as the band's largest set has
-tokens, and the chance that a set of 64 or more falls into ``H`` segments is below 1e-30.
+tokens, and the chance that a set of 512 or more falls into ``H`` segments is below 1e-200.
+An entry knows its place in the order: what comes before two sets' first shared segment is
+in one of them only, so a pair whose places add up to more than ``H`` need not be tried
+there (above 511 tokens, whose larger place is more than ``H``).
 
 Equal sets are one class, which takes part once. Sets that meet in an index entry are
 verified, by parity bitmaps that can only rule pairs out and then by exact intersection: first each against the entry's smallest id. What is linked
 already needs no more comparing, so later rounds compare only members of different
-components, against the next 8, 64, 512, ... of an entry, until every entry is one component
+components, against the next 16, 256, 4096, ... of an entry, until every entry is one component
 or compared in full. Nothing is capped.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and
@@ -40,7 +43,7 @@ from rillway.llm.common import components, materialise, only_rows, ship_package,
 
 SHINGLE = 5
 #: Least size of each band; the first is indexed with one-deletion neighbourhoods.
-BANDS = [1, 7, 64, 512, 4096, 32768, 262144, 2097152, 1 << 60]
+BANDS = [1, 7, 512, 4096, 32768, 262144, 2097152, 1 << 60]
 SAMPLE_DOCS, MAX_COMMON, WORDS_HELD = 16_000, 200_000, 400_000
 _WORD_HASH: dict[bytes, int] = {}
 _U = np.uint64
@@ -98,25 +101,25 @@ def _allowed(size: np.ndarray, most: np.ndarray) -> np.ndarray:
     return (size + np.minimum(most, size * 4 // 3)) // 7
 
 
-def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index entries of sets, and which set each is of. ``common``: sorted tokens that come last."""
+def signatures(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index entries of sets, which set each is of, and its place. ``common``: sorted tokens and how common each is."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     edges = np.array(BANDS, dtype=np.int64)
     band = np.searchsorted(edges, size, side="right") - 1
-    out, owner = [], []
+    out, owner, place = [], [], []
     for k in np.flatnonzero((band == 0) & (size > 0)).tolist():
         values = _mix(sets[k] ^ _U(0x51))
         whole = values.sum(dtype=np.uint64)
         own = [whole] if size[k] < 4 else [whole, *(whole - values)]
         out.append(_mix(np.array(own, dtype=np.uint64) ^ _U(0xD1)))
         owner.append(np.full(len(own), k))
+        place.append(np.zeros(len(own), dtype=np.int64))
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     doc = np.repeat(np.arange(len(sets)), size)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-        rare = common[at] != flat
-    else:
-        rare = np.ones(len(flat), dtype=bool)
+    level = np.zeros(len(flat), dtype=np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], flat), len(common[0]) - 1)
+        level = np.where(common[0][at] == flat, common[1][at], 0)
     for step in (0, 1):
         scheme = band + step
         top = np.minimum(size * 4 // 3, edges[np.minimum(scheme + 1, len(edges) - 1)] - 1)
@@ -124,7 +127,7 @@ def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray,
         mine = part[doc]
         if not mine.any():
             continue
-        d, t, r = doc[mine], flat[mine], rare[mine]
+        d, t, r = doc[mine], flat[mine], level[mine]
         b = scheme[d]
         segments = np.where(b > 1, 2 * (edges[np.minimum(b + 1, len(edges) - 1)] - 1), 1).astype(np.uint64)
         seg = np.where(b > 1, _mix(t ^ _U(0xA5)) % segments, t)
@@ -133,26 +136,29 @@ def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray,
         start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (seg[1:] != seg[:-1])]))
         content = np.add.reduceat(_mix(t), start)
         sig = _mix(content ^ _mix(seg[start] + (b[start].astype(np.uint64) << _U(56))))
-        last = ~np.logical_or.reduceat(r, start)
+        last = np.minimum.reduceat(r, start)
         d = d[start]
         order = np.lexsort((sig, last, d))
         d, sig = d[order], sig[order]
         first = np.searchsorted(d, np.arange(len(sets)))
         need = _allowed(size, top) + 1
-        keep = np.arange(len(d)) - first[d] < need[d]
+        at = np.arange(len(d)) - first[d]
+        keep = at < need[d]
         out.append(sig[keep])
         owner.append(d[keep])
+        place.append(at[keep])
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(owner)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(out), np.concatenate(owner), np.concatenate(place)
 
 
 def _long_ids(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("_text"), F.col(text).cast("string").alias("text"))
 
 
-def _common_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Tokens that two or more of a sample of about ``SAMPLE_DOCS`` documents have: cost only, never correctness."""
+def _common_tokens(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that two or more of a sample of about ``SAMPLE_DOCS`` documents have, sorted, and the power of two
+    of how many: it orders segments by cost, and any order gives the same links."""
     whole = 1 << 20
     share = min(whole, -(-whole * SAMPLE_DOCS // max(n_docs, 1)))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < share).select("text")
@@ -164,8 +170,10 @@ def _common_tokens(docs: DataFrame, n_docs: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["t"])
 
     counts = sample.mapInArrow(run, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    top = counts.orderBy(F.desc("n"), "t").limit(MAX_COMMON).select("t").toArrow()["t"].to_numpy()
-    return np.sort(top.view(np.uint64)) if len(top) else np.empty(0, np.uint64)
+    top = counts.orderBy(F.desc("n"), "t").limit(MAX_COMMON).toArrow()
+    tokens = np.ascontiguousarray(top["t"].to_numpy()).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(np.maximum(top["n"].to_numpy(), 1)).astype(np.int64)[order]
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -222,16 +230,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 sets = [tokens_of(x) for x in part.column(1).to_pylist()]
-                sig, of = signatures(sets, common)
+                sig, of, place = signatures(sets, common)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)
                 if len(sig):
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[of].astype(np.int64)), pa.array(sizes[of])], names=["sig", "node", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[of].astype(np.int64)), pa.array(sizes[of]), pa.array(place.astype(np.int32))], names=["sig", "node", "size", "place"])
 
-    entries = alone.select("doc_id", "text").mapInArrow(index, "sig long, node long, size int")
+    entries = alone.select("doc_id", "text").mapInArrow(index, "sig long, node long, size int, place int")
     same = Window.partitionBy("sig")
     met = entries.withColumn("_least", F.min("node").over(same)).withColumn("_most", F.max("node").over(same)).filter("_least < _most")
-    met = materialise(met.select("sig", "node", "size").distinct())
+    met = materialise(met.select("sig", "node", "size", "place").distinct())
     links, label = _link_all(met, rows, materialise(sketches))
     if label is None:
         labels = members.withColumn("component_id", F.col("node"))
@@ -259,10 +267,11 @@ def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame) -> tuple[Dat
         at = F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1
         ranked = materialise(open_.join(live, "sig", "left_semi").withColumn("_at", at).filter(F.col("_at") >= done))
         hub = ranked.filter(F.col("_at") < done + hubs)
-        h = hub.select("sig", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("_label").alias("_la"), F.col("_at").alias("_ka"))
-        m = ranked.select("sig", F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("_label").alias("_lb"), F.col("_at").alias("_kb"))
+        h = hub.select("sig", F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("_label").alias("_la"), F.col("_at").alias("_ka"), F.col("place").alias("_pa"))
+        m = ranked.select("sig", F.col("node").alias("b"), F.col("size").alias("_sb"), F.col("_label").alias("_lb"), F.col("_at").alias("_kb"), F.col("place").alias("_pb"))
         close = (4 * F.least("_sa", "_sb") >= 3 * F.greatest("_sa", "_sb")) & (F.col("_la") != F.col("_lb")) & (F.col("_kb") > F.col("_ka"))
-        pairs = h.join(m, "sig").filter(close).select("a", "b").distinct()
+        apart = F.when(F.greatest("_sa", "_sb") < BANDS[2], F.col("_pa") + F.col("_pb")).otherwise(F.greatest("_pa", "_pb"))
+        pairs = h.join(m.withColumnRenamed("sig", "_sig"), (F.col("sig") == F.col("_sig")) & close & (7 * apart <= F.col("_sa") + F.col("_sb"))).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
@@ -270,7 +279,7 @@ def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame) -> tuple[Dat
         tried = pairs if tried is None else materialise(tried.unionByName(pairs))
         links = got if links is None else materialise(links.unionByName(got))
         label = materialise(components(links)) if links.take(1) else None
-        done, hubs = done + hubs, hubs * 8
+        done, hubs = done + hubs, hubs * 16
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
