@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillway.plans.tables import written
+
 
 def done(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """What earlier runs have written; an empty table before the first."""
@@ -28,12 +30,10 @@ def run(todo: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], path:
     counts["skipped"] = todo.join(earlier, key, "left_semi").count()
     for k in range(batches):
         part = todo.join(done(spark, path, schema).select(key).distinct(), key, "left_anti").filter(F.pmod(F.xxhash64(key), F.lit(batches)) == k)
-        made = work(part).persist()
-        try:
-            made.filter("error is null").write.mode("append").parquet(path)
-            tally = made.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count("error").alias("bad"), F.count_if(F.col("error").startswith("rate limit")).alias("limited")).first()
-        finally:
-            made.unpersist()
+        # Written first: the append changes what a recomputation of the batch would find left to do.
+        made = written(work(part))
+        tally = made.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count("error").alias("bad"), F.count_if(F.col("error").startswith("rate limit")).alias("limited")).first()
+        made.filter("error is null").write.mode("append").parquet(path)
         counts["done"] += tally.ok
         counts["failed"] += tally.bad
         if tally.limited:
