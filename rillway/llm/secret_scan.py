@@ -20,6 +20,8 @@ from rillway.llm import secret_forest as forest
 from rillway.llm.common import table
 
 THRESHOLD, NEAR = 0.5, 40
+#: Fixed value: no pattern matches fewer characters.
+LEAST = 10
 
 
 def _share(value: Column, chars: str, n: Column) -> Column:
@@ -58,19 +60,36 @@ def _features(value: Column, near: Column, path: Column) -> list[Column]:
     ]
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """Every match of the bare ``pattern``: its group 1, and up to ``NEAR`` characters before the match.
+
+    The text between matches comes from ``split``, which finds the same matches. A match has
+    ``LEAST`` characters or more, so ``NEAR`` of them reach back over a fixed number of matches.
+    """
+    back = -(-NEAR // LEAST)
+
+    def of(x: Column) -> Column:
+        def near(i: Column) -> Column:
+            parts = []
+            for k in range(back, 0, -1):
+                parts += [F.when(i >= k, F.concat(F.get(x["between"], i - k), F.get(x["whole"], i - k))).otherwise("")]
+            return F.right(F.concat(*parts, F.get(x["between"], i)), F.lit(NEAR))
+
+        return F.transform(x["secret"], lambda v, i: F.struct(near(i).alias("near"), v.alias("secret")))
+
+    # Bound as a variable, so that the text is searched once.
+    found = F.struct(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(name) for g, name in ((0, "whole"), (1, "secret"))], F.split(text, pattern, -1).alias("between"))
+    return F.flatten(F.transform(F.array(found), of))
+
+
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """One row per candidate: ``doc_id``, ``kind``, ``secret``, ``near``, ``path``, ``probability``."""
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"), where.alias("path"))
     kinds = []
     for kind, pattern in forest.PATTERNS.items():
-        # With the words before and after it; the candidate itself is group 2.
-        around = f"(?s)(.{{0,{NEAR}}})" + pattern.replace("(?i)", "")
-        flag = "(?i)" if "(?i)" in pattern else ""
-        taken = [F.regexp_extract_all("_t", F.lit(flag + around), F.lit(g)) for g in (1, 2)]
-        none = F.array().cast("array<string>")
-        pair = F.when(F.col("_t").rlike(pattern), F.arrays_zip(taken[0].alias("near"), taken[1].alias("secret"))).otherwise(F.arrays_zip(none.alias("near"), none.alias("secret")))
-        kinds.append(_named(pair, kind))
+        none = F.array().cast("array<struct<near:string,secret:string>>")
+        kinds.append(_named(F.when(F.col("_t").rlike(pattern), _matches(F.col("_t"), pattern)).otherwise(none), kind))
     each = d.select("doc_id", "path", F.explode_outer(F.concat(*kinds)).alias("_c")).filter("_c is not null").select("doc_id", "path", "_c.*")
     first = each.withColumn("near", F.concat_ws(" ", "near", "kind"))
     values = _features(F.col("secret"), F.col("near"), F.col("path"))

@@ -256,6 +256,19 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
+def test_secrets_close_together(spark):
+    listed = "password=hunter22A\ntoken=qwe8rty1\napi_key=Zx81kd92\nsecret=Mn72kd01"
+    keys = [f"AKIAD62HKU6VBLCCCC{k}E" for k in "ABCD"]
+    texts = [listed, "é😀 words " * 30 + listed, "\n".join(keys), " ".join(f"pwd={k}bcde{k}" for k in "pqrstuvwxyz")]
+    rows = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_candidates for r in secret_scan.scan(rows).collect()} == {0: 4, 1: 4, 2: 4, 3: 11}
+    want = []
+    for i, t in enumerate(texts):
+        for kind, pattern in secret_forest.PATTERNS.items():
+            want += [(i, m[1], t[max(0, m.start() - secret_scan.NEAR) : m.start()] + " " + kind) for m in re.finditer(pattern, t)]
+    assert rows_of(secret_scan.findings(rows), "doc_id", "secret", "near") == sorted(want, key=repr)
+
+
 def test_row_groups_by_id(spark):
     rows = spark.createDataFrame([(7, "same id one"), (7, "another text of it")], "doc_id long, text string")
     assert exact_dedup.decide_copies(rows).filter("kept").count() == 2
