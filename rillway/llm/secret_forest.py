@@ -16,9 +16,10 @@ import numpy as np
 #: Kinds of candidates and their patterns (Java regular expressions, group 1 is the candidate).
 PATTERNS = {
     "aws_key": r"\b(AKIA[0-9A-Z]{12,20})\b",
-    "token": r"\b((?:ghp_|gho_|sk-|xoxb-|glpat-)[A-Za-z0-9_\-]{12,80})",
-    "assigned": r"(?i)(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[\"']?([^\s\"',;]{6,80})",
-    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
+    "token": r"\b((?:ghp_|gho_|sk-|xoxb-|glpat-)[A-Za-z0-9_\-]{12,})",
+    "assigned": r"(?i)(?:password|passwd|pwd|secret|api_?key|token)\s*[=:]\s*[\"']?([^\s\"',;]{6,})",
+    # Through the END line; without one, with the lines of base64 that follow. Possessive, so that long texts need no deep stack.
+    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----|(?:\r?\n[A-Za-z0-9+/=]++(?![^\r\n]))*+))",
 }
 #: Words that a candidate of a false finding is often made of.
 DICTIONARY = ["example", "sample", "test", "dummy", "changeme", "password", "secret", "your", "here", "placeholder", "default", "admin", "none", "null", "true", "false", "xxxx", "1234", "abcd", "foo", "bar", "the", "and", "env", "config", "value"]
