@@ -1,16 +1,23 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-The model is a bigram model with a closed vocabulary: the ``VOCABULARY`` most frequent words
-of all documents, and one more for every other word. Its size is a parameter, and bounds the
-word table that executors get. Counts cover all documents. A pair of words that another
-document has too scores ``log(c(u, v) / c(u))``; a pair that only this document has counts as
-unseen and backs off to ``log(BACKOFF * c(v) / N)``. A document's score is the mean over its
-pairs.
-
-Pairs of two of the ``HOT`` most frequent words are counted map-side into a table of at most
-``(HOT + 1)^2`` rows, which is broadcast: they are what would make a skewed shuffle. All other
-pairs are exploded once, shuffled by a hash of the pair into their count table's partition,
-scored there, and summed per document.
+The model is a bigram model over all words: nothing that is counted is cut or pooled, so it
+grows with the corpus. Counts cover all documents. A pair of words that another document has
+too scores ``log(c(u, v) / c(u))``; a pair that only this document has counts as unseen and
+backs off to ``log(BACKOFF * c(v) / N)``. A document's score is the mean over its pairs. A
+caller may close the vocabulary at ``vocabulary`` words; every other word then counts as one.
+
+The ``FREQUENT`` most frequent words have small ids, and executors get a table of their
+counts; any other word is known by its hash. This changes where a count comes from and no
+score. Pairs of two of the ``HOT`` most frequent words would make a skewed shuffle: each task
+adds them up into a table of at most ``(HOT + 1)^2`` cells, and a document's share of the score
+is looked up there. Every other pair is shuffled once:
+
+- two frequent words by the pair; the counts of its words come from the table;
+- a pair with a rare word by that word, so that where it arrives all occurrences of the word
+  do, and the word's count is their sum. As second word (``v``) it gives what an unseen pair
+  needs, as first word (``u``) what a seen pair needs. A pair of two rare words goes both ways,
+  and scores at the one that its being seen or not asks for. The first and the last word of a
+  document are in no pair on one side, and are sent alone for the sum.
 
 Defined cases: a null text, or one of fewer than two words, has no pairs and a null score;
 rows that share an id count as one document whose pairs add up, and each gets that score;
@@ -29,7 +36,11 @@ from pyspark.sql import functions as F
 
 from rillway.llm.common import materialise, ship_package, table
 
-VOCABULARY, HOT, BACKOFF, WORDS_HELD = 65_535, 400, 0.4, 500_000
+FREQUENT, HOT, BACKOFF, WORDS_HELD = 65_535, 400, 0.4, 500_000
+#: A rare word's code has the sign bit, and this bit too where it is sent as first word of a pair.
+_RARE, _FIRST = -(1 << 63), 1 << 62
+#: What stands for the missing neighbour at a text's edge, and where keys of whole documents begin.
+_EDGE, _DOCUMENT = 1 << 20, 1 << 40
 _HASHES: dict[bytes, int] = {}
 
 
@@ -58,81 +69,170 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Ids by frequency rank from 1; 0 is any other word."""
+    """Ids by frequency rank from 1; any other word has its code, or 0 in a closed vocabulary."""
 
-    def __init__(self, hashes: np.ndarray):
+    def __init__(self, hashes: np.ndarray, closed: bool):
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
+        self.closed = closed
         self.held: dict[bytes, int] = {}
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: list[bytes]) -> list[int]:
         held = self.held
         if len(held) > WORDS_HELD:
             held.clear()
         if new := [w for w in set(words) if w not in held]:
             h = np.array([_hash(w) for w in new], dtype=np.uint64).view(np.int64)
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            found = np.where(self.sorted[at] == h, self.order[at] + 1, 0) if len(self.sorted) else np.zeros(len(h))
-            held.update(zip(new, found.astype(int).tolist(), strict=True))
-        return np.array([held[w] for w in words], dtype=np.int64)
+            other = np.zeros(len(h), dtype=np.int64) if self.closed else h & (_FIRST - 1) | _RARE
+            if len(self.sorted):
+                at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+                other = np.where(self.sorted[at] == h, self.order[at] + 1, other)
+            held.update(zip(new, other.tolist(), strict=True))
+        return [held[w] for w in words]
 
 
-def _pairs(docs: DataFrame, hashes: np.ndarray, hot: bool) -> DataFrame:
-    """Distinct pairs of each document with their counts: only the hot ones, or only the others."""
+def _slices(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, closed: bool) -> Iterator[tuple]:
+    """Some documents at a time: their batch, and of each word its code and its document's place in it."""
+    vocabulary = Vocabulary(hashes, closed)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            ids = [vocabulary.ids(words_of(t)) for t in part.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            yield part, np.array([i for x in ids for i in x], dtype=np.int64), of
+
+
+def _hot(u: np.ndarray, v: np.ndarray, hot: int) -> np.ndarray:
+    return (u >= 0) & (u <= hot) & (v >= 0) & (v <= hot)
+
+
+def _hot_counts(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int) -> DataFrame:
+    """``pair``, ``n`` and ``docs``, the documents that have it, for the pairs of hot words of each task."""
+    width = hot + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(hashes)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                docs_at, keys, counts = [], [], []
-                for j, text in enumerate(part.column(1).to_pylist()):
-                    ids = vocabulary.ids(words_of(text))
-                    if len(ids) > 1:
-                        u, v = ids[:-1], ids[1:]
-                        both = (u <= HOT) & (v <= HOT)
-                        pick = both if hot else ~both
-                        key, n = np.unique((u[pick] << 16) | v[pick], return_counts=True)
-                        docs_at.append(np.full(len(key), j))
-                        keys.append(key)
-                        counts.append(n)
-                if keys:
-                    of = np.concatenate(docs_at)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts).astype(np.int64))], names=["doc_id", "pair", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pair long, n long")
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_pairs``, ``n_backoff``, ``log_score``."""
+        n, n_docs = np.zeros(width * width, dtype=np.int64), np.zeros(width * width, dtype=np.int64)
+        for _, ids, of in _slices(batches, hashes, closed):
+            u, v = ids[:-1], ids[1:]
+            pick = (of[:-1] == of[1:]) & _hot(u, v, hot)
+            each, count = np.unique((of[:-1][pick] << 32) | (u[pick] * width + v[pick]), return_counts=True)
+            pair = each & 0xFFFFFFFF
+            np.add.at(n, pair, count)
+            np.add.at(n_docs, pair, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["pair", "n", "docs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "pair long, n long, docs long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _distinct(of: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct (document, g, o), and how often it stands."""
+    if not len(g):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.lexsort((o, g, of))
+    a, b, c = of[order], g[order], o[order]
+    begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    return order[begins], np.diff(np.append(begins, len(order)))
+
+
+def _pairs(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int, scores: np.ndarray, unseen: np.ndarray) -> DataFrame:
+    """Distinct pairs of each document by what they are shuffled by: ``g``, ``o`` and ``n``.
+
+    A document's hot pairs are one row: ``s``, their score, ``n``, their number, and ``o``, those unseen.
+    """
+    width = hot + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, of in _slices(batches, hashes, closed):
+            if not len(ids):
+                continue
+            same = of[:-1] == of[1:]
+            u, v, j = ids[:-1][same], ids[1:][same], of[:-1][same]
+            is_hot = _hot(u, v, hot)
+            at, hj = u[is_hot] * width + v[is_hot], j[is_hot]
+            n_docs = part.num_rows
+            n_hot = np.bincount(hj, minlength=n_docs)
+            with_hot = np.flatnonzero(n_hot)
+            key = np.array([_hash(repr(x).encode()) & 0xFFFFFFFF for x in part.column(0).take(pa.array(with_hot)).to_pylist()], dtype=np.int64) + _DOCUMENT
+            s = np.bincount(hj, weights=scores[at], minlength=n_docs)[with_hot]
+            b = np.bincount(hj, weights=unseen[at], minlength=n_docs)[with_hot].astype(np.int64)
+
+            usual = ~is_hot & (u >= 0) & (v >= 0)
+            each, n_usual = np.unique((j[usual] << 32) | (u[usual] << 16) | v[usual], return_counts=True)
+            rare_v, rare_u = v < 0, u < 0
+            starts, ends = np.concatenate([[True], ~same]) & (ids < 0), np.concatenate([~same, [True]]) & (ids < 0)
+            rj = np.concatenate([j[rare_v], j[rare_u], of[starts], of[ends]])
+            g = np.concatenate([v[rare_v], u[rare_u] | _FIRST, ids[starts], ids[ends] | _FIRST])
+            o = np.concatenate([u[rare_v], v[rare_u], np.full(starts.sum() + ends.sum(), _EDGE)])
+            first, n_rare = _distinct(rj, g, o)
+
+            docs_at = np.concatenate([with_hot, each >> 32, rj[first]])
+            none = np.zeros(len(each) + len(first))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(docs_at)),
+                    pa.array(np.concatenate([key, each & 0xFFFFFFFF, g[first]])),
+                    pa.array(np.concatenate([b, np.zeros(len(each), dtype=np.int64), o[first]])),
+                    pa.array(np.concatenate([n_hot[with_hot], n_usual, n_rare]).astype(np.int64)),
+                    pa.array(np.concatenate([s, none]), mask=np.concatenate([np.zeros(len(s), dtype=bool), none == 0])),
+                ],
+                names=["doc_id", "g", "o", "n", "s"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, g long, o long, n long, s double")
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_pairs``, ``n_backoff``, ``log_score``.
+
+    ``vocabulary`` closes the vocabulary at that many words; ``frequent`` and ``hot`` change no score.
+    """
+    closed = vocabulary is not None
+    if max(vocabulary or 0, frequent) > FREQUENT:
+        raise ValueError(f"a closed vocabulary, and the table of frequent words, have {FREQUENT} words at most")
     ship_package(docs.sparkSession)
     spark = docs.sparkSession
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = materialise(_word_counts(thin))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).toArrow()
+    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary if closed else frequent).toArrow()
     hashes, known = top["word"].to_numpy(), top["n"].to_numpy()
-    logs = [float(x) for x in np.log(np.maximum(np.concatenate([[total - known.sum()], known]), 1))]
-    words = F.broadcast(spark.createDataFrame(list(enumerate(logs)), "id long, log_n double"))
-    u, v = F.shiftright("pair", 16), F.col("pair").bitwiseAND(0xFFFF)
-    usual = _pairs(thin, hashes, hot=True)
-    in_all = materialise(usual.groupBy("pair").agg(F.sum("n").alias("_c"), F.count(F.lit(1)).alias("_in")))
-    usual = usual.join(F.broadcast(in_all), "pair")
-    same = Window.partitionBy("pair")
-    other = _pairs(thin, hashes, hot=False).withColumn("_c", F.sum("n").over(same)).withColumn("_in", F.count(F.lit(1)).over(same))
-
-    def summed(pairs: DataFrame) -> DataFrame:
-        named = pairs.withColumn("_u", u).withColumn("_v", v)
-        named = named.join(words.select(F.col("id").alias("_u"), F.col("log_n").alias("_lu")), "_u").join(words.select(F.col("id").alias("_v"), F.col("log_n").alias("_lv")), "_v")
-        seen = F.col("_in") > 1
-        each = F.when(seen, F.log("_c") - F.col("_lu")).otherwise(F.log(F.lit(BACKOFF)) + F.col("_lv") - float(np.log(max(total, 1))))
-        return named.groupBy("doc_id").agg(F.sum(each * F.col("n")).alias("s"), F.sum("n").alias("n"), F.sum(F.when(seen, 0).otherwise(F.col("n"))).alias("b"))
-
-    sums = summed(usual).unionByName(summed(other)).groupBy("doc_id").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.sum("b").alias("_b"))
-    sums = sums.withColumnRenamed("doc_id", "_id")
+    logs = np.log(np.maximum(np.concatenate([[total - known.sum()], known]), 1))
+    backoff = float(np.log(BACKOFF) - np.log(max(total, 1)))
+
+    # The pairs of hot words, all of them here.
+    width = hot + 1
+    usual = _hot_counts(thin, hashes, closed, hot).toArrow()
+    pair, n, n_docs = (usual[c].to_numpy() for c in ("pair", "n", "docs"))
+    scores, unseen = np.zeros(width * width), np.zeros(width * width)
+    unseen[pair] = n_docs < 2
+    scores[pair] = np.where(n_docs > 1, np.log(np.maximum(n, 1)) - logs[pair // width], backoff + logs[pair % width])
+
+    # All others. Dealt by g, which also serves the window over (g, o).
+    rows = _pairs(thin, hashes, closed, hot, scores, unseen).repartition("g")
+    same = Window.partitionBy("g", "o")
+    rows = rows.withColumn("_c", F.sum("n").over(same)).withColumn("_in", F.count(F.lit(1)).over(same)).withColumn("_w", F.sum("n").over(Window.partitionBy("g")))
+    g, o, zero = F.col("g"), F.col("o"), F.lit(0).cast("long")
+    seen, rare = F.col("_in") > 1, g < 0
+    as_first = rare & (g.bitwiseAND(_FIRST) != 0)
+    # Of a pair of two rare words only one of its two rows counts, and an edge never does.
+    counts_here = ~rare | ((o != _EDGE) & ((o >= 0) | (seen == as_first)))
+    by_window = rare & (seen == as_first)
+    wanted = F.when(rare, o).when(seen, F.shiftright("g", 16)).otherwise(g.bitwiseAND(0xFFFF))
+    rows = rows.withColumn("_seen", seen).withColumn("_here", counts_here).withColumn("_by_window", by_window)
+    rows = rows.withColumn("_id", F.when(F.col("_here") & ~F.col("_by_window") & F.col("s").isNull(), wanted))
+    words = F.broadcast(spark.createDataFrame(list(enumerate(logs.tolist())), "_id long, _log double"))
+    named = rows.join(words, "_id", "left")
+    log_n = F.when(F.col("_by_window"), F.log("_w")).otherwise(F.col("_log"))
+    each = F.when(F.col("_seen"), F.log("_c") - log_n).otherwise(F.lit(backoff) + log_n) * F.col("n")
+    whole = F.col("s").isNotNull()
+    sums = named.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.sum(F.when(whole, F.col("s")).when(F.col("_here"), each)).alias("_s"),
+        F.sum(F.when(F.col("_here"), F.col("n")).otherwise(zero)).alias("_n"),
+        F.sum(F.when(whole, o).when(F.col("_here") & ~F.col("_seen"), F.col("n")).otherwise(zero)).alias("_b"),
+    )
     joined = thin.select("doc_id").join(sums, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    zero = F.lit(0).cast("long")
-    return joined.select("doc_id", F.coalesce("_n", zero).alias("n_pairs"), F.coalesce("_b", zero).alias("n_backoff"), (F.col("_s") / F.col("_n")).alias("log_score"))
+    return joined.select("doc_id", F.coalesce(F.when(F.col("_n") > 0, F.col("_n")), zero).alias("n_pairs"), F.coalesce("_b", zero).alias("n_backoff"), F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("log_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

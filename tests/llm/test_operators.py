@@ -243,6 +243,39 @@ def test_lm_scores(docs, nothing):
     assert lm_scores.score(nothing).count() == 0
 
 
+def test_lm_scores_of_all_words(spark, docs):
+    rng = random.Random(6)
+    more = [(2000 + i, " ".join(f"r{rng.randint(0, 400)}" for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    # More words than the table of frequent ones holds.
+    more += [(3000 + k, " ".join(f"x{k}y{i}" for i in range(9000))) for k in range(8)]
+    more += [(None, "r1 r2 r3"), (None, "r2 r3"), (4000, "unheard of words qzx"), (4001, "qzx")]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = [(r.doc_id, lm_scores.words_of(r.text)) for r in rows.collect()]
+    count = Counter(w for _, t in texts for w in t)
+    assert len(count) > lm_scores.FREQUENT
+    total = sum(count.values())
+    pair, docs_with, want = Counter(), Counter(), {}
+    for _, t in texts:
+        c = Counter(zip(t, t[1:], strict=False))
+        pair.update(c)
+        docs_with.update(c.keys())
+    for i, t in texts:
+        s, n, b = want.get(i, (0.0, 0, 0))
+        for u, v in zip(t, t[1:], strict=False):
+            seen = docs_with[u, v] > 1
+            s += math.log(pair[u, v] / count[u]) if seen else math.log(0.4 * count[v] / total)
+            n, b = n + 1, b + (not seen)
+        want[i] = s, n, b
+    for kept in ({}, {"frequent": 30, "hot": 5}, {"frequent": 3, "hot": 400}, {"frequent": 0}):
+        got = lm_scores.score(rows, **kept).collect()
+        assert sorted((r.doc_id for r in got), key=repr) == sorted((i for i, _ in texts), key=repr)
+        for r in got:
+            s, n, b = want[r.doc_id]
+            assert (r.n_pairs, r.n_backoff) == (n, b) and (r.log_score is None if not n else abs(r.log_score - s / n) < 1e-9)
+    with pytest.raises(ValueError):
+        lm_scores.score(rows, vocabulary=lm_scores.FREQUENT + 1)
+
+
 def test_secrets(spark, nothing):
     held = secret_forest.labelled_findings(500, seed=99)
     right = sum((secret_forest.probability(secret_forest.features(v, n, p)) >= 0.5) == bool(y) for v, n, p, y in held)
