@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.functions import geo
-from rillway.operators import raster, relief, watershed
+from rillway.operators import nearest, raster, relief, watershed
 
 from rillway.plans.river_queries import RIVER_SQL, _closed, network
 from rillway.plans.tables import written
@@ -56,21 +56,14 @@ def q_bbox_pad(spark, sf):
 
 
 def q_nearest(spark, sf):
-    """For each supplier's place the nearest of the lines in its own or a neighbouring grid square of half a degree."""
+    """For each supplier's place the nearest of all lines."""
     spark.read.parquet(f"{sf}/supplier.parquet").createOrReplaceTempView("_rillway_supplier")
     pts = spark.sql("SELECT s_suppkey AS p, -1.7 + (s_suppkey * 37 % 480) * 0.01D AS lon, 42.0 + (s_suppkey * 11 % 115) * 0.01D AS lat FROM _rillway_supplier")
     px, py = geo.lambert93(F.col("lon"), F.col("lat"))
-    pts = pts.select("p", px.alias("px"), py.alias("py"), F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("i"), F.floor(F.col("lat") / 0.5).alias("gy"), F.floor(F.col("lon") / 0.5).alias("gx"))
-    pts = pts.select("p", "px", "py", (F.col("gx") + F.col("i")).alias("gx"), F.explode(F.sequence(F.col("gy") - 1, F.col("gy") + 1)).alias("gy"))
-    v = view(spark, sf, LINE).select("k", *[F.col(c).cast("double").alias(c) for c in ("lon1", "lat1", "lon2", "lat2")]).filter("abs(lon1 - lon2) < 0.195 and abs(lat1 - lat2) < 0.195")
+    v = view(spark, sf, LINE).select("k", *[F.col(c).cast("double").alias(c) for c in ("lon1", "lat1", "lon2", "lat2")])
     x1, y1 = geo.lambert93(F.col("lon1"), F.col("lat1"))
     x2, y2 = geo.lambert93(F.col("lon2"), F.col("lat2"))
-    v = v.select("k", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.floor(F.col("lon1") / 0.5).alias("gx"), F.floor(F.col("lat1") / 0.5).alias("gy"))
-    d = geo.point_segment_m(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
-    near = pts.join(v, ["gx", "gy"]).groupBy("p").agg(F.min(F.struct(F.round(d, 3).alias("metres"), "k")).alias("b"))
-    return near.select("p", "b.k", "b.metres")
-
-
+    return nearest.nearest_lines(pts.select("p", px.alias("px"), py.alias("py")), v.select("k", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
 
 
 def _xy(lon: str, lat: str) -> tuple[str, str]:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillway.functions import geo, kernels
-from rillway.operators import raster, relief, watershed
+from rillway.operators import nearest, raster, relief, watershed
+from rillway.plans import terrain_queries
 
 
 def grid(spark, z):
@@ -134,3 +135,37 @@ def test_catalog_json(spark):
     got = catalog_json.nested(spark.createDataFrame(rows, "river_id string, parent_id string, role string, ordinal int, depth int, name string, length_km double"))
     assert got["meta"]["n_nodes"] == 3 and got["tree"]["mainline"]["id"] == "M" and len(catalog_json.listing(got["tree"])) == 3
     assert "&lt;" in catalog_json.page("<x>")
+
+
+def test_nearest_segment_looks_at_every_line(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    short, long = rng.uniform(0, 1e5, (60, 4)), rng.uniform(0, 1e5, (60, 4))
+    short[:, 2:] = short[:, :2] + rng.uniform(-500, 500, (60, 2))
+    upright = np.array([[5e4, 0, 5e4, 9e4], [0, 3e4, 9e4, 3e4], [7e4, 7e4, 7e4, 7e4]])
+    lines = np.concatenate([short, long, upright, long[:3]])
+    # Some are far from every line.
+    points = np.concatenate([rng.uniform(0, 1e5, (80, 2)), [[2e6, 2e6], [-9e5, 4e4], [5e4, 5e4], [7e4, 7e4]]])
+
+    def brute(points, lines):
+        d = lines[:, 2:] - lines[:, :2]
+        size = (d**2).sum(axis=1)
+        best = []
+        for p in points:
+            t = np.where(size > 0, np.clip(((p - lines[:, :2]) * d).sum(axis=1) / np.where(size > 0, size, 1), 0, 1), 0)
+            m = np.hypot(*(p - lines[:, :2] - t[:, None] * d).T)
+            best.append(float(m.min()))
+        return best
+
+    ps = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "p long, px double, py double")
+    for kept in (lines, long, short[:2], upright[1:2], upright[2:]):
+        ls = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(kept)], "k long, x1 double, y1 double, x2 double, y2 double")
+        want = brute(points, kept)
+        for side in (None, 3000.0):
+            got = {r.p: r for r in nearest.nearest_lines(ps, ls, side).collect()}
+            assert len(got) == len(points) and all(abs(got[i].metres - m) < 0.002 for i, m in enumerate(want))
+            assert all(abs(brute(points[i : i + 1], kept[[got[i].k]])[0] - m) < 0.002 for i, m in enumerate(want))
+    assert nearest.nearest_lines(ps, ls.limit(0)).count() == 0
+    # The registered query, on lines that all span more than 0.2 degrees.
+    spark.createDataFrame([(i,) for i in range(1, 12)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i,) for i in range(40, 100)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert terrain_queries.q_nearest(spark, str(tmp_path)).count() == 11
