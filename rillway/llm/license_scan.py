@@ -1,7 +1,10 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is one line of a document, a template a license notice; both are sets of words. A
-block matches if it holds at least ``THRESHOLD`` of a template's words. Words outside the
+A template is a license notice. With ``n`` words in the longest one, a block is a line of a
+document, or ``3 n`` words of it from any word whose place is a multiple of ``n``, whatever the
+line breaks: a notice however wrapped, with comment marks or up to ``n`` other words in between,
+lies whole in one of these. They are only cut where the document as a whole holds enough of a
+template's words. Blocks and templates are sets of words. A block matches if it holds at least ``THRESHOLD`` of a template's words. Words outside the
 templates can't count towards that, so a block keeps only template words; these are ordered
 by the number of documents that hold them, over all documents, rarest first. If a block of
 ``b`` words and a template of ``t`` share at least ``a = ceil(THRESHOLD * t)``, they share one
@@ -67,8 +70,20 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.cast("long").alias("word"), F.lit(label).alias("label")))
 
 
-def _blocks(docs: DataFrame, doc_id: str, text: str, base: dict[str, str], vocab: list[str], least: int) -> DataFrame:
-    """A thin row for each document: counts, base places, and its lines as sets of template words."""
+def _windows(words: Column, n: int, vocab: list[str]) -> Column:
+    """The template words of each ``3 n`` words, beginning at every ``n``-th."""
+
+    def of(w: Column) -> Column:
+        at = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_intersect(F.slice(w, i + 1, 3 * n), _strings(vocab)))
+
+    return F.flatten(F.transform(F.array(words), of))
+
+
+def _blocks(docs: DataFrame, doc_id: str, text: str, base: dict[str, str], sets: dict[str, list[str]], need: dict[str, int]) -> DataFrame:
+    """A thin row for each document: counts, base places, and its blocks as sets of template words."""
+    vocab = sorted({w for s in sets.values() for w in s})
+    longest = max(len(t.split()) for t in sets)
     lowered = lower_ascii(F.coalesce(F.col(text), F.lit("")))
     d = docs.select(F.col(doc_id).alias("doc_id"), lowered.alias("_t"))
     places = []
@@ -78,13 +93,19 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, base: dict[str, str], vocab
         near = F.col("_t").rlike(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(words))
         found = F.when(near, _starts(_cut("_t"), words)).otherwise(F.array().cast("array<int>"))
         places.append(_labelled(found, label))
-    sets = F.transform(F.split("_t", "\n"), lambda line: F.array_intersect(_cut(line), _strings(vocab)))
+    d = d.withColumn("_lines", F.transform(F.split("_t", "\n"), lambda line: F.array_intersect(_cut(line), _strings(vocab))))
+    d = d.withColumn("_held", F.array_distinct(F.flatten("_lines")))
+    enough = F.lit(False)
+    for t, s in sets.items():
+        enough = enough | (F.size(F.array_intersect("_held", _strings(s))) >= need[t])
+    windows = F.when((F.size("_lines") > 1) & enough, _windows(_cut("_t"), longest, vocab)).otherwise(F.array().cast("array<array<string>>"))
+    least = min(need.values())
     return d.select(
         "doc_id",
         F.regexp_count("_t", F.lit(ALNUM_WORD)).cast("long").alias("n_words"),
         F.concat(*places).alias("_places"),
-        F.filter(sets, lambda s: F.size(s) >= least).alias("_sets"),
-        F.array_distinct(F.flatten(sets)).alias("_held"),
+        F.filter(F.concat("_lines", windows), lambda s: F.size(s) >= least).alias("_sets"),
+        "_held",
     )
 
 
@@ -93,7 +114,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: dict
     sets = {t: sorted(set(t.split())) for t in templates}
     need = {t: math.ceil(threshold * len(s)) for t, s in sets.items()}
     vocab = sorted({w for s in sets.values() for w in s})
-    thin = materialise(_blocks(docs, doc_id, text, base, vocab, min(need.values())).withColumn("_row", F.monotonically_increasing_id()))
+    thin = materialise(_blocks(docs, doc_id, text, base, sets, need).withColumn("_row", F.monotonically_increasing_id()))
     # One count for each template word: as many rows as the templates have words.
     counts = {r["w"]: r["n"] for r in thin.select(F.explode("_held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pylist()}
     order = sorted(vocab, key=lambda w: (counts.get(w, 0), w))

@@ -131,6 +131,26 @@ def test_licenses(spark, nothing):
     assert license_scan.scan(nothing).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    def comment(notice, mark, columns, before=0):
+        words = " ".join(f"w{i}" for i in range(before))
+        return words + "\n" * bool(before) + "\n".join(mark + line for line in textwrap.wrap(notice, columns, break_long_words=False)) + "\nint main() {}\n" + words
+
+    texts, want = [], []
+    for notice, label in license_scan.TEMPLATES.items():
+        for mark, columns, before in (("", 75, 0), (" * ", 40, 3), ("REM ", 20, 31), ("# ", 12, 500), ("", 1, 47)):
+            texts.append(comment(notice, mark, columns, before))
+            want.append(label)
+    # Enough of the words, but far apart.
+    apart = "\n".join(w + " other" * 60 for w in "this source code form is subject to the terms of the mozilla public license v 2 0".split())
+    rows = spark.createDataFrame([*enumerate(texts), (-1, apart)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(rows).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score >= 0.9 for i, label in enumerate(want))
+    assert (got[-1].labels, got[-1].score) == ("", 0.0)
+
+
 def test_jaccard_join(spark, docs, nothing):
     rng = random.Random(5)
     base = [f"t{rng.randint(0, 5000)}" for _ in range(120)]
