@@ -33,7 +33,7 @@ from rillway.llm.sentencepiece_codec import _id_type
 BUCKETS, DIM, N_GRAMS = 1 << 17, 4, (3, 4, 5)
 ROWS_PER_CLASS, STEPS, RATE, DECAY, MIN_DOCS, INIT = 2000, 40, 0.1, 1e-6, 3, 0.2
 THRESHOLD = 0.7
-MAX_WORDS_HELD = 400_000
+MAX_WORDS_HELD, PART = 400_000, 20_000
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}<>]+")
 
 
@@ -108,38 +108,53 @@ def train(bags: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
     labels = np.asarray(labels, dtype=np.float64)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, 0.0)
-    # A word of one text is that text's alone: only words of two or more are learned from.
+    # Words of one text too: what is learned from them, others share through their n-grams.
     texts_of = Counter(w for bag in bags for w in bag)
-    vocab = {w: k for k, w in enumerate(sorted(w for w, n in texts_of.items() if n > 1))}
-    bags = [[w for w in bag if w in vocab] for bag in bags]
-    if not vocab:
+    names = sorted(texts_of)
+    if not names:
         return Model(None, 0.0)
-    names = list(vocab)
-    parts = [subwords(names[k : k + 20_000]) for k in range(0, len(names), 20_000)]
-    buckets, count = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
-    word_of = np.repeat(np.arange(len(vocab)), count)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.array([vocab[w] for b in bags for w in b], dtype=np.int64)
+    vocab = {w: k for k, w in enumerate(names)}
+    doc = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    word = np.fromiter((vocab[w] for b in bags for w in b), dtype=np.int32, count=len(doc))
+    del vocab
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
+    # Some words at a time, which bounds what is held beside four bytes for each n-gram.
+    count, seen, parts = np.zeros(len(names), dtype=np.int32), np.zeros(BUCKETS), []
+    for k in range(0, len(names), PART):
+        buckets, n = subwords(names[k : k + PART])
+        count[k : k + len(n)] = n
+        seen += np.bincount(buckets, np.repeat([texts_of[w] for w in names[k : k + PART]], n), minlength=BUCKETS)
+        parts.append(buckets.astype(np.int32))
+    n_words = len(names)
+    del names, texts_of
     # Buckets seen in fewer than MIN_DOCS texts say nothing that could carry over; their vector is 0.
-    seen = np.bincount(buckets, np.bincount(word, minlength=len(vocab))[word_of], minlength=BUCKETS)
-    often = seen[buckets] >= MIN_DOCS
-    word_of = word_of[often]
-    used, at = np.unique(buckets[often], return_inverse=True)
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    row_of = np.full(BUCKETS, -1, dtype=np.int32)
+    row_of[used] = np.arange(len(used))
+    for k, buckets in enumerate(parts):
+        n = count[k * PART : (k + 1) * PART]
+        at = row_of[buckets]
+        kept = np.bincount(np.repeat(np.arange(len(n)), n)[at >= 0], minlength=len(n))
+        some = np.flatnonzero(kept)
+        parts[k] = at[at >= 0], some + k * PART, kept[some], np.cumsum(kept[some]) - kept[some]
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, INIT, (len(used), DIM)), rng.normal(0, INIT, DIM), np.array([-4.0]), np.array([0.0])]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
         table, soft, low, bias = params
-        bag = np.stack([np.bincount(word_of, table[at, d], minlength=len(vocab)) for d in range(DIM)], axis=1) / count[:, None]
+        bag = np.zeros((n_words, DIM))
+        for at, some, _, first in parts:
+            if len(at):
+                bag[some] = np.add.reduceat(table[at], first, axis=0) / count[some, None]
         z = np.minimum(bag @ soft + low, 30)
         e = np.exp(z)
         total = 1 + np.bincount(doc, e[word], minlength=len(bags))
         p = 1 / (1 + np.exp(-(np.log(total) + bias)))
         miss = (p - labels) * weight
-        of_word = np.bincount(word, (miss / total)[doc], minlength=len(vocab)) * e
-        pull = (of_word / count)[word_of]
-        per_bucket = np.bincount(at, pull, minlength=len(used))
+        of_word = np.bincount(word, (miss / total)[doc], minlength=n_words) * e
+        pull, per_bucket = of_word / count, np.zeros(len(used))
+        for at, some, kept, _ in parts:
+            per_bucket += np.bincount(at, np.repeat(pull[some], kept), minlength=len(used))
         grads = [per_bucket[:, None] * soft[None, :] + DECAY * table, bag.T @ of_word + DECAY * soft, np.array([of_word.sum()]), np.array([miss.sum()])]
         for k, g in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -165,7 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     first = lambda y: ids.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
     sample = first(0).unionByName(first(1))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").toArrow()
-    bags = [sorted(set(words_of(t))) for t in rows["_text"].to_pylist()]
+    one: dict[str, str] = {}  # equal words are held once
+    bags = [sorted({one.setdefault(w, w) for w in words_of(t.as_py())}) for t in rows["_text"]]
+    del one
     order = sorted(range(len(bags)), key=lambda k: (bags[k], rows["_y"][k].as_py()))
     return train([bags[k] for k in order], np.array([rows["_y"][k].as_py() for k in order]))
 

@@ -237,6 +237,19 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, none).count() == 0 and {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_words_of_one_text():
+    rng = random.Random(12)
+    clean = [f"plain{i}" for i in range(40)]
+    spelled = lambda: "scumbag" + "".join(rng.choices("qxzjvk", k=6))
+    bags, labels = [], []
+    for i in range(200):
+        bags.append(sorted({*rng.choices(clean, k=20), *([spelled()] if i % 2 else ["".join(rng.choices("aeioustr", k=9))])}))
+        labels.append(i % 2)
+    model = toxicity.train(bags, np.array(labels))
+    got = model.scores([f"plain1 plain2 {spelled()}", "plain1 plain2 plain3"])
+    assert got[0] > 0.7 > got[1]
+
+
 def test_lm_scores(docs, nothing):
     texts = [(r.doc_id, lm_scores.words_of(r.text)) for r in docs.collect()]
     count = Counter(w for _, t in texts for w in t)
