@@ -56,7 +56,17 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -163,14 +173,17 @@ def components(links: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     every node jump to its label's label; it ends when no label changes. Inputs of every join
     are written tables, so that adaptive execution can split the links of a popular node.
     """
-    both = materialise(links.select(F.col(src).alias("u"), F.col(dst).alias("v")).unionByName(links.select(F.col(dst).alias("u"), F.col(src).alias("v"))).distinct())
-    labels = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
+    ends = links.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    both = materialise(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    written = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     while True:
+        labels = written.select("node", "label")
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("other"))
         took = materialise(labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "other").alias("label")))
         up = took.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = materialise(took.join(up, "label").select("node", "was", F.col("above").alias("label")))
-        changed = jumped.filter("label < was").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        discard(written, took)
+        written = jumped
+        if not jumped.filter("label < was").take(1):
+            discard(both)
+            return jumped.select("node", "label")
