@@ -373,7 +373,7 @@ def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame, links: DataF
         label = None if links is None else components(links)
         open_ = materialise(_labelled(rest, label))
         main = open_.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("label", "n").alias("_main"), F.count(F.lit(1)).alias("_parts"))
-        live = open_.join(main.filter("_parts > 1"), "sig")
+        live = materialise(open_.join(main.filter("_parts > 1"), "sig"))
         live = live.join(_group(live), "sig").filter(_room())
         # Those outside the largest component of the group, nearest to what it shares first.
         order = Window.partitionBy("sig").orderBy(_singles(), "node")
