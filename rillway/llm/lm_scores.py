@@ -8,9 +8,12 @@ caller may close the vocabulary at ``vocabulary`` words; every other word then c
 
 The ``FREQUENT`` most frequent words have small ids, and executors get a table of their
 counts; any other word is known by its hash. This changes where a count comes from and no
-score. Pairs of two of the ``HOT`` most frequent words would make a skewed shuffle: each task
+score. Pairs of two hot words would make a skewed shuffle: each task
 adds them up into a table of at most ``(HOT + 1)^2`` cells, and a document's share of the score
-is looked up there. Every other pair is shuffled once:
+is looked up there. Hot are the ``HOT`` most frequent words of a sample of about ``SAMPLE_DOCS``
+documents, so that words and hot pairs are counted in one pass over the texts; which words
+are hot changes no score either (a closed vocabulary takes its own, in a pass more). Every
+other pair is shuffled once:
 
 - two frequent words by the pair; the counts of its words come from the table;
 - a pair with a rare word by that word, so that where it arrives all occurrences of the word
@@ -27,45 +30,86 @@ columns are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as _hash
 
 from rillway.llm.common import materialise, ship_package, table
 
-FREQUENT, HOT, BACKOFF, WORDS_HELD = 65_535, 400, 0.4, 500_000
+FREQUENT, HOT, BACKOFF, WORDS_HELD, SAMPLE_DOCS, TEXTS_AT_ONCE = 65_535, 400, 0.4, 400_000, 16_000, 128
 #: A rare word's code has the sign bit, and this bit too where it is sent as first word of a pair.
 _RARE, _FIRST = -(1 << 63), 1 << 62
-#: What stands for the missing neighbour at a text's edge, and where keys of whole documents begin.
-_EDGE, _DOCUMENT = 1 << 20, 1 << 40
-_HASHES: dict[bytes, int] = {}
+#: What stands for the missing neighbour at a text's edge, and where keys of whole documents begin,
+#: of a document's hot pairs and of their score; the parts of 1 that the score is sent in.
+_EDGE, _DOCUMENT, _SCORE, _PARTS = 1 << 20, 1 << 40, 1 << 41, 1 << 36
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
+def _hashes(words) -> np.ndarray:
+    return np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
-    return xxhash.xxh3_64_intdigest(word)
 
+def _hot_pairs(u: np.ndarray, v: np.ndarray, of: np.ndarray, width: int, n: np.ndarray, n_docs: np.ndarray) -> None:
+    """Adds pairs of documents ``of`` to the tables of how often, and in how many documents, they stand."""
+    each, count = np.unique((of << 32) | (u * width + v), return_counts=True)
+    pair = each & 0xFFFFFFFF
+    np.add.at(n, pair, count)
+    np.add.at(n_docs, pair, 1)
+
+
+def _frequent_words(docs: DataFrame, most: int) -> list[bytes]:
+    """The ``most`` most frequent words of a sample of documents."""
+    whole = 1 << 20
+    share = min(whole, -(-whole * SAMPLE_DOCS // max(docs.count(), 1)))
 
-def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
+        for batch in batches:
+            count = Counter(chain.from_iterable(words_of(t.as_py()) for t in batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], names=["word", "n"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < share).select("text")
+    counts = sample.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+
+
+def _counted(docs: DataFrame, hot: list[bytes]) -> DataFrame:
+    """``key``, ``n`` and ``docs``: words by hash and how often they stand (``docs`` is 0), and
+    pairs of hot words by their places among these, with how many documents have them."""
+    width, places = len(hot) + 1, {w: k + 1 for k, w in enumerate(hot)}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_docs = np.zeros(width * width, dtype=np.int64), np.zeros(width * width, dtype=np.int64)
         for batch in batches:
             count: Counter = Counter()
-            for text in batch.column(0):
-                count.update(words_of(text.as_py()))
-            h = np.array([_hash(w) for w in count], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                lists = [words_of(t) for t in batch.column(0).slice(k, TEXTS_AT_ONCE).to_pylist()]
+                flat = list(chain.from_iterable(lists))
+                count.update(flat)
+                if places and flat:
+                    at = np.fromiter(map(places.get, flat, repeat(0)), dtype=np.int64, count=len(flat))
+                    of = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
+                    pick = (at[:-1] > 0) & (at[1:] > 0) & (of[:-1] == of[1:])
+                    _hot_pairs(at[:-1][pick], at[1:][pick], of[:-1][pick], width, n, n_docs)
+            none = np.zeros(len(count), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(count)), pa.array(count.values(), pa.int64()), pa.array(none)], names=["key", "n", "docs"])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["key", "n", "docs"])
+
+    each = docs.select("text").mapInArrow(run, "key long, n long, docs long")
+    return each.groupBy("key", (F.col("docs") > 0).alias("_pair")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    return counts.orderBy(F.desc("n"), "word").limit(most).toArrow()
 
 
 class Vocabulary:
@@ -77,29 +121,29 @@ class Vocabulary:
         self.closed = closed
         self.held: dict[bytes, int] = {}
 
-    def ids(self, words: list[bytes]) -> list[int]:
+    def ids(self, words: list[bytes]) -> np.ndarray:
         held = self.held
         if len(held) > WORDS_HELD:
             held.clear()
-        if new := [w for w in set(words) if w not in held]:
-            h = np.array([_hash(w) for w in new], dtype=np.uint64).view(np.int64)
+        if new := list(set(words).difference(held)):
+            h = _hashes(new)
             other = np.zeros(len(h), dtype=np.int64) if self.closed else h & (_FIRST - 1) | _RARE
             if len(self.sorted):
                 at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
                 other = np.where(self.sorted[at] == h, self.order[at] + 1, other)
             held.update(zip(new, other.tolist(), strict=True))
-        return [held[w] for w in words]
+        return np.fromiter(map(held.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, closed: bool) -> Iterator[tuple]:
     """Some documents at a time: their batch, and of each word its code and its document's place in it."""
     vocabulary = Vocabulary(hashes, closed)
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            ids = [vocabulary.ids(words_of(t)) for t in part.column(1).to_pylist()]
-            of = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            yield part, np.array([i for x in ids for i in x], dtype=np.int64), of
+        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(k, TEXTS_AT_ONCE)
+            lists = [words_of(t) for t in part.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            yield part, vocabulary.ids(list(chain.from_iterable(lists))), of
 
 
 def _hot(u: np.ndarray, v: np.ndarray, hot: int) -> np.ndarray:
@@ -107,7 +151,7 @@ def _hot(u: np.ndarray, v: np.ndarray, hot: int) -> np.ndarray:
 
 
 def _hot_counts(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int) -> DataFrame:
-    """``pair``, ``n`` and ``docs``, the documents that have it, for the pairs of hot words of each task."""
+    """``key``, ``n`` and ``docs``, the documents that have it, for the pairs of hot words of each task."""
     width = hot + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,30 +159,31 @@ def _hot_counts(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int) ->
         for _, ids, of in _slices(batches, hashes, closed):
             u, v = ids[:-1], ids[1:]
             pick = (of[:-1] == of[1:]) & _hot(u, v, hot)
-            each, count = np.unique((of[:-1][pick] << 32) | (u[pick] * width + v[pick]), return_counts=True)
-            pair = each & 0xFFFFFFFF
-            np.add.at(n, pair, count)
-            np.add.at(n_docs, pair, 1)
+            _hot_pairs(u[pick], v[pick], of[:-1][pick], width, n, n_docs)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["pair", "n", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["key", "n", "docs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pair long, n long, docs long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, n long, docs long")
 
 
 def _distinct(of: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct (document, g, o), and how often it stands."""
     if not len(g):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    order = np.lexsort((o, g, of))
-    a, b, c = of[order], g[order], o[order]
-    begins = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    # One hash of the three, of as many bits as the words' own.
+    key = (g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (o.view(np.uint64) + of.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    key ^= key >> np.uint64(27)
+    order = np.argsort(key)
+    key = key[order]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return order[begins], np.diff(np.append(begins, len(order)))
 
 
 def _pairs(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int, scores: np.ndarray, unseen: np.ndarray) -> DataFrame:
     """Distinct pairs of each document by what they are shuffled by: ``g``, ``o`` and ``n``.
 
-    A document's hot pairs are one row: ``s``, their score, ``n``, their number, and ``o``, those unseen.
+    A document's hot pairs are two rows: ``n``, their number, with ``o``, those unseen; and ``o``, their score in parts.
     """
     width = hot + 1
 
@@ -156,6 +201,7 @@ def _pairs(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int, scores:
             key = np.array([_hash(repr(x).encode()) & 0xFFFFFFFF for x in part.column(0).take(pa.array(with_hot)).to_pylist()], dtype=np.int64) + _DOCUMENT
             s = np.bincount(hj, weights=scores[at], minlength=n_docs)[with_hot]
             b = np.bincount(hj, weights=unseen[at], minlength=n_docs)[with_hot].astype(np.int64)
+            s = np.round(s * _PARTS).astype(np.int64)
 
             usual = ~is_hot & (u >= 0) & (v >= 0)
             each, n_usual = np.unique((j[usual] << 32) | (u[usual] << 16) | v[usual], return_counts=True)
@@ -166,20 +212,18 @@ def _pairs(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int, scores:
             o = np.concatenate([u[rare_v], v[rare_u], np.full(starts.sum() + ends.sum(), _EDGE)])
             first, n_rare = _distinct(rj, g, o)
 
-            docs_at = np.concatenate([with_hot, each >> 32, rj[first]])
-            none = np.zeros(len(each) + len(first))
+            docs_at = np.concatenate([with_hot, with_hot, each >> 32, rj[first]])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(pa.array(docs_at)),
-                    pa.array(np.concatenate([key, each & 0xFFFFFFFF, g[first]])),
-                    pa.array(np.concatenate([b, np.zeros(len(each), dtype=np.int64), o[first]])),
-                    pa.array(np.concatenate([n_hot[with_hot], n_usual, n_rare]).astype(np.int64)),
-                    pa.array(np.concatenate([s, none]), mask=np.concatenate([np.zeros(len(s), dtype=bool), none == 0])),
+                    pa.array(np.concatenate([key, key + (_SCORE - _DOCUMENT), each & 0xFFFFFFFF, g[first]])),
+                    pa.array(np.concatenate([b, s, np.zeros(len(each), dtype=np.int64), o[first]])),
+                    pa.array(np.concatenate([n_hot[with_hot], np.zeros(len(s), dtype=np.int64), n_usual, n_rare]).astype(np.int32)),
                 ],
-                names=["doc_id", "g", "o", "n", "s"],
+                names=["doc_id", "g", "o", "n"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, g long, o long, n long, s double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, g long, o long, n int")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None, frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
@@ -193,17 +237,34 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabular
     ship_package(docs.sparkSession)
     spark = docs.sparkSession
     thin = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counts = materialise(_word_counts(thin))
+    names = [] if closed or not hot else _frequent_words(thin, min(hot, frequent))
+    guessed = _hashes(names)
+    counted = materialise(_counted(thin, names))
+    counts = counted.filter(~F.col("_pair")).select(F.col("key").alias("word"), "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary if closed else frequent).toArrow()
+    top = _most_frequent(counts, vocabulary if closed else frequent)
     hashes, known = top["word"].to_numpy(), top["n"].to_numpy()
+    if not closed:
+        # Hot words first; one that the table of frequent words leaves out isn't hot.
+        place = {int(h): k for k, h in enumerate(guessed)}
+        rank = np.array([place.get(int(h), hot) for h in hashes], dtype=np.int64)
+        order = np.argsort(rank, kind="stable")
+        hashes, known, rank = hashes[order], known[order], rank[order]
+        hot = int((rank < hot).sum())
     logs = np.log(np.maximum(np.concatenate([[total - known.sum()], known]), 1))
     backoff = float(np.log(BACKOFF) - np.log(max(total, 1)))
 
     # The pairs of hot words, all of them here.
     width = hot + 1
-    usual = _hot_counts(thin, hashes, closed, hot).toArrow()
-    pair, n, n_docs = (usual[c].to_numpy() for c in ("pair", "n", "docs"))
+    usual = (_hot_counts(thin, hashes, closed, hot) if closed else counted.filter("_pair")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow()
+    pair, n, n_docs = (usual[c].to_numpy() for c in ("key", "n", "docs"))
+    if not closed:
+        # From places among the guessed words to ids.
+        ids = np.zeros(len(guessed) + 1, dtype=np.int64)
+        ids[rank[:hot] + 1] = np.arange(1, hot + 1)
+        u, v = ids[pair // len(ids)], ids[pair % len(ids)]
+        keep = (u > 0) & (v > 0)
+        pair, n, n_docs = (u * width + v)[keep], n[keep], n_docs[keep]
     scores, unseen = np.zeros(width * width), np.zeros(width * width)
     unseen[pair] = n_docs < 2
     scores[pair] = np.where(n_docs > 1, np.log(np.maximum(n, 1)) - logs[pair // width], backoff + logs[pair % width])
@@ -220,16 +281,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabular
     by_window = rare & (seen == as_first)
     wanted = F.when(rare, o).when(seen, F.shiftright("g", 16)).otherwise(g.bitwiseAND(0xFFFF))
     rows = rows.withColumn("_seen", seen).withColumn("_here", counts_here).withColumn("_by_window", by_window)
-    rows = rows.withColumn("_id", F.when(F.col("_here") & ~F.col("_by_window") & F.col("s").isNull(), wanted))
+    rows = rows.withColumn("_id", F.when(F.col("_here") & ~F.col("_by_window") & (g < _DOCUMENT), wanted))
     words = F.broadcast(spark.createDataFrame(list(enumerate(logs.tolist())), "_id long, _log double"))
     named = rows.join(words, "_id", "left")
     log_n = F.when(F.col("_by_window"), F.log("_w")).otherwise(F.col("_log"))
     each = F.when(F.col("_seen"), F.log("_c") - log_n).otherwise(F.lit(backoff) + log_n) * F.col("n")
-    whole = F.col("s").isNotNull()
+    whole, in_parts = (g >= _DOCUMENT) & (g < _SCORE), g >= _SCORE
     sums = named.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.sum(F.when(whole, F.col("s")).when(F.col("_here"), each)).alias("_s"),
+        F.sum(F.when(in_parts, o / _PARTS).when(F.col("_here") & ~whole, each)).alias("_s"),
         F.sum(F.when(F.col("_here"), F.col("n")).otherwise(zero)).alias("_n"),
-        F.sum(F.when(whole, o).when(F.col("_here") & ~F.col("_seen"), F.col("n")).otherwise(zero)).alias("_b"),
+        F.sum(F.when(whole, o).when(F.col("_here") & ~in_parts & ~F.col("_seen"), F.col("n")).otherwise(zero)).alias("_b"),
     )
     joined = thin.select("doc_id").join(sums, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return joined.select("doc_id", F.coalesce(F.when(F.col("_n") > 0, F.col("_n")), zero).alias("n_pairs"), F.coalesce("_b", zero).alias("n_backoff"), F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("log_score"))
