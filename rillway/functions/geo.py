@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,7 +90,26 @@ def point_segment_m(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
+def _ascii_of() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves in ASCII of each character of the Latin, phonetic,
+    letter-like and form blocks: characters that leave one, these, and the others with what they leave."""
+    one, left, more = [], [], {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2190), *range(0x2460, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one.append(chr(code))
+            left.append(plain)
+        elif plain:
+            more[chr(code)] = plain
+    return "".join(one), "".join(left), more
+
+
 def slug(text: Column) -> Column:
-    """ASCII letters and digits joined by single hyphens."""
-    plain = F.translate(F.lower(text), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[^\\x00-\\x7f]", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case ASCII letters and digits joined by single hyphens; accented and composed letters are decomposed."""
+    one, left, more = _ascii_of()
+    plain = F.translate(text, one, left)
+    rare = plain
+    for char, ascii_ in more.items():
+        rare = F.replace(rare, F.lit(char), F.lit(ascii_))
+    plain = F.when(plain.rlike("[^\\x00-\\x7f]"), rare).otherwise(plain)
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(plain, "[^\\x00-\\x7f]", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")

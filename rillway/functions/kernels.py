@@ -196,15 +196,16 @@ def bilinear(grid: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def cast_shadow(grid: np.ndarray, azimuth: float, altitude: float, cell: float) -> np.ndarray:
-    """Cells that ground towards the sun hides: rays of one-cell steps until above the highest ground."""
-    az = np.radians(azimuth)
-    rise, top = cell * np.tan(np.radians(altitude)), np.nanmax(grid)
+    """Cells that ground towards the sun hides: rays that advance one cell along the larger axis, until above the highest ground."""
+    east, north = np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth))
+    east, north = (v / max(abs(east), abs(north)) for v in (east, north))
+    rise, top = cell * np.hypot(east, north) * np.tan(np.radians(altitude)), np.nanmax(grid)
     live_r, live_c = np.nonzero(~np.isnan(grid))
     base, hidden = grid[live_r, live_c], np.zeros(grid.shape, dtype=bool)
     filled = fill_nan(grid)
-    for k in range(1, int(np.hypot(*grid.shape)) + 2):
+    for k in range(1, int(np.hypot(*grid.shape)) + 3):
         level = base + k * rise
-        r, c = live_r - k * np.cos(az), live_c + k * np.sin(az)
+        r, c = live_r - k * north, live_c + k * east
         go = (level <= top) & (r >= 0) & (c >= 0) & (r <= grid.shape[0] - 1) & (c <= grid.shape[1] - 1)
         live_r, live_c, base, level, r, c = live_r[go], live_c[go], base[go], level[go], r[go], c[go]
         if not len(base):
@@ -215,21 +216,45 @@ def cast_shadow(grid: np.ndarray, azimuth: float, altitude: float, cell: float)
     return hidden
 
 
-def contours(grid: np.ndarray, level: float) -> list[np.ndarray]:
-    """Segments of a contour level by marching squares, as pairs of (row, column)."""
-    out = []
-    for r in range(grid.shape[0] - 1):
-        for c in range(grid.shape[1] - 1):
-            corners = [(r, c), (r, c + 1), (r + 1, c + 1), (r + 1, c)]
-            z = [grid[p] for p in corners]
-            if np.isnan(z).any():
-                continue
-            cuts = []
-            for k in range(4):
-                a, b = z[k], z[(k + 1) % 4]
-                if (a > level) != (b > level):
-                    t = (level - a) / (b - a)
-                    p, q = np.array(corners[k]), np.array(corners[(k + 1) % 4])
-                    cuts.append(p + (q - p) * t)
-            out += [np.array(cuts[k : k + 2]) for k in range(0, len(cuts) - 1, 2)]
+def contours(grid: np.ndarray, level: float) -> np.ndarray:
+    """Segments of a contour level by marching squares: n x 2 ends x (row, column).
+
+    Cells that a contour crosses twice (saddles) give both of their segments, in the order of their edges.
+    """
+    corner = [grid[:-1, :-1], grid[:-1, 1:], grid[1:, 1:], grid[1:, :-1]]
+    offset = np.array([(0, 0), (0, 1), (1, 1), (1, 0)], dtype=float)
+    r, c = np.nonzero(~np.isnan(sum(corner)))
+    z = np.stack([k[r, c] for k in corner], axis=1)
+    high, after = z > level, np.roll(z, -1, axis=1)
+    cut = high != np.roll(high, -1, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(cut, (level - z) / (after - z), 0)
+    place = np.stack([r, c], axis=1)[:, None, :] + offset + t[..., None] * (np.roll(offset, -1, axis=0) - offset)
+    # Crossed edges come first in each cell: two, or four of a saddle.
+    order = np.argsort(~cut, axis=1, kind="stable")
+    place, n = np.take_along_axis(place, order[..., None], axis=1), cut.sum(axis=1)
+    return np.concatenate([place[n >= 2][:, :2], place[n == 4][:, 2:]])
+
+
+def chains(segments: np.ndarray) -> list[np.ndarray]:
+    """Contour segments joined end to end into lines; ends are the same if equal to 1e-9."""
+    key = lambda p: (round(p[0] * 1e9), round(p[1] * 1e9))
+    at: dict[tuple, list[int]] = {}
+    for k, s in enumerate(segments):
+        for p in s:
+            at.setdefault(key(p), []).append(k)
+    used, out = np.zeros(len(segments), dtype=bool), []
+    # Open lines begin where one segment ends; what is left are rings.
+    starts = [k for ks in at.values() if len(ks) == 1 for k in ks]
+    for first in [*starts, *range(len(segments))]:
+        if used[first]:
+            continue
+        a, b = segments[first]
+        line, k = ([a, b] if len(at[key(a)]) == 1 or len(at[key(b)]) != 1 else [b, a]), first
+        used[k] = True
+        while nxt := [j for j in at[key(line[-1])] if not used[j]]:
+            used[k := nxt[0]] = True
+            p, q = segments[k]
+            line.append(q if key(p) == key(line[-1]) else p)
+        out.append(np.array(line))
     return out

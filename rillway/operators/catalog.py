@@ -46,8 +46,9 @@ def partition_children(rivers: DataFrame, ranks: DataFrame) -> DataFrame:
     return tagged.withColumn("ordinal", F.row_number().over(place)).drop("_k", "_pname", "hops")
 
 
-def nodes(rivers: DataFrame, children: DataFrame, root: str, blacklist: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
-    """The catalog tree under ``root``: one row per river with its parent, role, depth and facts.
+def nodes(rivers: DataFrame, children: DataFrame, root: str | DataFrame, blacklist: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """The catalog tree under ``root``, or the trees under all of a table's ``river_id``: one row per
+    river with its parent, role, depth and facts.
 
     A blacklisted river goes with all above it; its parent counts it in ``n_folded``, and keeps
     no main line if that was it. A child is one deeper only where its parent has a tributary.
@@ -59,41 +60,47 @@ def nodes(rivers: DataFrame, children: DataFrame, root: str, blacklist: list[str
     kept = written(links.join(banned, "river_id", "left_anti"))
     counts = written(kept.groupBy(F.col("parent_id").alias("river_id")).agg(F.count_if(F.col("role") == "tributary").alias("n_tributaries"), F.count(F.lit(1)).alias("_kids")))
     spark = rivers.sparkSession
-    level = written(spark.createDataFrame([(root, None, "root", 1, 0)], "river_id string, parent_id string, role string, ordinal int, depth int"))
+    roots = spark.createDataFrame([(root,)], "river_id string") if isinstance(root, str) else root.select("river_id")
+    level = written(roots.select("river_id", F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("role"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.col("river_id").alias("root_id")))
     found = None
     while level.take(1):
         here = level.join(counts, "river_id", "left").withColumn("n_tributaries", F.coalesce("n_tributaries", F.lit(0))).withColumn("_kids", F.coalesce("_kids", F.lit(0)))
         cut = F.lit(False) if max_depth is None else (F.col("depth") >= max_depth) & (F.col("n_tributaries") > 0)
         here = written(here.withColumn("truncated", cut))
         found = here if found is None else written(found.unionByName(here))
-        below = here.filter("not truncated").select(F.col("river_id").alias("parent_id"), (F.col("depth") + F.when(F.col("n_tributaries") > 0, 1).otherwise(0)).alias("depth"))
-        level = written(kept.join(below, "parent_id").select("river_id", "parent_id", "role", "ordinal", "depth"))
+        below = here.filter("not truncated").select(F.col("river_id").alias("parent_id"), (F.col("depth") + F.when(F.col("n_tributaries") > 0, 1).otherwise(0)).alias("depth"), "root_id")
+        level = written(kept.join(below, "parent_id").select("river_id", "parent_id", "role", "ordinal", "depth", "root_id"))
     facts = rivers.select("river_id", "name", "length_m", "strahler", "n_upstream")
     return found.join(facts, "river_id").join(folded, "river_id", "left").select(
         "river_id", "parent_id", "role", "ordinal", "depth", "name", F.round(F.col("length_m") / 1000, 2).cast("double").alias("length_km"), "strahler", "n_upstream",
-        "n_tributaries", F.coalesce("n_folded", F.lit(0)).alias("n_folded"), (F.col("_kids") == 0).alias("is_headwater"), "truncated",
+        "n_tributaries", F.coalesce("n_folded", F.lit(0)).alias("n_folded"), (F.col("_kids") == 0).alias("is_headwater"), "truncated", "root_id",
     )
 
 
-def forest(rivers: DataFrame, children: DataFrame, roots: list[str], name: str = "study area") -> DataFrame:
-    """Several catalogs under one made-up root ``_forest``; a river in two of them is an error."""
-    trees = [nodes(rivers, children, r).withColumn("root_id", F.lit(r)) for r in roots]
-    every = trees[0]
-    for t in trees[1:]:
-        every = every.unionByName(t)
-    every = written(every)
+def forest(rivers: DataFrame, children: DataFrame, roots: list[str] | DataFrame, name: str = "study area", **cuts) -> DataFrame:
+    """Several catalogs under one made-up root ``_forest``; a river in two of them is an error.
+
+    All trees grow together, a level at a time. They stand in the order of ``roots``, a table by its ``river_id``.
+    """
+    spark = rivers.sparkSession
+    if isinstance(roots, list):
+        at = spark.createDataFrame([(r, k) for k, r in enumerate(roots, 1)], "root_id string, _o int")
+    else:
+        at = roots.select(F.col("river_id").alias("root_id"), F.row_number().over(Window.orderBy("river_id")).alias("_o"))
+    at = written(at)
+    every = written(nodes(rivers, children, at.select(F.col("root_id").alias("river_id")), **cuts))
     twice = [r.river_id for r in every.groupBy("river_id").count().filter("count > 1").select("river_id").take(5)]
     if twice:
         raise ValueError(f"rivers in more than one tree: {twice}")
-    at = every.sparkSession.createDataFrame(list(zip(roots, range(1, len(roots) + 1), strict=True)), "root_id string, _o int")
-    moved = every.join(F.broadcast(at), "root_id")
+    moved = every.join(at, "root_id")
     is_root = F.col("role") == "root"
     moved = moved.withColumn("parent_id", F.when(is_root, F.lit("_forest")).otherwise(F.col("parent_id"))).withColumn("ordinal", F.when(is_root, F.col("_o")).otherwise(F.col("ordinal")))
-    moved = moved.withColumn("role", F.when(is_root, "tributary").otherwise(F.col("role"))).withColumn("depth", F.col("depth") + 1).drop("root_id", "_o")
+    moved = moved.withColumn("role", F.when(is_root, "tributary").otherwise(F.col("role"))).withColumn("depth", F.col("depth") + 1).drop("_o")
+    n_roots = at.count()
     top = every.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("_forest").alias("river_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("role"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.lit(name).alias("name"),
-        F.lit(None).cast("double").alias("length_km"), F.lit(None).cast("int").alias("strahler"), F.col("n").alias("n_upstream"), F.lit(len(roots)).cast("long").alias("n_tributaries"),
-        F.lit(0).cast("long").alias("n_folded"), F.lit(False).alias("is_headwater"), F.lit(False).alias("truncated"),
+        F.lit(None).cast("double").alias("length_km"), F.lit(None).cast("int").alias("strahler"), F.col("n").alias("n_upstream"), F.lit(n_roots).cast("long").alias("n_tributaries"),
+        F.lit(0).cast("long").alias("n_folded"), F.lit(False).alias("is_headwater"), F.lit(False).alias("truncated"), F.lit("_forest").alias("root_id"),
     )
     return moved.unionByName(top)
 

@@ -263,10 +263,10 @@ _HS = f"greatest(0, least(1, {_light(315.0, 45.0)}))"
 _DROP = f"{20.0 * __import__('math').tan(__import__('math').radians(10.3))!r}::DOUBLE"
 _MEM = f"{RIVER_SQL}, basin AS ({BASIN}), mem AS (SELECT e.river_id, b.basin, b.x, b.y, round((b.basin % 37 + 1) * 0.5::DOUBLE, 1) AS km2 FROM (SELECT river_id, river_id AS anc FROM river UNION SELECT river_id, ancestor FROM above) e JOIN basin b ON b.river_id = e.anc), area AS (SELECT river_id, round(sum(km2), 1) AS area_km2, count(*) AS n_sub_basins FROM mem GROUP BY river_id), num AS (SELECT river_id, CAST(substring(river_id, 5) AS BIGINT) AS n FROM river WHERE river_id LIKE 'CDE%'), cache AS (SELECT river_id, CASE WHEN n % 9 = 0 THEN 'dem' WHEN n % 9 = 3 THEN 'discarded' ELSE 'undetermined' END AS source, (n % 400) * 0.5::DOUBLE AS km2 FROM num WHERE n % 3 = 0)"
 _BLUR = f"WITH cell AS ({CELL}), ends AS (SELECT r, min(c) AS lo, max(c) AS hi FROM cell GROUP BY r), rows_ AS (SELECT a.r, a.c, sum(b.z) / 5 AS z FROM cell a JOIN ends e ON e.r = a.r CROSS JOIN (VALUES (-2),(-1),(0),(1),(2)) k(k) JOIN cell b ON b.r = a.r AND b.c = least(greatest(a.c + k, e.lo), e.hi) GROUP BY a.r, a.c), vend AS (SELECT c, min(r) AS lo, max(r) AS hi FROM rows_ GROUP BY c) SELECT a.r, a.c, round(sum(b.z) / 5, 6) AS blurred FROM rows_ a JOIN vend e ON e.c = a.c CROSS JOIN (VALUES (-2),(-1),(0),(1),(2)) k(k) JOIN rows_ b ON b.c = a.c AND b.r = least(greatest(a.r + k, e.lo), e.hi) GROUP BY a.r, a.c"
-_SEGD = f"""WITH v AS (SELECT k, {X1} AS x1, {Y1} AS y1, {X2} AS x2, {Y2} AS y2, floor(CAST(lon1 AS DOUBLE) / 0.5) AS gx, floor(CAST(lat1 AS DOUBLE) / 0.5) AS gy FROM ({LINE}) WHERE abs(lon1 - lon2) < 0.195 AND abs(lat1 - lat2) < 0.195),
+_SEGD = f"""WITH v AS (SELECT k, {X1} AS x1, {Y1} AS y1, {X2} AS x2, {Y2} AS y2 FROM ({LINE})),
 p0 AS (SELECT s_suppkey AS p, -1.7::DOUBLE + (s_suppkey * 37 % 480) * 0.01::DOUBLE AS lon, 42.0::DOUBLE + (s_suppkey * 11 % 115) * 0.01::DOUBLE AS lat FROM supplier),
-p AS (SELECT p, {PX} AS px, {PY} AS py, floor(lon / 0.5) AS gx, floor(lat / 0.5) AS gy FROM p0),
-t AS (SELECT p, k, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t FROM p JOIN v ON abs(p.gx - v.gx) <= 1 AND abs(p.gy - v.gy) <= 1),
+p AS (SELECT p, {PX} AS px, {PY} AS py FROM p0),
+t AS (SELECT p, k, px, py, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t FROM p CROSS JOIN v),
 d AS (SELECT p, k, round(sqrt(pow(px - x1 - t * dx, 2) + pow(py - y1 - t * dy, 2)), 3) AS metres FROM t)
 SELECT p, arg_min(k, (metres, k)) AS k, min(metres) AS metres FROM d GROUP BY p"""
 

@@ -16,14 +16,12 @@ def seg(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def main_trib(spark):
-    rows = [
-        ("MAIN_1", "N_s", "N_a", {"ord": 2, "key": "CDE_MAIN", "name": "Main", "m": 2700}),
-        ("MAIN_2a", "N_a", "N_b", {"ord": 2, "key": "CDE_MAIN", "name": "Main", "m": 2000}),
-        ("MAIN_2b", "N_b", "N_o", {"ord": 3, "key": "CDE_MAIN", "name": "Main", "m": 2700}),
-        ("TRIB_1", "N_t", "N_b", {"key": "CDE_TRIB", "name": "Trib", "m": 5600}),
-        ("UNN_1", "N_u", "N_t", {"m": 3400}),
-    ]
+def orme(spark):
+    # Four reaches of the Orme; the Quille comes in at p2 below two nameless reaches, the Bise at p1.
+    o = lambda m, ord: {"key": "RV_O", "name": "Orme", "m": m, "ord": ord}
+    rows = [("o1", "p0", "p1", o(1100, 3)), ("o2", "p1", "p2", o(900, 3)), ("o3", "p2", "p3", o(1500, 4)), ("o4", "p3", "p4", o(700, 4))]
+    rows += [("q1", "q0", "q1", {"key": "RV_Q", "name": "Quille", "m": 1300, "ord": 2}), ("q2", "q1", "p2", {"key": "RV_Q", "name": "Quille", "m": 800, "ord": 2})]
+    rows += [("x1", "x0", "q0", {"m": 450}), ("x2", "x9", "x0", {"m": 350}), ("b1", "b0", "p1", {"key": "RV_B", "name": "Bise", "m": 600})]
     return R.build(S.graph(seg(spark, rows)))
 
 
@@ -31,65 +29,68 @@ def pairs(df):
     return {tuple(r) for r in df.collect()}
 
 
-def test_main_and_tributary(main_trib):
-    net = main_trib
-    rivers = {r.river_id: r for r in net.rivers.collect()}
-    assert set(rivers) == {"CDE_MAIN", "CDE_TRIB"}
-    assert dict(pairs(net.segment_river))["UNN_1"] == "CDE_TRIB"
-    assert rivers["CDE_TRIB"].parent_id == "CDE_MAIN" and rivers["CDE_MAIN"].parent_id is None
-    assert (rivers["CDE_MAIN"].outlet, rivers["CDE_TRIB"].outlet) == ("N_o", "N_b")
-    assert rivers["CDE_MAIN"].strahler == 3 and rivers["CDE_TRIB"].length_m == 9000
-    assert pairs(R.ends(net.edges, net.segment_river, "sources")) == {("CDE_MAIN", "N_s"), ("CDE_TRIB", "N_u")}
-    assert {r.cleabs for r in R.catchment_segments(net).filter("river_id = 'CDE_MAIN'").collect()} == {"MAIN_1", "MAIN_2a", "MAIN_2b", "TRIB_1", "UNN_1"}
+def test_rivers_of_the_orme(orme):
+    rivers = {r.river_id: r for r in orme.rivers.collect()}
+    assert {k: (r.length_m, r.strahler, r.parent_id, r.outlet) for k, r in rivers.items()} == {"RV_O": (4200, 4, None, "p4"), "RV_Q": (2900, 2, "RV_O", "p2"), "RV_B": (600, 1, "RV_O", "p1")}
+    owner = dict(pairs(orme.segment_river))
+    assert owner["x1"] == owner["x2"] == "RV_Q"
+    assert pairs(R.ends(orme.edges, orme.segment_river, "sources")) == {("RV_O", "p0"), ("RV_Q", "x9"), ("RV_B", "b0")}
+    above = R.catchment_segments(orme)
+    assert above.filter("river_id = 'RV_O'").count() == 9 and {r.cleabs for r in above.filter("river_id = 'RV_Q'").collect()} == {"q1", "q2", "x1", "x2"}
 
 
-def test_catalog_of_main(main_trib):
-    counted = R.n_upstream(main_trib)
-    kids = C.partition_children(counted, C.join_ranks(main_trib.edges, main_trib.segment_river, main_trib.rivers))
-    tree = {r.river_id: r for r in C.nodes(counted, kids, "CDE_MAIN").collect()}
-    assert tree["CDE_TRIB"].role == "mainline" and tree["CDE_TRIB"].depth == 0 and tree["CDE_TRIB"].is_headwater
-    assert tree["CDE_MAIN"].n_tributaries == 0
-    assert pairs(C.pfafstetter(counted, "CDE_MAIN")) == {("CDE_TRIB", "1")}
+def test_catalog_of_the_orme(orme):
+    counted = R.n_upstream(orme)
+    kids = C.partition_children(counted, C.join_ranks(orme.edges, orme.segment_river, orme.rivers))
+    tree = {r.river_id: r for r in C.nodes(counted, kids, "RV_O").collect()}
+    assert {k: (r.role, r.depth, r.is_headwater) for k, r in tree.items()} == {"RV_O": ("root", 0, False), "RV_Q": ("mainline", 1, True), "RV_B": ("tributary", 1, True)}
+    assert tree["RV_O"].n_tributaries == 1
+    assert pairs(C.pfafstetter(counted, "RV_O")) == {("RV_Q", "1"), ("RV_B", "3")}
 
 
-def test_resolve_says_what_is_loose(main_trib):
-    assert R.resolve(main_trib.rivers, "CDE_TRIB").first().name == "Trib"
+def test_resolve_says_what_is_loose(orme):
+    assert R.resolve(orme.rivers, "RV_Q").first().name == "Quille"
+    assert R.resolve(orme.rivers, "ORM").first().river_id == "RV_O"
     with pytest.raises(ValueError):
-        R.resolve(main_trib.rivers, "nowhere")
+        R.resolve(orme.rivers, "nowhere")
+    with pytest.raises(ValueError, match="Quille"):
+        R.resolve(orme.rivers, "i")
 
 
-def test_branchy_stem(spark):
-    k = lambda key, name, m, o=1: {"key": key, "name": name, "m": m, "ord": o}
-    rows = [(f"S{i}", a, b, k("CDE_STEM", "Stem", 2224, 4)) for i, (a, b) in enumerate([("N1", "N2"), ("N2", "N3"), ("N3", "N4"), ("N4", "N_OUT")], 1)]
-    rows += [("S2A", "M1", "M_OUT", k("CDE_STEM2", "Stem2", 3336)), ("TA1", "NA1", "NA0b", k("CDE_A", "A", 3300)), ("TA2", "NA0b", "N2", k("CDE_A", "A", 3321.7))]
-    rows += [("TA_up", "NA00", "NA1", k("CDE_AUP", "Aup", 2759)), ("TB1", "NB", "N3", k("CDE_B", "B", 4238)), ("TC1", "NC0", "N4", k("CDE_C", "C", 4645)), ("TC_bif", "NC0", "M1", k("CDE_C", "C", 4645)), ("TD1", "ND", "N4", k("CDE_D", "D", 3457))]
+def test_forks_and_many_tributaries(spark):
+    # A trunk t0..t6. E comes in at t1 and has F above it, G at t3; H, I and J at t5, and I forks to Z too.
+    k = lambda name, m: {"key": f"RV_{name[0]}", "name": name, "m": m}
+    rows = [(f"t{i}", f"t{i}", f"t{i + 1}", k("Tronc", 1000)) for i in range(6)]
+    rows += [("e0", "e0", "e1", k("Est", 1500)), ("e1", "e1", "t1", k("Est", 1000)), ("f0", "f0", "e1", k("Fer", 900)), ("g0", "g0", "t3", k("Gris", 3000)), ("h0", "h0", "t5", k("Haut", 2000))]
+    rows += [("i0", "i0", "t5", k("Ile", 1200)), ("i1", "i0", "z1", k("Ile", 1200)), ("j0", "j0", "t5", k("Jonc", 500)), ("z1", "z1", "z2", k("Zone", 1800))]
     net = R.build(S.graph(seg(spark, rows)))
     counted = R.n_upstream(net)
-    n = {r.river_id: r.n_upstream for r in counted.collect()}
-    assert n == {"CDE_STEM": 5, "CDE_A": 1, "CDE_AUP": 0, "CDE_B": 0, "CDE_C": 0, "CDE_D": 0, "CDE_STEM2": 1}
-    assert {r.river_id: r.outlet for r in net.rivers.collect()}["CDE_C"] == "M1"
+    assert {r.river_id[3:]: r.n_upstream for r in counted.collect()} == {"T": 6, "E": 1, "F": 0, "G": 0, "H": 0, "I": 0, "J": 0, "Z": 1}
+    assert {r.river_id: r.outlet for r in net.rivers.collect()}["RV_I"] == "t5"
     kids = C.partition_children(counted, C.join_ranks(net.edges, net.segment_river, net.rivers))
-    below = sorted((r.ordinal, r.river_id) for r in kids.filter("parent_id = 'CDE_STEM' and role = 'tributary'").collect())
-    assert [r for _, r in below] == ["CDE_D", "CDE_B", "CDE_C"]
-    assert pairs(C.also_flows_into(net.flows)) == {("CDE_C", "CDE_STEM2")}
-    assert dict(pairs(C.pfafstetter(counted, "CDE_STEM"))) == {"CDE_A": "1", "CDE_AUP": "1", "CDE_B": "5", "CDE_C": "3", "CDE_D": "7"}
-    cut = {r.river_id: r for r in C.nodes(counted, kids, "CDE_STEM", max_depth=0).collect()}
-    assert set(cut) == {"CDE_STEM"} and cut["CDE_STEM"].truncated and cut["CDE_STEM"].n_tributaries == 3
-    folded = {r.river_id: r for r in C.nodes(counted, kids, "CDE_STEM", blacklist=["CDE_B"]).collect()}
-    assert set(folded) == {"CDE_STEM", "CDE_A", "CDE_AUP", "CDE_C", "CDE_D"} and folded["CDE_STEM"].n_folded == 1
-    both = C.forest(counted, kids, ["CDE_STEM", "CDE_STEM2"]).collect()
-    assert len(both) == 8 and {r.river_id for r in both if r.parent_id == "_forest"} == {"CDE_STEM", "CDE_STEM2"}
-
-
-def test_y_network_and_direction(spark):
-    rows = [("A", "N_A", "N_J", {"name": "Trib A", "m": 5283.9}), ("B", "N_J", "N_B", {"sens": "Sens inverse", "name": "Trib B", "m": 2763.3}), ("T", "N_J", "N_O", {"ord": 2, "name": "Trunk", "m": 4098.3})]
+    below = sorted((r.ordinal, r.river_id[3:]) for r in kids.filter("parent_id = 'RV_T' and role = 'tributary'").collect())
+    assert below == [(1, "I"), (2, "H"), (3, "J"), (4, "G")]
+    assert pairs(C.also_flows_into(net.flows)) == {("RV_I", "RV_Z")}
+    assert {r.river_id[3:]: r.code for r in C.pfafstetter(counted, "RV_T").collect()} == {"E": "1", "F": "1", "G": "3", "I": "5", "H": "7", "J": "9"}
+    cut = C.nodes(counted, kids, "RV_T", max_depth=0).collect()
+    assert [(r.river_id, r.truncated, r.n_tributaries) for r in cut] == [("RV_T", True, 4)]
+    folded = {r.river_id[3:]: r.n_folded for r in C.nodes(counted, kids, "RV_T", blacklist=["RV_H"]).collect()}
+    assert folded == {"T": 1, "E": 0, "F": 0, "G": 0, "I": 0, "J": 0}
+    both = C.forest(counted, kids, ["RV_Z", "RV_T"]).collect()
+    assert len(both) == 9 and {(r.river_id, r.ordinal, r.depth) for r in both if r.parent_id == "_forest"} == {("RV_Z", 1, 1), ("RV_T", 2, 1)}
+    every = C.forest(counted, kids, net.rivers.filter("parent_id is null")).collect()
+    assert len(every) == 9 and {(r.river_id, r.ordinal) for r in every if r.parent_id == "_forest"} == {("RV_T", 1), ("RV_Z", 2)}
+
+
+def test_confluence_and_direction(spark):
+    rows = [("L", "k0", "k1", {"name": "Links", "m": 3000}), ("R", "k1", "r0", {"sens": "Sens inverse", "name": "Rechts", "m": 2500}), ("D1", "k1", "k2", {"ord": 2, "name": "Unten", "m": 1000}), ("D2", "k2", "k3", {"ord": 2, "name": "Unten", "m": 1500})]
     edges = S.graph(seg(spark, rows)).cache()
-    assert {(r.src, r.dst) for r in edges.collect()} == {("N_A", "N_J"), ("N_B", "N_J"), ("N_J", "N_O")}
-    assert {r.cleabs for r in T.trace_upstream(edges, "N_O").collect()} == {"A", "B", "T"}
-    assert {r.cleabs for r in T.trace_upstream(edges, "N_J").collect()} == {"A", "B"}
-    assert T.trace_upstream(edges, "NOPE").count() == 0
-    tree = T.ordered_children(T.trace_tree(edges, "N_O"))
-    assert {r.cleabs: (r.n_upstream, r.ordinal) for r in tree.collect()} == {"T": (3, 1), "A": (1, 1), "B": (1, 2)}
+    assert {(r.src, r.dst) for r in edges.collect()} == {("k0", "k1"), ("r0", "k1"), ("k1", "k2"), ("k2", "k3")}
+    assert {r.cleabs for r in T.trace_upstream(edges, "k3").collect()} == {"L", "R", "D1", "D2"}
+    assert {r.cleabs for r in T.trace_upstream(edges, "k1").collect()} == {"L", "R"}
+    assert T.trace_upstream(edges, "k9").count() == 0
+    tree = T.ordered_children(T.trace_tree(edges, "k3"))
+    assert {r.cleabs: (r.n_upstream, r.ordinal) for r in tree.collect()} == {"D2": (4, 1), "D1": (3, 1), "L": (1, 1), "R": (1, 2)}
 
 
 def test_cycle_and_chain_and_fictif(spark):
