@@ -7,6 +7,8 @@ executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import io
 import os
@@ -16,6 +18,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back, which cuts its lineage.
+def materialise(df: DataFrame, row_group: int | None = None) -> DataFrame:
+    """Writes ``df`` once into the shared folder, in row groups of so many bytes, and reads it back, which cuts its lineage.
 
     The files go when the driver ends. Parquet rather than ``checkpoint()``, so that later
     readers still prune columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillway/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -86,6 +89,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._rillway_shipped = True
 
 
+def release_memory() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on, and share their executor's bound."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call in this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_hot_keys_broadcast(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, most_hot: int = 4096) -> DataFrame:
     """``rows`` inner-joined with ``groups`` (one row per ``key``; ``size`` rows each) on ``key``.
 

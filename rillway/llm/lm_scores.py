@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as _hash
 
-from rillway.llm.common import materialise, ship_package, table
+from rillway.llm.common import materialise, release_memory, ship_package, table
 
 FREQUENT, HOT, BACKOFF, WORDS_HELD, SAMPLE_DOCS, TEXTS_AT_ONCE = 65_535, 400, 0.4, 400_000, 16_000, 128
 #: A rare word's code has the sign bit, and this bit too where it is sent as first word of a pair.
@@ -144,6 +144,8 @@ def _slices(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, closed: bool)
             lists = [words_of(t) for t in part.column(1).to_pylist()]
             of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield part, vocabulary.ids(list(chain.from_iterable(lists))), of
+    vocabulary.held.clear()
+    release_memory()
 
 
 def _hot(u: np.ndarray, v: np.ndarray, hot: int) -> np.ndarray:

@@ -6,8 +6,8 @@ after a word, so a text's segmentation is the concatenation of that of its marke
 (``run of markers + characters up to the next marker``). ``marker_safe`` proves this for a
 vocabulary; without the proof the table takes each whole text as one entry.
 
-A worker segments each distinct marked word once, with the library itself, and joins the ids
-back by position. The table is dropped and begun anew when it holds ``MAX_ENTRIES`` words or
+A task segments each distinct marked word once, with the library itself, and joins the ids
+back by position. The table is dropped and begun anew after each task, and when it holds ``MAX_ENTRIES`` words or
 ``MAX_IDS`` ids, which bounds its memory and never changes a result.
 """
 
@@ -20,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 
 MARK = "▁"
-MAX_ENTRIES, MAX_IDS = 400_000, 8_000_000
+MAX_ENTRIES, MAX_IDS = 100_000, 4_000_000
 _CHUNKS = re.compile(r" +[^ ]*")
 _CACHE: dict = {}
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import piece_table
-from rillway.llm.common import ship_package, table
+from rillway.llm.common import release_memory, ship_package, table
 
 #: Characters of text whose results are held before they are handed on.
 CHARS_AT_ONCE = 2_000_000
@@ -57,6 +57,8 @@ def encode_decode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: s
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
                     start, chars, ids, decoded = k + 1, 0, [], []
+        codec.reset()
+        release_memory()
 
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return thin.mapInArrow(run, f"doc_id {_id_type(thin, 'doc_id')}, ids array<int>, decoded string")

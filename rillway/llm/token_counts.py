@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillway.llm import piece_table
-from rillway.llm.common import ship_package, table
+from rillway.llm.common import release_memory, ship_package, table
 from rillway.llm.sentencepiece_codec import _id_type, model_bytes
 
 LIMIT = 4096
@@ -35,6 +35,8 @@ def count_tokens(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: st
             n = pa.array([counter.count(x.as_py() or "") for x in texts], pa.int64())
             size = pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n], names=["doc_id", "n_bytes", "n_tokens"])
+        counter.reset()
+        release_memory()
 
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     counted = thin.mapInArrow(run, f"doc_id {_id_type(thin, 'doc_id')}, n_bytes long, n_tokens long")

@@ -6,6 +6,12 @@ few words in a long text, a document's margin is the log-sum-exp of its distinct
 margins, and the document's softmax uses that. Embeddings and softmax are trained together
 on the document labels, so that an unseen misspelling shares its n-grams' vectors.
 
+The mean over a whole text, which the plain method would put through the softmax, doesn't give
+right results here: trained and tested on the same rows it finds 3 of 18 toxic documents held
+out on sf0.01 (0 of 95 clean ones flagged) and 276 to 291 of 303 on check_s (22 to 25 of 2697),
+the words' margins 15 of 18 (1 of 95) and 303 of 303 (7 of 2697). Buckets that fewer than
+``MIN_DOCS`` texts have keep a zero vector, which regularises: without it 14 of 18 (6 of 95).
+
 After training, a word's margin is the mean of one number per n-gram, which is what the
 executors hold: the driver sends ``BUCKETS`` floats. The training sample is bounded by
 ``ROWS_PER_CLASS`` for each label; scores cover every row and whole texts.
@@ -27,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillway.llm.common import ship_package, table
+from rillway.llm.common import release_memory, ship_package, table
 from rillway.llm.sentencepiece_codec import _id_type
 
 BUCKETS, DIM, N_GRAMS = 1 << 17, 4, (3, 4, 5)
 ROWS_PER_CLASS, STEPS, RATE, DECAY, MIN_DOCS, INIT = 2000, 40, 0.1, 1e-6, 3, 0.2
 THRESHOLD = 0.7
-MAX_WORDS_HELD, PART = 400_000, 20_000
+MAX_WORDS_HELD, PART, TEXTS_AT_ONCE = 100_000, 20_000, 64
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}<>]+")
 
 
@@ -195,9 +201,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(weights, bias)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.scores(part.column(1).to_pylist()))], names=["doc_id", "score"])
+        scorer.held.clear()
+        release_memory()
 
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return thin.mapInArrow(run, f"doc_id {_id_type(thin, 'doc_id')}, score double")
@@ -212,9 +220,11 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(weights, bias)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
                 yield part.filter(pa.array(scorer.scores(part.column(place).to_pylist()) < threshold))
+        scorer.held.clear()
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
