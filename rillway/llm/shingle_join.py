@@ -28,7 +28,10 @@ is nearest to what the group shares, is compared with all others. Pairs are rule
 parity bitmaps, then verified by exact intersection. A member whose place leaves
 no room for a difference from any other is done, and so is a group whose members
 are one component. Of what is left the members outside the group's largest component are
-compared with the others, 16, 256, 4096, ... a round, until nothing is left. Nothing is capped.
+compared with the others, 64, 1024, 16384, ... a round, until nothing is left; there the bitmaps
+are part of the join's condition, so that a pair which they rule out is never a row. Nothing is
+capped. Members of a group that are near one another, but not near enough to link, still have
+each of their pairs' bitmaps compared: what the bounds cannot tell apart, they have to.
 
 Defined cases: a null text, or one without words, has an empty set, links with nothing and
 is its own component; fewer than five words are one shingle; ids are integers (they are cast
@@ -47,12 +50,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillway.llm.common import components, discard, materialise, only_rows, ship_package, table, with_hot_keys_broadcast, without_rows
+from rillway.llm.common import components, discard, materialise, only_rows, release_memory, ship_package, table, with_hot_keys_broadcast, without_rows
 
 SHINGLE = 5
 #: Least size of each band; the first is indexed with one-deletion neighbourhoods.
 BANDS = [1, 7, 32, 128, 512, 4096, 32768, 262144, 2097152, 1 << 60]
-SAMPLE_DOCS, MAX_COMMON, WORDS_HELD, TEXTS_AT_ONCE = 16_000, 200_000, 400_000, 128
+SAMPLE_DOCS, MAX_COMMON, WORDS_HELD, TEXTS_AT_ONCE = 16_000, 200_000, 100_000, 128
+#: Bytes of a row group of tables with long arrays: what a writer or reader of them holds.
+ROW_GROUP = 4 << 20
 #: From this level (power of two of the sampled documents) a content's group may be hot.
 HOT_LEVEL = 2
 #: Fixed value: where in an entry's packed place the single tokens before it begin; below are the contents that aren't single.
@@ -210,6 +215,9 @@ def _in_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
         for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(k, TEXTS_AT_ONCE)
             yield part, token_sets(part.column(column).to_pylist())
+        batch = part = None  # let go of before the next one comes
+    _WORD_HASH.clear()
+    release_memory()
 
 
 def _lists(values: np.ndarray, counts: list[int] | np.ndarray) -> pa.ListArray:
@@ -277,7 +285,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFra
     if not near.take(1):
         return None
     nodes = materialise(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct())
-    sets = materialise(_tokens(only_rows(docs, nodes, {"doc_id": F.col("doc_id")})))
+    sets = materialise(_tokens(only_rows(docs, nodes, {"doc_id": F.col("doc_id")})), ROW_GROUP)
     a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta"))
     b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
     both = F.size(F.array_intersect("_ta", "_tb"))
@@ -298,7 +306,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, and ``_text``, the hash of its text."""
     ship_package(docs.sparkSession)
     rows = _long_ids(docs, doc_id, text)
-    thin = materialise(_measured(rows, _common_tokens(rows)))
+    thin = materialise(_measured(rows, _common_tokens(rows)), ROW_GROUP)
     full = thin.filter("n_shingles > 0 and doc_id is not null")
     ids = full.select("doc_id", "_text", "n_shingles", "_set")
     classes = materialise(ids.groupBy("_set").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_size")))
@@ -365,7 +373,7 @@ def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame, links: DataF
     grouped = met.join(firsts, "sig").filter(F.col("node") != F.col("hub"))
     pairs = materialise(grouped.filter(_may_link("hub_size", "hub_at", "size", "at")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     rest = materialise(grouped.filter((F.col("_n") > 2) & _room()).select("sig", "node", "size", "at"))
-    tried, hubs = None, 16
+    tried, hubs = None, 64
     while True:
         got = _verified(pairs, docs, sketches)
         if got is not None:
@@ -377,13 +385,15 @@ def _link_all(met: DataFrame, docs: DataFrame, sketches: DataFrame, links: DataF
         live = live.join(_group(live), "sig").filter(_room())
         # Those outside the largest component of the group, nearest to what it shares first.
         order = Window.partitionBy("sig").orderBy(_singles(), "node")
-        live = materialise(live.select("sig", "node", "size", "at", "label", (F.col("label") == F.col("_main")).alias("_is_main")))
-        hub = materialise(live.filter(~F.col("_is_main")).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= hubs).drop("_k", "_is_main"))
+        live = live.select("sig", "node", "size", "at", "label", (F.col("label") == F.col("_main")).alias("_is_main"))
+        live = materialise(live.join(sketches.select("node", F.col("n_shingles").alias("size"), "_sketch").distinct(), ["node", "size"]), ROW_GROUP)
+        hub = materialise(live.filter(~F.col("_is_main")).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= hubs).drop("_k", "_is_main"), ROW_GROUP)
         if not hub.take(1):
             return label
-        h = hub.select(F.col("sig").alias("_sig"), F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("at").alias("_aa"), F.col("label").alias("_la"))
-        met_ = live.join(h, (F.col("sig") == F.col("_sig")) & (F.col("label") != F.col("_la")) & _may_link("_sa", "_aa", "size", "at"))
-        found = met_.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        h = hub.select(F.col("sig").alias("_sig"), F.col("node").alias("a"), F.col("size").alias("_sa"), F.col("at").alias("_aa"), F.col("label").alias("_la"), F.col("_sketch").alias("_ka"))
+        near = F.expr(f"7 * ({_bits_apart()}) <= _sa + size")
+        other = live.withColumnRenamed("_sketch", "_kb").join(h, (F.col("sig") == F.col("_sig")) & (F.col("label") != F.col("_la")) & _may_link("_sa", "_aa", "size", "at") & near)
+        found = other.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tried = seen if tried is None else tried.unionByName(seen)
         pairs = materialise(found.join(tried, ["a", "b"], "left_anti"))
