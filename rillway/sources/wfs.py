@@ -116,3 +116,42 @@ class WfsReader(DataSourceReader):
             body = json.loads(self._answer(self._query(startindex=partition.start, count=partition.count)))
             for f in body["features"][: partition.count]:
                 yield f.get("id"), json.dumps(f.get("properties")), json.dumps(f.get("geometry"))
+
+
+#: What a layer of watersheds is found by.
+WATERSHED_WORDS = ("bassin", "versant")
+
+
+def watershed_layers(capabilities: bytes) -> list[tuple[str, str, str]]:
+    """Feature types that any of the words finds, each once, in the document's order."""
+    return list(dict.fromkeys(row for word in WATERSHED_WORDS for row in feature_types(capabilities, word)))
+
+
+def at_point(lon: float, lat: float, geometry: str = "geometrie") -> str:
+    """The filter for features that hold a point; the service takes latitude first."""
+    return f"INTERSECTS({geometry}, POINT({lat} {lon}))"
+
+
+def watersheds(spark, fetch: str, type_name: str, bbox: str | None = None, point: tuple[float, float] | None = None, **options):
+    """Features of a layer in a box, or that hold a point (lon, lat); one of the two."""
+    if (bbox is None) == (point is None):
+        raise ValueError("either a box or a point")
+    spark.dataSource.register(WfsSource)
+    where = {"bbox": bbox} if point is None else {"cql": at_point(*point)}
+    return spark.read.format("wfs").options(fetch=fetch, type=type_name, **where, **options).load()
+
+
+def dump(features, path: str) -> int:
+    """Features as GeoJSON, one a line in part files; none is an error. Returns how many."""
+    from pyspark.sql import functions as F
+
+    from rillway.plans.tables import written
+
+    kept = written(features)
+    n = kept.count()
+    if not n:
+        raise RuntimeError("nothing to write")
+    one_id = F.regexp_replace(F.to_json(F.array("id")), r"^\[|\]$", "")
+    text = F.concat(F.lit('{"type":"Feature","id":'), one_id, F.lit(',"properties":'), F.coalesce("properties", F.lit("null")), F.lit(',"geometry":'), F.coalesce("geometry", F.lit("null")), F.lit("}"))
+    kept.select(text.alias("value")).write.text(path)
+    return n
