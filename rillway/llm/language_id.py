@@ -87,7 +87,8 @@ class Profiles:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Whether the remainder is 2; a null id has none, so it isn't held out."""
+    return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4).eqNullSafe(2)
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_lang: int = ROWS_PER_LANG) -> Profiles:

@@ -173,7 +173,8 @@ def train(bags: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
 
 
 def in_fold(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Whether the remainder is 1; a null id has none, so it isn't held out."""
+    return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3).eqNullSafe(1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> Model:
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     The sample is the labelled ids that come first by hash; its bound is what lets the thin
     list of ids be broadcast and the sample's words reach the driver.
     """
-    ids = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter(~in_fold("_id"))
+    ids = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).filter(F.col("_id").isNotNull() & ~in_fold("_id"))
     first = lambda y: ids.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class)
     sample = first(0).unionByName(first(1))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_y").toArrow()

@@ -212,6 +212,8 @@ def test_language(spark, nothing):
     assert all(got[i].lang_pred == x for i, _, x in rows[:120] if zlib.crc32(str(i).encode()) % 4 == 2)
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902)) and all(0 <= r.score <= 1 for r in got.values())
     assert language_id.predict(nothing, language_id.fit(nothing)).count() == 0
+    folds = {r.doc_id: r.held for r in docs.select("doc_id", language_id.held_out().alias("held")).collect()}
+    assert folds == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
 
 
 def test_toxicity(spark, nothing):
@@ -233,6 +235,8 @@ def test_toxicity(spark, nothing):
     assert all((got[i] >= 0.7) == (i % 3 == 0) for i in held) and got[902] > 0.5 and got[900] == got[901] < 0.7
     kept = toxicity.keep_clean(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(s < 0.7 for s in got.values())
+    folds = {r.doc_id: r.held for r in spark.createDataFrame([(None,), (5,), (8,)], "doc_id long").select("doc_id", toxicity.in_fold().alias("held")).collect()}
+    assert folds == {None: False} | {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (5, 8)}
     none = toxicity.fit(nothing, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(nothing, none).count() == 0 and {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
