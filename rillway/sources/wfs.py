@@ -4,17 +4,29 @@
 key so that pages don't overlap, and hands a bounding box or a filter to the service. The
 ``fetch`` option names how a request is answered: a URL, or ``file:`` and a folder of
 recorded pages ``<start>.json``.
+
+A reader's own schema may name properties as columns, of the types that the service
+declares (``id``, ``properties`` and ``geometry`` keep their meaning); then the service is
+asked for those alone. With the option ``push`` set to true, which Spark refuses unless
+``spark.sql.python.filterPushdown.enabled`` is on, comparisons of such columns also go to the
+service, unless ``bbox``, with which a filter can't stand, or ``max``, which counts rows before
+any filter, is given. Spark tests every filter again itself.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
+from decimal import Decimal
 
+from pyspark.sql import datasource as D
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegralType, StringType, StructType
 
 
 class ServiceError(RuntimeError):
@@ -78,6 +90,58 @@ class Page(InputPartition):
         self.start, self.count = start, count
 
 
+_OWN = ("id", "properties", "geometry")
+_COMPARISONS = {D.EqualTo: "=", D.GreaterThan: ">", D.GreaterThanOrEqual: ">=", D.LessThan: "<", D.LessThanOrEqual: "<="}
+
+
+def _literal(value) -> str | None:
+    """A value in the filter language, or None if it has no certain form there."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, int | float | Decimal) and math.isfinite(value):
+        return str(value)
+    return None
+
+
+def condition(f: D.Filter) -> str | None:
+    """A filter for the service that lets through at least what ``f`` does, or None.
+
+    Texts are compared for equality and beginnings only, as their order is the service's own.
+    """
+    name = ".".join(getattr(f, "attribute", ()))
+    if not re.fullmatch(r"[A-Za-z_]\w*", name) or name in _OWN:
+        return None
+    if isinstance(f, D.IsNotNull):
+        return f"{name} IS NOT NULL"
+    if isinstance(f, D.In):
+        values = [_literal(v) for v in f.value if v is not None]
+        return f"{name} IN ({','.join(values)})" if values and None not in values else None
+    if isinstance(f, D.StringStartsWith):
+        return None if re.search(r"[%_\\]", f.value) else f"{name} LIKE {_literal(f.value + '%')}"
+    sign = _COMPARISONS.get(type(f))
+    if sign is None or sign != "=" and isinstance(f.value, str):
+        return None
+    value = _literal(f.value)
+    return value and f"{name} {sign} {value}"
+
+
+def _converted(value, kind):
+    """A property in its column's type; null where it has another."""
+    if value is None:
+        return None
+    if isinstance(kind, StringType):
+        return value if isinstance(value, str) else json.dumps(value)
+    if isinstance(kind, BooleanType):
+        return value if isinstance(value, bool) else None
+    if isinstance(value, bool) or not isinstance(value, int | float):
+        return None
+    if isinstance(kind, IntegralType):
+        return value if isinstance(value, int) else None
+    return float(value) if isinstance(kind, DoubleType | FloatType) else None
+
+
 class WfsSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -87,12 +151,13 @@ class WfsSource(DataSource):
         return "id string, properties string, geometry string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WfsReader(self.options)
+        return (PushingReader if str(self.options.get("push", "")).lower() == "true" else WfsReader)(self.options, schema)
 
 
 class WfsReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.o = dict(options)
+    def __init__(self, options: dict, schema: StructType):
+        self.o, self.fields = dict(options), [(f.name, f.dataType) for f in schema.fields]
+        self.pushed: list[str] = []
 
     def _answer(self, query: dict) -> bytes:
         where = self.o["fetch"]
@@ -103,7 +168,16 @@ class WfsReader(DataSourceReader):
         return get(where, query)
 
     def _query(self, **more) -> dict:
-        return params(self.o.get("type", ""), self.o.get("bbox"), self.o.get("cql"), sortby=self.o.get("sort"), **more)
+        given = [f"({self.o['cql']})"] if self.o.get("cql") and self.pushed else [self.o["cql"]] if self.o.get("cql") else []
+        return params(self.o.get("type", ""), self.o.get("bbox"), " AND ".join(given + self.pushed), sortby=self.o.get("sort"), srsname=self.o.get("srs"), propertyname=self._wanted(), **more)
+
+    def _wanted(self) -> str | None:
+        """The properties to ask for; None where all are wanted."""
+        names = [n for n, _ in self.fields]
+        if "properties" in names:
+            return None
+        own = [n for n in names if n not in _OWN]
+        return ",".join(own + ([self.o.get("geometry", "geometrie")] if "geometry" in names else [])) or None
 
     def partitions(self) -> list[InputPartition]:
         size = int(self.o.get("page", 1000))
@@ -115,7 +189,23 @@ class WfsReader(DataSourceReader):
         if partition.count:
             body = json.loads(self._answer(self._query(startindex=partition.start, count=partition.count)))
             for f in body["features"][: partition.count]:
-                yield f.get("id"), json.dumps(f.get("properties")), json.dumps(f.get("geometry"))
+                yield tuple(self._column(f, n, kind) for n, kind in self.fields)
+
+    def _column(self, feature: dict, name: str, kind):
+        if name == "id":
+            return feature.get("id")
+        if name in _OWN:
+            return json.dumps(feature.get(name))
+        return _converted((feature.get("properties") or {}).get(name), kind)
+
+
+class PushingReader(WfsReader):
+    """Hands filters on; a class of its own, as Spark refuses one that could while pushdown is off."""
+
+    def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:
+        if "bbox" not in self.o and "max" not in self.o:
+            self.pushed = [c for f in filters if (c := condition(f))]
+        yield from filters
 
 
 #: What a layer of watersheds is found by.
