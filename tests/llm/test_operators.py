@@ -151,6 +151,26 @@ def test_wrapped_licenses(spark):
     assert (got[-1].labels, got[-1].score) == ("", 0.0)
 
 
+def test_license_phrases_by_brute_force(spark):
+    rng = random.Random(21)
+    parts = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "BY-NC", "é", "x_y", "\n", "under the mit license", "cc by nc"]
+    texts = [rng.choice([" ", "-", ", "]).join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(150)]
+    texts += [" ".join(rng.choices(parts, k=30_000)), "cc by nc by nc cc by nc", "under the mit license" * 2, texts[3], None]
+    rows = [(i, t, 1.5, "clash", "clash") for i, t in enumerate(texts)]
+    got = license_scan.scan(spark.createDataFrame([*rows, rows[7]], "doc_id long, text string, score double, labels string, n_words string")).collect()
+
+    def plain(i):
+        w = WORD.findall(low(texts[i]))
+        at = [(k, label) for phrase, label in license_scan.BASE.items() for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
+        places = [k for k, _ in at]
+        return i, len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))
+
+    want = [plain(i) for i in [*range(len(texts)), 7]]
+    assert sum(x[2] for x in want) > 100
+    assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+
+
 def test_jaccard_join(spark, docs, nothing):
     rng = random.Random(5)
     base = [f"t{rng.randint(0, 5000)}" for _ in range(120)]
