@@ -15,6 +15,9 @@ _MODULES = {
     "op8_lm_scores": "lm_scores",
     "op9_exact_dedup": "exact_dedup",
     "op10_license_scan": "license_scan",
+    "op11_embedding_whitening": "embedding_whitening",
+    "op12_filter_audit": "filter_audit",
+    "op13_simhash": "simhash",
 }
 
 
