@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from rillway.functions import geo, kernels
+from rillway.functions import flood, geo, kernels
 
 #: Fewest channel cells that a trace takes, and the share of raised cells that deserves a warning.
 LEAST_CHANNEL, MUCH_RAISED, RAISED_M = 5, 0.05, 0.5
@@ -26,7 +26,7 @@ def area_km2(ring: np.ndarray) -> float:
 
 def condition(grid: np.ndarray) -> dict:
     """Filled heights, directions, accumulation, and the share of cells that filling raised by more than ``RAISED_M``."""
-    filled = kernels.priority_flood(grid)
+    filled = flood.fill(grid)
     directions = kernels.d8(kernels.resolve_flats(filled))
     directions = np.where(np.isnan(grid), -1, directions)
     raised = float((np.nan_to_num(filled - grid) > RAISED_M).sum() / grid.size)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 #: Steps to the eight neighbours, from east clockwise.
 STEPS = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+#: Metres by which a flat falls with each step.
+TINY = 1e-7
 
 
 def to_grid(r: np.ndarray, c: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -16,55 +16,12 @@ def to_grid(r: np.ndarray, c: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, in
     return grid, int(r.min()), int(c.min())
 
 
-def priority_flood(grid: np.ndarray) -> np.ndarray:
-    """Every cell raised to the lowest level over which its water can leave the grid."""
-    rows, cols = grid.shape
-    out, seen, heap = grid.copy(), np.isnan(grid), []
-    for r in range(rows):
-        for c in range(cols):
-            if seen[r, c]:
-                continue
-            edge = r in (0, rows - 1) or c in (0, cols - 1) or np.isnan(grid[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2]).any()
-            if edge:
-                heap.append((grid[r, c], r, c))
-    for _, r, c in heap:
-        seen[r, c] = True
-    heapq.heapify(heap)
-    while heap:
-        level, r, c = heapq.heappop(heap)
-        for dr, dc in STEPS:
-            i, j = r + dr, c + dc
-            if 0 <= i < rows and 0 <= j < cols and not seen[i, j]:
-                seen[i, j] = True
-                out[i, j] = max(grid[i, j], level)
-                heapq.heappush(heap, (out[i, j], i, j))
-    return out
-
-
-def resolve_flats(grid: np.ndarray, tiny: float = 1e-7) -> np.ndarray:
+def resolve_flats(filled: np.ndarray, tiny: float = TINY) -> np.ndarray:
     """Flats slope by ``tiny`` a step towards where they drain."""
-    rows, cols = grid.shape
-    out, front = grid.copy(), []
-    dist = np.full(grid.shape, -1)
-    for r in range(rows):
-        for c in range(cols):
-            if np.isnan(grid[r, c]):
-                continue
-            near = [(r + dr, c + dc) for dr, dc in STEPS]
-            inside = [(i, j) for i, j in near if 0 <= i < rows and 0 <= j < cols and not np.isnan(grid[i, j])]
-            if len(inside) < 8 or any(grid[i, j] < grid[r, c] for i, j in inside):
-                dist[r, c] = 0
-                front.append((r, c))
-    while front:
-        nxt = []
-        for r, c in front:
-            for dr, dc in STEPS:
-                i, j = r + dr, c + dc
-                if 0 <= i < rows and 0 <= j < cols and dist[i, j] < 0 and grid[i, j] == grid[r, c]:
-                    dist[i, j] = dist[r, c] + 1
-                    nxt.append((i, j))
-        front = nxt
-    return out + np.where(dist > 0, dist * tiny, 0)
+    from rillway.functions import flood
+
+    steps = flood.flat_steps(filled, np.where(flood.drains(filled), 0, -1))
+    return filled + np.where(steps > 0, steps * tiny, 0)
 
 
 def d8(grid: np.ndarray) -> np.ndarray:
@@ -76,19 +33,20 @@ def d8(grid: np.ndarray) -> np.ndarray:
     return np.where(falls.max(axis=0) > 0, falls.argmax(axis=0), -1)
 
 
-def accumulate(directions: np.ndarray) -> np.ndarray:
-    """Cells that drain through each cell, itself included, in waves from the ridges down."""
+def targets(directions: np.ndarray) -> np.ndarray:
+    """For each cell the flat place of the cell that it drains to, -1 where its water leaves the grid or rests."""
     rows, cols = directions.shape
-    flat = directions.ravel()
-    step = np.array([dr * cols + dc for dr, dc in STEPS])
-    at = np.arange(flat.size)
-    r, c = at // cols, at % cols
-    steps = np.array(STEPS)
+    flat, at, steps = directions.ravel(), np.arange(directions.size), np.array(STEPS)
     known = flat >= 0
-    tr, tc = r + np.where(known, steps[flat, 0], 0), c + np.where(known, steps[flat, 1], 0)
-    to = np.where(known & (tr >= 0) & (tr < rows) & (tc >= 0) & (tc < cols), at + np.where(known, step[flat], 0), -1)
-    waits = np.bincount(to[to >= 0], minlength=flat.size)
-    acc, front = np.ones(flat.size, dtype=np.int64), np.flatnonzero(waits == 0)
+    r, c = at // cols + np.where(known, steps[flat, 0], 0), at % cols + np.where(known, steps[flat, 1], 0)
+    return np.where(known & (r >= 0) & (r < rows) & (c >= 0) & (c < cols), r * cols + c, -1)
+
+
+def accumulate(directions: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Cells that drain through each cell, itself included, in waves from the ridges down; ``own``: how many each cell counts for."""
+    to = targets(directions)
+    waits = np.bincount(to[to >= 0], minlength=to.size)
+    acc, front = (np.ones(to.size, dtype=np.int64) if own is None else own.ravel().copy()), np.flatnonzero(waits == 0)
     while front.size:
         out = front[to[front] >= 0]
         np.add.at(acc, to[out], acc[out])

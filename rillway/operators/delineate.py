@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 _POINT = "struct<lon:double,lat:double>"
 RESULT = f"river_id string, source string, area_km2 double, n_cells long, frac double, offset_m double, threshold int, n_tried int, moved_cells double, raised double, snap_lon double, snap_lat double, ring array<{_POINT}>, error string"
-STATS = "tile string, n_cells long, n_valid long, z_min double, z_max double, raised double, much_raised boolean, error string"
 
 
 def _xy(points):
@@ -22,25 +21,6 @@ def _xy(points):
     return np.array([(p["lon"], p["lat"]) for p in points], dtype=float)
 
 
-def condition_stats(tiles: DataFrame) -> DataFrame:
-    """One row a tile: cells, range of heights, the share that filling raised, and whether that deserves a warning."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from rillway.functions import delineation, kernels
-
-        import numpy as np
-
-        name = pdf["tile"].iloc[0]
-        try:
-            grid, _, _ = kernels.to_grid(pdf.r.to_numpy(), pdf.c.to_numpy(), pdf.z.to_numpy())
-            made = delineation.condition(grid)
-            return pd.DataFrame({"tile": [name], "n_cells": [grid.size], "n_valid": [int((~np.isnan(grid)).sum())], "z_min": [float(np.nanmin(grid))], "z_max": [float(np.nanmax(grid))], "raised": [made["raised"]], "much_raised": [made["much_raised"]], "error": [None]})
-        except Exception as e:
-            return pd.DataFrame({"tile": [name], "error": [f"{type(e).__name__}: {e}"]}).reindex(columns=[f.split()[0] for f in STATS.split(", ")])
-
-    return tiles.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, STATS)
-
-
 def delineate(tiles: DataFrame, frames: DataFrame, tries: DataFrame, lines: DataFrame) -> DataFrame:
     """The best catchment of each river (``RESULT``): ``source`` is ``dem``, or ``undetermined`` where no pour point is accepted.
 

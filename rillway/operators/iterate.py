@@ -34,6 +34,22 @@ def follow(pointers: DataFrame) -> DataFrame:
             return step.select("id", "last", "hops", (~F.col("ended")).alias("cyclic"))
 
 
+def subtree_sums(pointers: DataFrame, columns: list[str]) -> DataFrame:
+    """``pointers`` (``id``, ``next``, and ``columns``) with each of ``columns`` summed over all rows whose chains pass through a row, itself included.
+
+    In round k a row knows the sum of those less than 2^k steps above it, and passes it to the
+    row 2^k steps on: the table never grows, and there are as many rounds as the longest chain's
+    length has bits. ``next`` is null at an end, and chains have no cycles.
+    """
+    step = written(pointers.select("id", F.col("next").alias("to"), *columns))
+    while step.filter("to is not null").take(1):
+        gained = step.filter("to is not null").groupBy(F.col("to").alias("id")).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+        far = step.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns]
+        step = written(step.join(gained, "id", "left").join(far, "to", "left").select("id", F.col("_to").alias("to"), *sums))
+    return step.drop("to")
+
+
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """All pairs ``(src, dst, depth)`` with ``dst`` reachable from ``src`` by one or more edges.
 

@@ -1,7 +1,7 @@
 """Hydrology on a terrain table: pits, flow directions, accumulation, catchments, channels.
 
-The SQL forms work on tables of cells and are exact for any size; ``condition`` runs the
-kernels that need a priority queue, one tile to a task.
+All of it works on tables of cells and is exact for any size; ``tiled`` does the same with a
+tile to a task, and what needs a level over which water leaves.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.operators.iterate import closure, follow
+from rillway.operators.iterate import follow, subtree_sums
 from rillway.plans.tables import written
 
 #: The eight neighbours, from east clockwise: number, row step, column step.
@@ -44,39 +44,26 @@ def flow_edges(directions: DataFrame) -> DataFrame:
     return directions.join(steps, "d").select(name(F.col("r"), F.col("c")).alias("src"), name(F.col("r") + F.col("dr"), F.col("c") + F.col("dc")).alias("dst"))
 
 
-def accumulation(directions: DataFrame) -> DataFrame:
-    """How many cells drain through each cell, itself included.
+def _pointers(directions: DataFrame) -> DataFrame:
+    """``id`` and ``next``: each cell and where it drains to, null where it doesn't."""
+    return directions.select(F.concat_ws(":", "r", "c").alias("id")).join(flow_edges(directions).select(F.col("src").alias("id"), F.col("dst").alias("next")), "id", "left")
 
-    Cells settle in waves from the ridges down: a cell is done once all that flow into it are,
-    so the work is one join a wave and the number of waves is the longest flow path.
-    """
-    edges = written(flow_edges(directions))
-    nodes = directions.select(F.concat_ws(":", "r", "c").alias("cell"))
-    inflow = edges.groupBy(F.col("dst").alias("cell")).agg(F.count(F.lit(1)).alias("_in"))
-    state = written(nodes.join(inflow, "cell", "left").select("cell", F.coalesce("_in", F.lit(0)).alias("waits"), F.lit(1).cast("long").alias("acc")))
-    done = None
-    while True:
-        ready = written(state.filter("waits = 0").select("cell", "acc"))
-        if not ready.take(1):
-            return done
-        done = ready if done is None else done.unionByName(ready)
-        sent = ready.join(edges, ready["cell"] == edges["src"]).groupBy("dst").agg(F.sum("acc").alias("_a"), F.count(F.lit(1)).alias("_k"))
-        left = state.filter("waits > 0").join(sent, state["cell"] == sent["dst"], "left")
-        state = written(left.select("cell", (F.col("waits") - F.coalesce("_k", F.lit(0))).alias("waits"), (F.col("acc") + F.coalesce("_a", F.lit(0))).alias("acc")))
+
+def accumulation(directions: DataFrame) -> DataFrame:
+    """How many cells drain through each cell, itself included: a round for each bit of the longest flow path's length."""
+    counted = subtree_sums(written(_pointers(directions).withColumn("acc", F.lit(1).cast("long"))), ["acc"])
+    return counted.select(F.col("id").alias("cell"), "acc")
 
 
 def catchment(directions: DataFrame, r: int, c: int) -> DataFrame:
-    """All cells that drain through one cell, itself included."""
-    spark = directions.sparkSession
-    up = flow_edges(directions).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = spark.createDataFrame([(f"{r}:{c}",)], "src string")
-    return closure(up, start).select(F.col("dst").alias("cell")).unionByName(start.select(F.col("src").alias("cell")))
+    """All cells that drain through one cell, itself included: those whose chains end there once it drains no further."""
+    cut = _pointers(directions).withColumn("next", F.when(F.col("id") != f"{r}:{c}", F.col("next")))
+    return follow(written(cut)).filter(F.col("last") == f"{r}:{c}").select(F.col("id").alias("cell"))
 
 
 def outlets(directions: DataFrame) -> DataFrame:
     """Where the water of each cell ends, by pointer doubling."""
-    steps = directions.select(F.concat_ws(":", "r", "c").alias("id")).join(flow_edges(directions).select(F.col("src").alias("id"), F.col("dst").alias("next")), "id", "left")
-    return follow(written(steps)).select(F.col("id").alias("cell"), F.col("last").alias("outlet"), "hops")
+    return follow(written(_pointers(directions))).select(F.col("id").alias("cell"), F.col("last").alias("outlet"), "hops")
 
 
 def channel_mask(acc: DataFrame, threshold: int, least: int = 5) -> DataFrame:
@@ -140,27 +127,3 @@ def contour_crossings(cells: DataFrame, step: float = 20.0) -> DataFrame:
     out = some.select("r", "c", "d", "z", "nz", F.explode(levels).alias("k"))
     level = F.col("k") * step
     return out.select("r", "c", "d", level.alias("level"), F.round((level - F.col("z")) / (F.col("nz") - F.col("z")), 6).alias("share"))
-
-
-def condition(tiles: DataFrame) -> DataFrame:
-    """Fills depressions, gives flats a gradient, and routes flow; one tile to a task.
-
-    ``tiles``: ``tile``, ``r``, ``c``, ``z``. Returns those and ``filled``, ``d``, ``acc``,
-    ``error``: a tile that fails says so in a row of its own, and the others go on.
-    """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from rillway.functions import kernels
-
-        try:
-            grid, r0, c0 = kernels.to_grid(pdf.r.to_numpy(), pdf.c.to_numpy(), pdf.z.to_numpy())
-            filled = kernels.priority_flood(grid)
-            d = kernels.d8(kernels.resolve_flats(filled))
-            acc = kernels.accumulate(d)
-            r, c = pdf.r.to_numpy() - r0, pdf.c.to_numpy() - c0
-            return pd.DataFrame({"tile": pdf.tile, "r": pdf.r, "c": pdf.c, "z": pdf.z, "filled": filled[r, c], "d": d[r, c].astype("int32"), "acc": acc[r, c].astype("int64"), "error": None})
-        except Exception as e:
-            return pd.DataFrame({"tile": [pdf.tile.iloc[0]], "r": [None], "c": [None], "z": [None], "filled": [None], "d": [None], "acc": [None], "error": [f"{type(e).__name__}: {e}"]}).astype({"r": "Int32", "c": "Int32", "d": "Int32", "acc": "Int64"})
-
-    return tiles.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, "tile string, r int, c int, z double, filled double, d int, acc long, error string")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from rillway.functions import drawing
 from rillway.operators import courses as K
 from rillway.operators import delineate as D
-from rillway.operators import raster, watershed
+from rillway.operators import raster, tiled, watershed
 from rillway.plans.catalog_queries import TREE_SQL, _parts, _tree
 from rillway.plans.river_queries import RIVER_SQL, _with_counts, network
 from rillway.plans.tables import written
-from rillway.plans.terrain_queries import _basins, _cells, _members, _points
+from rillway.plans.terrain_queries import FLOOD, _basins, _cells, _conditioned, _members, _points
 from rillway.plans.views import CELL, LINE, SEG, view
 from rillway.sources import osm
 
@@ -204,7 +204,7 @@ def q_delineate(spark, sf):
 
 
 def q_condition_stats(spark, sf):
-    return D.condition_stats(_cells(spark, sf).withColumn("tile", F.concat(F.lit("t"), F.floor(F.col("r") / 20).cast("string"))))
+    return tiled.statistics(_conditioned(spark, sf)).withColumn("raised", F.round("raised", 6))
 
 
 def q_payload(spark, sf):
@@ -313,7 +313,7 @@ QUERIES = {
     "fill_stats": (q_fill_stats, f"WITH cell AS ({CELL}), low AS (SELECT a.r, a.c, min(b.z) AS m, count(*) AS n FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c) SELECT count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN n = 8 AND m - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised FROM cell LEFT JOIN low USING (r, c)"),
     "bilinear_sample": (q_bilinear, f"WITH cell AS ({CELL}) SELECT a.r, a.c, round((a.z * (1 - a.c % 3 / 3.0::DOUBLE) + b.z * (a.c % 3 / 3.0::DOUBLE)) * (1 - a.r % 4 / 4.0::DOUBLE) + (d.z * (1 - a.c % 3 / 3.0::DOUBLE) + e.z * (a.c % 3 / 3.0::DOUBLE)) * (a.r % 4 / 4.0::DOUBLE), 6) AS height FROM cell a JOIN cell b ON b.r = a.r AND b.c = a.c + 1 JOIN cell d ON d.r = a.r + 1 AND d.c = a.c JOIN cell e ON e.r = a.r + 1 AND e.c = a.c + 1"),
     "delineate_search": (q_delineate, None),
-    "condition_stats": (q_condition_stats, None),
+    "condition_stats": (q_condition_stats, f"{FLOOD} SELECT tile, count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised, max(acc) AS most_acc, avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END) > 0.05 AS much_raised FROM done GROUP BY tile"),
     "terrain_payload": (q_payload, None),
     "shaded_relief": (q_shaded, None),
     "local_xz": (q_local, f"SELECT k, round({_EX}, 3) AS x, round({_EZ}, 3) AS z FROM ({_L})"),

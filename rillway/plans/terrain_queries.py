@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.functions import geo
-from rillway.operators import nearest, raster, relief, watershed
+from rillway.operators import nearest, raster, relief, tiled, watershed
 
 from rillway.plans.river_queries import RIVER_SQL, _closed, network
 from rillway.plans.tables import written
-from rillway.plans.views import BASIN, CELL, LINE, view
+from rillway.plans.views import BASIN, CELL, LINE, ROUGH, view
 
 
 def _cells(spark, sf):
@@ -227,8 +227,13 @@ def q_candidate(spark, sf):
     return raster.best_candidate(view(spark, sf, _CAND))
 
 
+def _conditioned(spark, sf):
+    """The terrain, with noise that makes pits and lakes across its tiles' borders, conditioned in tiles of 12 by 13 cells."""
+    return tiled.condition(view(spark, sf, ROUGH).withColumn("tile", F.concat_ws("_", F.floor(F.col("r") / 12).cast("string"), F.floor(F.col("c") / 13).cast("string"))))
+
+
 def q_condition(spark, sf):
-    return raster.condition(_cells(spark, sf).withColumn("tile", F.lit("t0"))).select("tile", "r", "c", "filled", "d", "acc")
+    return _conditioned(spark, sf).select("tile", "r", "c", "filled", "d", "acc")
 
 
 def q_slug(spark, sf):
@@ -249,6 +254,22 @@ def q_uv(spark, sf):
 _NB = "nb AS (SELECT a.r, a.c, a.z, b.z AS nz, d.d, d.dr, d.dc FROM cell a CROSS JOIN (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1),(4,0,-1),(5,-1,-1),(6,-1,0),(7,-1,1)) d(d,dr,dc) JOIN cell b ON b.r = a.r + d.dr AND b.c = a.c + d.dc)"
 _D8 = f"WITH RECURSIVE cell AS ({CELL}), {_NB}, fall AS (SELECT r, c, d, dr, dc, (z - nz) / CASE WHEN d % 2 = 1 THEN sqrt(2.0) ELSE 1 END AS f FROM nb), dir AS (SELECT r, c, arg_min((d, dr, dc), (-f, d)) AS m FROM fall WHERE f > 0 GROUP BY r, c), e AS (SELECT r, c, r + m[2] AS r2, c + m[3] AS c2 FROM dir), thru(r0, c0, r, c) AS (SELECT r, c, r, c FROM cell UNION ALL SELECT r0, c0, r2, c2 FROM thru t JOIN e ON e.r = t.r AND e.c = t.c)"
 _ACC = f"{_D8}, acc AS (SELECT r, c, count(*) AS acc FROM thru GROUP BY r, c)"
+#: One flood of the whole terrain, without tiles: levels and steps over flats by relaxing until nothing changes.
+FLOOD = f"""WITH RECURSIVE cell AS ({ROUGH}), {_NB}, edge AS (SELECT r, c, z, count(nz) < 8 AS e FROM cell LEFT JOIN nb USING (r, c, z) GROUP BY r, c, z),
+lev(r, c, f) USING KEY (r, c) AS (
+  SELECT r, c, CASE WHEN e THEN z ELSE 1e18::DOUBLE END FROM edge
+  UNION SELECT n.r, n.c, min(greatest(n.z, t.f)) FROM lev t JOIN nb n ON n.r + n.dr = t.r AND n.c + n.dc = t.c JOIN recurring.lev o ON o.r = n.r AND o.c = n.c GROUP BY n.r, n.c HAVING min(greatest(n.z, t.f)) < min(o.f)),
+nf AS MATERIALIZED (SELECT n.r, n.c, n.d, n.dr, n.dc, a.f, b.f AS nf FROM nb n JOIN lev a ON a.r = n.r AND a.c = n.c JOIN lev b ON b.r = n.r + n.dr AND b.c = n.c + n.dc),
+low AS (SELECT r, c, min(nf) AS m, count(*) AS k FROM nf GROUP BY r, c),
+st(r, c, s) USING KEY (r, c) AS (
+  SELECT l.r, l.c, CASE WHEN w.m < l.f OR w.k IS NULL OR w.k < 8 THEN 0 ELSE 1000000000 END FROM lev l LEFT JOIN low w ON w.r = l.r AND w.c = l.c
+  UNION SELECT n.r, n.c, min(t.s + 1) FROM st t JOIN nf n ON n.r + n.dr = t.r AND n.c + n.dc = t.c AND n.f = n.nf JOIN recurring.st o ON o.r = n.r AND o.c = n.c GROUP BY n.r, n.c HAVING min(t.s + 1) < min(o.s)),
+ht AS MATERIALIZED (SELECT r, c, f, f + CASE WHEN s > 0 AND s < 1000000000 THEN s * 1e-7::DOUBLE ELSE 0 END AS h FROM lev JOIN st USING (r, c)),
+fall AS (SELECT n.r, n.c, n.d, n.dr, n.dc, (a.h - b.h) / CASE WHEN n.d % 2 = 1 THEN sqrt(2.0) ELSE 1 END AS x FROM nb n JOIN ht a ON a.r = n.r AND a.c = n.c JOIN ht b ON b.r = n.r + n.dr AND b.c = n.c + n.dc),
+dir AS MATERIALIZED (SELECT r, c, arg_min((d, dr, dc), (-x, d)) AS m FROM fall WHERE x > 0 GROUP BY r, c),
+thru(r0, c0, r, c) AS (SELECT r, c, r, c FROM cell UNION ALL SELECT t.r0, t.c0, t.r + m[2], t.c + m[3] FROM thru t JOIN dir ON dir.r = t.r AND dir.c = t.c),
+acc AS (SELECT r, c, count(*) AS acc FROM thru GROUP BY r, c),
+done AS (SELECT concat(r // 12, '_', c // 13) AS tile, r, c, z, f AS filled, coalesce(m[1], -1) AS d, acc FROM cell JOIN ht USING (r, c) JOIN acc USING (r, c) LEFT JOIN dir USING (r, c))"""
 _GRAD = f"g AS (SELECT *, (coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / (CASE WHEN lead(z) OVER x IS NULL OR lag(z) OVER x IS NULL THEN 1 ELSE 2 END * CELLSIZE) AS dx, -(coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / (CASE WHEN lead(z) OVER y IS NULL OR lag(z) OVER y IS NULL THEN 1 ELSE 2 END * CELLSIZE) AS dy FROM ({CELL}) WINDOW x AS (PARTITION BY r ORDER BY c), y AS (PARTITION BY c ORDER BY r))"
 G20, G5 = _GRAD.replace("CELLSIZE", "20.0::DOUBLE"), _GRAD.replace("CELLSIZE", "5.0::DOUBLE")
 
@@ -305,5 +326,5 @@ QUERIES = {
     "quantise_height": (q_quantise, f"WITH cell AS ({CELL}), q AS (SELECT r, c, CAST(round_even((z - (SELECT min(z) FROM cell)) / greatest((SELECT max(z) - min(z) FROM cell), 1e-9) * 65535, 0) AS INT) AS q FROM cell) SELECT r, c, q & 255 AS low, q >> 8 AS high FROM q"),
     "contour_crossings": (q_contours, f"WITH cell AS ({CELL}), {_NB} SELECT r, c, d, k * 20.0::DOUBLE AS level, round((k * 20.0::DOUBLE - z) / (nz - z), 6) AS share FROM (SELECT *, unnest(range(CAST(floor(least(z, nz) / 20) + 1 AS BIGINT), CAST(ceil(greatest(z, nz) / 20) AS BIGINT))) AS k FROM nb WHERE d IN (0, 2))"),
     "candidate_best": (q_candidate, f"WITH cand AS (SELECT o_custkey AS river_id, o_orderkey AS seq, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS frac FROM orders), stop AS (SELECT river_id, min(seq) AS s FROM cand WHERE frac >= 0.99 GROUP BY river_id), b AS (SELECT c.river_id, arg_min((seq, frac), (-frac, seq)) AS b FROM cand c LEFT JOIN stop USING (river_id) WHERE s IS NULL OR seq <= s GROUP BY c.river_id) SELECT river_id, b[1] AS seq, b[2] AS frac FROM b WHERE b[2] >= 0.9"),
-    "fill_depressions": (q_condition, None),
+    "fill_depressions": (q_condition, f"{FLOOD} SELECT tile, r, c, filled, CAST(d AS INT) AS d, acc FROM done"),
 }

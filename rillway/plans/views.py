@@ -35,6 +35,14 @@ CELL = """
 SELECT CAST(floor(p_partkey/50) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c,
  CAST(1000 + 7*floor(p_partkey/50) + 5*abs(p_partkey % 50 - 25) + p_size % 4 AS DOUBLE) AS z FROM part
 """
+#: The same rows as a rough terrain: pits, ridges and lakes of equal height, a gap in every 89th place.
+ROUGH = """
+SELECT CAST(floor(p_partkey/50) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c,
+ CAST(100 + (CAST(floor(p_partkey/50) AS INT) * 37 + (p_partkey % 50) * 101 + p_size * 13) % 23 + 3 * abs(p_partkey % 17 - 8) AS DOUBLE) AS z
+FROM part WHERE p_partkey % 89 > 0 AND NOT (p_partkey % 50 BETWEEN 20 AND 32 AND floor(p_partkey/50) % 20 BETWEEN 7 AND 15)
+UNION ALL SELECT CAST(floor(p_partkey/50) AS INT), CAST(p_partkey % 50 AS INT), CAST(90 AS DOUBLE) FROM part
+WHERE p_partkey % 89 > 0 AND p_partkey % 50 BETWEEN 20 AND 32 AND floor(p_partkey/50) % 20 BETWEEN 7 AND 15
+"""
 #: Unit squares on ``customer``, 40 to a row, each keyed to a river; they abut, so a dissolve is exact.
 BASIN = """
 SELECT c_custkey AS basin, concat('CDE_', 2 * CAST(floor(c_custkey / 7) AS BIGINT) + 1) AS river_id,
