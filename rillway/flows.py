@@ -33,7 +33,7 @@ def rivers(segments: DataFrame, named: bool = False, roots: bool = False, least_
 def features(net: R.Network, lines: DataFrame, query: str, catchment: bool = False) -> DataFrame:
     """One GeoJSON feature (``feature``) for each segment of the river that an id or name means, or of its whole catchment."""
     river = R.resolve(net.rivers, query).select("river_id")
-    own = (R.catchment_segments(net) if catchment else net.segment_river).join(F.broadcast(river), "river_id").select("cleabs")
+    own = (R.catchment_segments(net, river) if catchment else net.segment_river.join(river, "river_id", "left_semi")).select("cleabs")
     e = net.edges.join(own, "cleabs", "left_semi").join(lines, "cleabs")
     shown = F.struct("cleabs", F.col("name").alias("toponyme"), F.col("ord").alias("order"), "fictif", F.round("length_m", 1).cast("double").alias("length_m"))
     geometry = F.struct(F.lit("LineString").alias("type"), F.transform("line", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
@@ -94,20 +94,22 @@ def _shown(tree: DataFrame, folder: str | None) -> DataFrame:
     return tree
 
 
-def delineate(segments: DataFrame, cells: DataFrame, frames: DataFrame, queries: list[str] | None = None, offsets: tuple[float, ...] = K.OFFSETS, thresholds: tuple[int, ...] = K.THRESHOLDS) -> DataFrame:
+def delineate(segments: DataFrame, cells: DataFrame, frames: DataFrame, queries: list[str] | None = None, offsets: tuple[float, ...] = K.OFFSETS, thresholds: tuple[int, ...] = K.THRESHOLDS, accept: float = 0.9) -> DataFrame:
     """Catchments from terrain of the rivers that ids or names mean, or of all rivers (``delineate.RESULT``).
 
-    ``frames`` (``tile``, ``west``, ``north``, ``cell``, and ``rows`` and ``cols``) says which tile holds a river's mouth.
+    A river's terrain is the mosaic of its padded box over the tiles of ``frames`` (``tile``, ``west``,
+    ``north``, ``cell``, ``rows``, ``cols``); a river without any is undetermined, and says so.
     """
     net = network(segments)
-    lines = written(K.downstream_lines(segments))
-    points = written(K.offset_points(net, lines, offsets))
+    wanted = net.rivers.select("river_id")
     if queries is not None:
-        wanted = [(R.resolve(net.rivers, q).first().river_id,) for q in queries]
-        points = points.join(F.broadcast(points.sparkSession.createDataFrame(wanted, "river_id string")), "river_id", "left_semi")
-    inside = (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("west") + F.col("cols") * F.col("cell")) & (F.col("lat") <= F.col("north")) & (F.col("lat") > F.col("north") - F.col("rows") * F.col("cell"))
-    # Tiles are few and one row each; the mouth, which every river has, says which one a river takes.
-    boxes = frames.select("tile", "west", "north", "cell", "rows", "cols")
-    at = K.outlet_points(net, lines).join(F.broadcast(boxes), inside).groupBy("river_id").agg(F.min("tile").alias("tile"))
-    own = net.segment_river.join(lines, "cleabs").select("river_id", "line")
-    return D.delineate(cells, frames.select("tile", "west", "north", "cell"), K.candidates(points, offsets, thresholds).join(at, "river_id"), own)
+        wanted = segments.sparkSession.createDataFrame([(R.resolve(net.rivers, q).first().river_id,) for q in queries], "river_id string")
+    return delineated(net, written(K.downstream_lines(segments)), cells, frames, wanted, offsets, thresholds, accept)
+
+
+def delineated(net: R.Network, lines: DataFrame, cells: DataFrame, frames: DataFrame, wanted: DataFrame, offsets: tuple[float, ...] = K.OFFSETS, thresholds: tuple[int, ...] = K.THRESHOLDS, accept: float = 0.9) -> DataFrame:
+    """As ``delineate``, of the rivers ``wanted`` (``river_id``) of a network whose lines run downstream."""
+    boxes = written(K.catchment_boxes(net, lines).join(wanted, "river_id", "left_semi"))
+    points = written(K.offset_points(net, lines, offsets).join(wanted, "river_id", "left_semi"))
+    own = net.segment_river.join(wanted, "river_id", "left_semi").join(lines, "cleabs").select("river_id", "line")
+    return D.delineate(cells, frames, K.candidates(points, offsets, thresholds), own, boxes, accept)

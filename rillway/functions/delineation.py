@@ -174,9 +174,9 @@ def inside_share(lines: list[np.ndarray], ring: np.ndarray) -> float:
     return sum(kernels.length_inside(line, ring) for line in lines) / long_ if long_ > 0 else 0.0
 
 
-def search(tile: dict, tries: list[tuple], lines: list[np.ndarray], west: float, north: float, cell: float) -> dict | None:
+def search(tile: dict, tries: list[tuple], lines: list[np.ndarray], west: float, north: float, cell: float, accept: float = ACCEPT) -> dict | None:
     """Of pour points (offset, threshold, lon, lat) in order the one whose catchment holds most of the
-    river's course, up to the first that holds ``EARLY``; None under ``ACCEPT``."""
+    river's course, up to the first that holds ``EARLY``; None under ``accept``."""
     best, tried = None, 0
     for offset, threshold, lon, lat in tries:
         tried += 1
@@ -189,4 +189,4 @@ def search(tile: dict, tries: list[tuple], lines: list[np.ndarray], west: float,
             best = made
         if best["frac"] >= EARLY:
             break
-    return None if best is None or best["frac"] < ACCEPT else best | {"n_tried": tried}
+    return None if best is None or best["frac"] < accept else best | {"n_tried": tried}

@@ -153,11 +153,11 @@ def bilinear(grid: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (grid[i, j] * (1 - v) + grid[i, j2] * v) * (1 - u) + (grid[i2, j] * (1 - v) + grid[i2, j2] * v) * u
 
 
-def cast_shadow(grid: np.ndarray, azimuth: float, altitude: float, cell: float) -> np.ndarray:
+def cast_shadow(grid: np.ndarray, azimuth: float, altitude: float, dx: float, dy: float | None = None) -> np.ndarray:
     """Cells that ground towards the sun hides: rays that advance one cell along the larger axis, until above the highest ground."""
     east, north = np.sin(np.radians(azimuth)), np.cos(np.radians(azimuth))
     east, north = (v / max(abs(east), abs(north)) for v in (east, north))
-    rise, top = cell * np.hypot(east, north) * np.tan(np.radians(altitude)), np.nanmax(grid)
+    rise, top = np.hypot(east * dx, north * (dx if dy is None else dy)) * np.tan(np.radians(altitude)), np.nanmax(grid)
     live_r, live_c = np.nonzero(~np.isnan(grid))
     base, hidden = grid[live_r, live_c], np.zeros(grid.shape, dtype=bool)
     filled = fill_nan(grid)

@@ -10,7 +10,7 @@ import numpy as np
 
 from rillway.functions import delineation, geo, kernels
 
-#: Light and weight of the relief, metres between contours and between those drawn strongly, cells around a catchment.
+#: Fixed values, as are the keys of ``clip``'s facts and of ``payload``, which a viewer reads: light and weight of the relief, metres between contours and between those drawn strongly, cells around a catchment.
 AZIMUTH, ALTITUDE, SLOPE_WEIGHT = 315.0, 45.0, 0.55
 INTERVAL_M, INDEX_M, APRON, MARGIN, DECIMALS = 20, 100, 6, 0.05, 5
 
@@ -28,7 +28,7 @@ def shaded(grid: np.ndarray, dx: float, dy: float, azimuth: float = AZIMUTH, alt
     sun = np.sin(a) * np.cos(h), np.cos(a) * np.cos(h), np.sin(h)
     light = (sun[2] - east * sun[0] - north * sun[1]) / np.sqrt(east**2 + north**2 + 1)
     core = light <= 0
-    hidden = kernels.cast_shadow(grid, azimuth, altitude, (dx + dy) / 2)
+    hidden = kernels.cast_shadow(grid, azimuth, altitude, dx, dy)
     return {"hillshade": np.clip(light, 0, 1), "slope": np.arctan(np.hypot(east, north)) / (np.pi / 2), "core": core, "cast": hidden & ~core}
 
 
@@ -36,8 +36,8 @@ def composed(hillshade: np.ndarray, slope: np.ndarray, weight: float = SLOPE_WEI
     return hillshade if weight == 0 else np.clip((1 - weight) * hillshade + weight * (1 - slope), 0, 1)
 
 
-def clip(grid: np.ndarray, rings: list[np.ndarray], west: float, north: float, cell: float, apron: int = APRON, exaggeration: float = 1.0) -> tuple[np.ndarray, dict]:
-    """Heights within a catchment and an apron around it, NaN elsewhere, and what a viewer must know of them."""
+def clip(grid: np.ndarray, rings: list[np.ndarray], west: float, north: float, cell: float, span: tuple[float, float], apron: int = APRON, exaggeration: float = 1.0) -> tuple[np.ndarray, dict]:
+    """Heights within a catchment and an apron around it, NaN elsewhere, and what a viewer must know of them; ``span``: the least and largest height of the whole terrain."""
     mask = np.zeros(grid.shape, dtype=bool)
     for ring in rings:
         mask |= delineation.ring_mask(ring, grid.shape, west, north, cell)
@@ -53,7 +53,7 @@ def clip(grid: np.ndarray, rings: list[np.ndarray], west: float, north: float, c
     meta = {
         "rows": band.shape[0], "cols": band.shape[1], "bounds": {"west": west, "south": south, "east": east, "north": north}, "cell_deg": cell,
         "m_per_deg_lon": geo.M_PER_DEG_LON * float(np.cos(np.radians((north + south) / 2))), "m_per_deg_lat": geo.M_PER_DEG_LAT,
-        "z_min": float(np.nanmin(band)), "z_max": float(np.nanmax(band)), "z_min_tile": float(np.nanmin(grid)), "z_max_tile": float(np.nanmax(grid)),
+        "z_min": float(np.nanmin(band)), "z_max": float(np.nanmax(band)), "z_min_tile": float(span[0]), "z_max_tile": float(span[1]),
         "n_valid": int(part.sum()), "z_exaggeration": exaggeration,
     }
     return band, meta
@@ -111,9 +111,9 @@ def flat(lines: list) -> list:
     return [x for line in lines for x in [*(n for p in line for n in p), None, None]]
 
 
-def payload(grid: np.ndarray, rings: list[np.ndarray], streams: list[np.ndarray], west: float, north: float, cell: float, exaggeration: float = 1.0) -> dict:
+def payload(grid: np.ndarray, rings: list[np.ndarray], streams: list[np.ndarray], west: float, north: float, cell: float, span: tuple[float, float], exaggeration: float = 1.0) -> dict:
     """All that a viewer needs of one river's terrain."""
-    band, meta = clip(grid, rings, west, north, cell, exaggeration=exaggeration)
+    band, meta = clip(grid, rings, west, north, cell, span, exaggeration=exaggeration)
     usual, strong = contour_lines(band, meta)
     image = "data:image/png;base64," + base64.b64encode(png(height_pixels(band, meta))).decode("ascii")
     return {"meta": meta, "heightmap": image, "streams": draped(streams, meta), "contours_minor": flat(usual), "contours_index": flat(strong)}

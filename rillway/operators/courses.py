@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.functions import drawing
+from rillway.functions import drawing, geo
+from rillway.operators.iterate import subtree_fold
 from rillway.operators.rivers import Network
 from rillway.operators.segments import INVERSE
 from rillway.plans.tables import written
@@ -60,6 +61,30 @@ def outlet_points(network: Network, lines: DataFrame) -> DataFrame:
     return ends.join(lines, "cleabs").select("river_id", F.element_at("line", -1).alias("p")).select("river_id", "p.lon", "p.lat")
 
 
+def catchment_boxes(network: Network, lines: DataFrame) -> DataFrame:
+    """``river_id`` and the padded box of all segments of a river and of what flows into it: ``west``, ``south``, ``east``, ``north``.
+
+    Boxes grow along primary parents in rounds by the logarithm of the tree's depth, and over a
+    fork's other branches until none grows; rivers without a line or an outlet have none.
+    """
+    side = lambda f, k: f(F.transform("line", lambda p: p[k]))
+    low, high = ["west", "south"], ["east", "north"]
+    own = network.segment_river.join(lines, "cleabs").groupBy("river_id").agg(F.min(side(F.array_min, "lon")).alias("west"), F.min(side(F.array_min, "lat")).alias("south"), F.max(side(F.array_max, "lon")).alias("east"), F.max(side(F.array_max, "lat")).alias("north"))
+    tree = written(network.rivers.select(F.col("river_id").alias("id"), F.col("parent_id").alias("next")))
+    extra = written(network.flows.join(tree, network.flows["src"] == tree["id"]).filter("dst <> next").select("src", "dst"))
+    boxes = subtree_fold(tree.join(own.withColumnRenamed("river_id", "id"), "id", "left"), least=low, most=high)
+    while True:
+        sent = boxes.join(extra, boxes["id"] == extra["src"]).groupBy(F.col("dst").alias("id")).agg(*[F.min(c).alias(f"_{c}") for c in low], *[F.max(c).alias(f"_{c}") for c in high])
+        wider = written(boxes.join(sent, "id").filter(" or ".join(f"_{c} < {c}" for c in low) + " or " + " or ".join(f"_{c} > {c}" for c in high)))
+        if not wider.take(1):
+            break
+        grown = boxes.join(wider.select("id", *[f"_{c}" for c in low + high]), "id", "left").join(tree, "id")
+        boxes = subtree_fold(grown.select("id", "next", *[F.least(c, f"_{c}").alias(c) for c in low], *[F.greatest(c, f"_{c}").alias(c) for c in high]), least=low, most=high)
+    at = boxes.withColumnRenamed("id", "river_id").filter("west is not null").join(outlet_points(network, lines), "river_id")
+    padded = geo.padded_bbox(*[F.col(c) for c in ("west", "south", "east", "north", "lon", "lat")])
+    return at.select("river_id", *[b.alias(c) for b, c in zip(padded, ("west", "south", "east", "north"), strict=True)])
+
+
 def _back_along(line: Column, metres: Column) -> Column:
     """The point so many metres before a line's end; its first point if it is shorter."""
     back = F.reverse(line)

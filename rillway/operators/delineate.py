@@ -1,6 +1,6 @@
-"""Catchments from terrain: many rivers of a tile share its conditioning, one tile to a task.
+"""Catchments and drawn terrain of rivers, each from the mosaic of its own box, one river to a task.
 
-A tile that fails, or a river, says so in the ``error`` of its rows, and the others go on.
+A river that fails says so in its ``error``, and the others go on.
 """
 
 from __future__ import annotations
@@ -11,8 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.operators.mosaic import met, mosaic
+from rillway.operators.watershed import too_narrow
+
 _POINT = "struct<lon:double,lat:double>"
-RESULT = f"river_id string, source string, area_km2 double, n_cells long, frac double, offset_m double, threshold int, n_tried int, moved_cells double, raised double, snap_lon double, snap_lat double, ring array<{_POINT}>, error string"
+RESULT = f"river_id string, source string, area_km2 double, n_cells long, frac double, offset_m double, threshold int, n_tried int, moved_cells double, raised double, snap_lon double, snap_lat double, ring array<{_POINT}>, note string, error string"
+#: Fixed value: the share of its course that a catchment should hold.
+WARN_BELOW = 0.9
+#: Cells around a catchment's box that its drawing takes.
+MARGIN_CELLS = 8
 
 
 def _xy(points):
@@ -21,70 +28,81 @@ def _xy(points):
     return np.array([(p["lon"], p["lat"]) for p in points], dtype=float)
 
 
-def delineate(tiles: DataFrame, frames: DataFrame, tries: DataFrame, lines: DataFrame) -> DataFrame:
-    """The best catchment of each river (``RESULT``): ``source`` is ``dem``, or ``undetermined`` where no pour point is accepted.
+def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: DataFrame, boxes: DataFrame, accept: float = 0.9) -> DataFrame:
+    """The best catchment of each river of ``boxes`` (``RESULT``): ``source`` is ``dem``, or ``undetermined`` where no pour point is accepted.
 
-    ``tiles``: ``tile``, ``r``, ``c``, ``z``. ``frames``: ``tile``, ``west``, ``north``, ``cell`` (degrees).
-    ``tries``: ``tile``, ``river_id``, ``seq``, ``offset_m``, ``threshold``, ``lon``, ``lat``. ``lines``:
-    ``river_id``, ``line``, the river's own course. What a tile's task holds is its cells and its rivers.
+    ``cells``: ``tile``, ``r``, ``c``, ``z``. ``frames``: as in ``mosaic``. ``tries``: ``river_id``, ``seq``,
+    ``offset_m``, ``threshold``, ``lon``, ``lat``. ``lines``: ``river_id``, ``line``, the river's own course.
+    ``boxes``: ``river_id``, ``west``, ``south``, ``east``, ``north``. A river's terrain is that of its box,
+    over however many tiles; what its task holds is that and its course. ``note`` says why a
+    river is undetermined, and that an accepted catchment holds less than ``WARN_BELOW`` of its course.
     """
-    # A river's course joins its pour points as one array, of its own lines only.
+    thin = boxes.withColumn("_narrow", too_narrow(F.col("west"), F.col("south"), F.col("east"), F.col("north")))
+    wide = thin.filter("not _narrow").withColumnRenamed("river_id", "key")
+    own = mosaic(wide, cells, frames).withColumnRenamed("key", "of")
+    # A river's course, its pour points and its cell's size join as one row, of its own lines only.
     course = lines.groupBy("river_id").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
-    asked = tries.join(frames, "tile").join(course, "river_id", "left").select("tile", "river_id", "seq", "offset_m", "threshold", "lon", "lat", "west", "north", "cell", "_lines")
+    points = tries.groupBy("river_id").agg(F.sort_array(F.collect_list(F.struct("seq", "offset_m", "threshold", "lon", "lat"))).alias("_tries"))
+    size = frames.agg(F.min("cell").alias("cell"))
+    asked = thin.join(points, "river_id", "left").join(course, "river_id", "left").join(F.broadcast(size)).select("river_id", "_narrow", "cell", "_tries", "_lines")
 
-    def run(cells: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+    def run(part: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         from rillway.functions import delineation, kernels
 
         columns = [f.split()[0] for f in RESULT.replace(_POINT, "p").split(", ")]
         if todo.empty:
             return pd.DataFrame(columns=columns)
-        made, tile, failed = [], None, "no cells"
+        f = todo.iloc[0]
+        out = dict.fromkeys(columns) | {"river_id": f["river_id"], "source": "undetermined"}
         try:
-            if not cells.empty:
-                # The frame's corner is that of cell (0, 0).
-                grid, r0, c0 = kernels.to_grid(cells.r.to_numpy(), cells.c.to_numpy(), cells.z.to_numpy())
+            if f["_narrow"]:
+                out["note"] = "box too narrow"
+            elif part.empty:
+                out["error"] = "no cells"
+            else:
+                grid, r0, c0 = kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part.z.to_numpy())
                 tile = delineation.condition(grid)
+                lines = [_xy(line) for line in f["_lines"]] if f["_lines"] is not None else []
+                tried = [(p["offset_m"], p["threshold"], p["lon"], p["lat"]) for p in f["_tries"]] if f["_tries"] is not None else []
+                found = delineation.search(tile, tried, lines, c0 * f["cell"], -r0 * f["cell"], f["cell"], accept)
+                if found is None:
+                    out["note"] = "no pour point accepted"
+                else:
+                    ring = [{"lon": float(x), "lat": float(y)} for x, y in found.pop("ring")]
+                    out |= found | {"source": "dem", "ring": ring}
+                    if found["frac"] < WARN_BELOW:
+                        out["note"] = f"holds {found['frac']:.0%} of its course"
         except Exception as e:
-            failed = f"{type(e).__name__}: {e}"
-        for river, rows in todo.groupby("river_id", sort=True):
-            out = dict.fromkeys(columns) | {"river_id": river, "source": "undetermined"}
-            if tile is None:
-                out["error"] = failed
-            else:
-                try:
-                    rows = rows.sort_values("seq")
-                    f, own = rows.iloc[0], rows["_lines"].iloc[0]
-                    course = [_xy(line) for line in own] if own is not None else []
-                    found = delineation.search(tile, list(zip(rows["offset_m"], rows["threshold"], rows["lon"], rows["lat"], strict=True)), course, f["west"] + c0 * f["cell"], f["north"] - r0 * f["cell"], f["cell"])
-                    if found is not None:
-                        ring = [{"lon": float(x), "lat": float(y)} for x, y in found.pop("ring")]
-                        out |= found | {"source": "dem", "ring": ring}
-                except Exception as e:
-                    out["error"] = f"{type(e).__name__}: {e}"
-            made.append(out)
-        return pd.DataFrame([{k: o[k] for k in columns} for o in made]).astype({"n_cells": "Int64", "threshold": "Int32", "n_tried": "Int32"})
-
-    return tiles.select("tile", "r", "c", "z").groupBy("tile").cogroup(asked.groupBy("tile")).applyInPandas(run, RESULT)
+            out["error"] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([out]).astype({"n_cells": "Int64", "threshold": "Int32", "n_tried": "Int32"})
+
+    return own.groupBy("of").cogroup(asked.groupBy("river_id")).applyInPandas(run, RESULT)
 
 
 def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: DataFrame, exaggeration: float = 1.0) -> DataFrame:
     """``river_id``, ``payload`` (JSON) and ``error``: the drawn terrain of each river, one river to a task.
 
-    ``rivers``: ``river_id``, ``tile``, ``rings``. ``streams``: ``river_id``, ``line``, of the whole
-    catchment. A river takes the cells of its rings' box and a margin, not its whole tile.
+    ``rivers``: ``river_id``, ``rings``, and the box of its terrain (``west``, ``south``, ``east``, ``north``), over
+    whose heights colours and the height map run; without it, that is all of the tiles that the
+    rings meet. ``streams``: ``river_id``, ``line``, of the whole catchment. A river's task takes the
+    cells of its rings' box and a margin.
     """
     every = F.flatten("rings")
     side = lambda f, k: f(F.transform(every, lambda p: p[k]))
-    box = rivers.join(frames, "tile").withColumns({"_w": side(F.array_min, "lon"), "_e": side(F.array_max, "lon"), "_s": side(F.array_min, "lat"), "_n": side(F.array_max, "lat")})
-    near = 8
-    cut = box.select(
-        "river_id", "tile", F.floor((F.col("_w") - F.col("west")) / F.col("cell") - near).alias("_c0"), F.ceil((F.col("_e") - F.col("west")) / F.col("cell") + near).alias("_c1"),
-        F.floor((F.col("north") - F.col("_n")) / F.col("cell") - near).alias("_r0"), F.ceil((F.col("north") - F.col("_s")) / F.col("cell") + near).alias("_r1"),
-    )
-    own = cells.join(cut, "tile").filter("c between _c0 and _c1 and r between _r0 and _r1").select("river_id", "r", "c", "z")
+    size = F.broadcast(frames.agg(F.min("cell").alias("cell")))
+    drawn = rivers.select("river_id", "rings").join(size)
+    pad = MARGIN_CELLS * F.col("cell")
+    near = drawn.select(F.col("river_id").alias("key"), (side(F.array_min, "lon") - pad).alias("west"), (side(F.array_min, "lat") - pad).alias("south"), (side(F.array_max, "lon") + pad).alias("east"), (side(F.array_max, "lat") + pad).alias("north"))
+    own = mosaic(near, cells, frames).withColumnRenamed("key", "river_id")
+    if "west" in rivers.columns:
+        whole = mosaic(rivers.select(F.col("river_id").alias("key"), "west", "south", "east", "north"), cells, frames)
+        ends = whole.groupBy(F.col("key").alias("river_id")).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    else:
+        tile = cells.filter("z is not null and not isnan(z)").groupBy("tile").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+        ends = met(near, frames).join(tile, "tile").groupBy(F.col("key").alias("river_id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     course = streams.groupBy("river_id").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
     # Under another name, as the cells' side comes from the same rivers.
-    facts = rivers.join(frames, "tile").join(course, "river_id", "left").select(F.col("river_id").alias("of"), "rings", "_lines", "west", "north", "cell")
+    facts = drawn.join(course, "river_id", "left").join(ends, "river_id", "left").select(F.col("river_id").alias("of"), "rings", "_lines", "cell", "lo", "hi")
 
     def run(part: pd.DataFrame, fact: pd.DataFrame) -> pd.DataFrame:
         from rillway.functions import kernels, terrain
@@ -97,7 +115,7 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
                 raise ValueError("no cells")
             grid, r0, c0 = kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part.z.to_numpy())
             lines = [_xy(line) for line in f["_lines"]] if f["_lines"] is not None else []
-            made = terrain.payload(grid, [_xy(r) for r in f["rings"]], lines, f["west"] + c0 * f["cell"], f["north"] - r0 * f["cell"], f["cell"], exaggeration)
+            made = terrain.payload(grid, [_xy(r) for r in f["rings"]], lines, c0 * f["cell"], -r0 * f["cell"], f["cell"], (f["lo"], f["hi"]), exaggeration)
             return pd.DataFrame({"river_id": [f["of"]], "payload": [json.dumps(made)], "error": [None]})
         except Exception as e:
             return pd.DataFrame({"river_id": [f["of"]], "payload": [None], "error": [f"{type(e).__name__}: {e}"]})

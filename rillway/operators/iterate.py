@@ -6,10 +6,10 @@ logarithmic in the longest chain for doubling, and the depth of the graph for cl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.plans.tables import written
+from rillway.plans.tables import Grown, written
 
 
 def follow(pointers: DataFrame) -> DataFrame:
@@ -34,22 +34,58 @@ def follow(pointers: DataFrame) -> DataFrame:
             return step.select("id", "last", "hops", (~F.col("ended")).alias("cyclic"))
 
 
-def subtree_sums(pointers: DataFrame, columns: list[str]) -> DataFrame:
-    """``pointers`` (``id``, ``next``, and ``columns``) with each of ``columns`` summed over all rows whose chains pass through a row, itself included.
+def subtree_fold(pointers: DataFrame, sums: list[str] | None = None, least: list[str] | None = None, most: list[str] | None = None) -> DataFrame:
+    """``pointers`` (``id``, ``next``, and columns) with columns summed, or their least or largest taken, over all rows whose chains pass through a row, itself included.
 
-    In round k a row knows the sum of those less than 2^k steps above it, and passes it to the
-    row 2^k steps on: the table never grows, and there are as many rounds as the longest chain's
+    In round k a row knows this of those less than 2^k steps above it, and passes it to the row
+    2^k steps on: the table never grows, and there are as many rounds as the longest chain's
     length has bits. ``next`` is null at an end, and chains have no cycles.
     """
-    step = written(pointers.select("id", F.col("next").alias("to"), *columns))
+    folds = [(c, F.sum, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))) for c in sums or []]
+    folds += [(c, F.min, F.least) for c in least or []] + [(c, F.max, F.greatest) for c in most or []]
+    step = written(pointers.select("id", F.col("next").alias("to"), *[c for c, _, _ in folds]))
     while step.filter("to is not null").take(1):
-        gained = step.filter("to is not null").groupBy(F.col("to").alias("id")).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+        gained = step.filter("to is not null").groupBy(F.col("to").alias("id")).agg(*[fold(c).alias(f"_{c}") for c, fold, _ in folds])
         far = step.select(F.col("id").alias("to"), F.col("to").alias("_to"))
-        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns]
-        step = written(step.join(gained, "id", "left").join(far, "to", "left").select("id", F.col("_to").alias("to"), *sums))
+        step = written(step.join(gained, "id", "left").join(far, "to", "left").select("id", F.col("_to").alias("to"), *[both(F.col(c), F.col(f"_{c}")).alias(c) for c, _, both in folds]))
+    return step.drop("to")
+
+
+def subtree_sums(pointers: DataFrame, columns: list[str]) -> DataFrame:
+    return subtree_fold(pointers, sums=columns)
+
+
+def chain_sums(pointers: DataFrame, column: str) -> DataFrame:
+    """``id``, ``last`` and ``column`` summed from a row to the end of its chain, both included; chains have no cycles."""
+    step = written(pointers.select("id", F.col("next").alias("to"), F.col("id").alias("last"), column))
+    while step.filter("to is not null").take(1):
+        far = step.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("last").alias("_last"), F.col(column).alias("_more"))
+        step = written(step.join(far, "to", "left").select("id", F.col("_to").alias("to"), F.coalesce("_last", "last").alias("last"), (F.col(column) + F.coalesce("_more", F.lit(0))).alias(column)))
     return step.drop("to")
 
 
+def tree_order(pointers: DataFrame, buckets: int = 64) -> DataFrame:
+    """``id``, ``root``, ``first``, ``size``: an interval for each row, such that those above it have theirs inside (an Euler tour's numbers).
+
+    ``first`` counts from 0 in each tree, ``size`` is the number of rows whose chains pass through
+    a row. The children of one row are numbered in buckets, so that no task holds all of them.
+    """
+    sizes = written(subtree_sums(pointers.select("id", "next", F.lit(1).cast("long").alias("size")), ["size"]).join(pointers.select("id", "next"), "id"))
+    kids = sizes.filter("next is not null").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    before = lambda *by: Window.partitionBy("next", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    whole = kids.groupBy("next", "_b").agg(F.sum("size").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before("_b")), F.lit(0)))
+    placed = kids.withColumn("_in", F.coalesce(F.sum("size").over(before("_b", "id")), F.lit(0))).join(whole, ["next", "_b"])
+    offset = placed.select("id", "next", (F.col("_in") + F.col("_before") + 1).alias("first"))
+    steps = offset.unionByName(sizes.filter("next is null").select("id", "next", F.lit(0).cast("long").alias("first")))
+    numbered = chain_sums(steps, "first")
+    return numbered.select("id", F.col("last").alias("root"), "first").join(sizes.select("id", "size"), "id")
+
+
+def inside(inner: str, outer: str) -> str:
+    """SQL: whether the interval in the struct ``inner`` lies in that of ``outer``."""
+    return f"({inner}.root = {outer}.root and {inner}.first >= {outer}.first and {inner}.first < {outer}.first + {outer}.size)"
+
+
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """All pairs ``(src, dst, depth)`` with ``dst`` reachable from ``src`` by one or more edges.
 
@@ -59,13 +95,14 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     hop = written(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct())
     first = hop if start is None else hop.join(start.select(F.col("src").alias("_at")).distinct(), "_at", "left_semi")
     front = written(first.select(F.col("_at").alias("src"), F.col("_to").alias("dst"), F.lit(1).alias("depth")))
-    found, depth = front, 1
+    # The pairs are one table to which each round appends what is new.
+    found, depth = Grown(front), 1
     while front.take(1):
         depth += 1
         more = front.select("src", F.col("dst").alias("_at")).join(hop, "_at").select("src", F.col("_to").alias("dst")).distinct()
-        front = written(more.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = written(found.unionByName(front))
-    return found
+        front = written(more.join(found.table(), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        found.append(front)
+    return found.table()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.operators.iterate import closure, follow, strong_components
-from rillway.plans.tables import written
+from rillway.operators.iterate import closure, follow, inside, strong_components, subtree_sums, tree_order
+from rillway.plans.tables import Grown, written
 
 
 @dataclass
@@ -197,15 +197,48 @@ def build(edges: DataFrame) -> Network:
     return Network(edges, owner, written(full), links)
 
 
-def upstream(network: Network) -> DataFrame:
-    """All (``river_id``, ``ancestor``) pairs: which rivers drain into which, over all links."""
+def upstream(network: Network, of: DataFrame | None = None) -> DataFrame:
+    """(``river_id``, ``ancestor``) pairs: which rivers drain into which, over all links; only those of the rivers ``of``, if given."""
     up = network.flows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closure(up).select(F.col("src").alias("river_id"), F.col("dst").alias("ancestor"), "depth")
+    start = None if of is None else of.select(F.col("river_id").alias("src"))
+    return closure(up, start).select(F.col("src").alias("river_id"), F.col("dst").alias("ancestor"), "depth")
+
+
+def upstream_sums(rivers: DataFrame, links: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """``river_id`` and ``columns`` of ``values`` (by ``river_id``) summed over a river and all rivers upstream of it, each once.
+
+    Along primary parents these are sums over a tree, in rounds by the logarithm of its depth.
+    Only what a fork's other branches bring to a river from outside its tree is kept as pairs,
+    up to where both branches have met again; there the tree's intervals tell which of them
+    lie within one another.
+    """
+    tree = written(rivers.select(F.col("river_id").alias("id"), F.col("parent_id").alias("next")))
+    own = tree.join(values.withColumnRenamed("river_id", "id"), "id", "left").select("id", "next", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+    sums = written(subtree_sums(own, columns).withColumnRenamed("id", "river_id"))
+    extra = written(links.join(tree, links["src"] == tree["id"]).filter("dst <> next").select("src", "dst"))
+    if not extra.take(1):
+        return sums
+    span = written(tree_order(tree).select("id", F.struct("root", "first", "size").alias("span")))
+    mine, theirs = span.select(F.col("id").alias("river_id"), F.col("span").alias("_v")), span.select(F.col("id").alias("other"), F.col("span").alias("_x"))
+    outside = lambda pairs: pairs.distinct().join(mine, "river_id").join(theirs, "other").filter(f"not {inside('_x', '_v')}").select("river_id", "other")
+    front = written(outside(extra.select(F.col("dst").alias("river_id"), F.col("src").alias("other"))))
+    found = Grown(front)
+    while front.take(1):
+        on = front.join(links.withColumnRenamed("src", "river_id"), "river_id").select(F.col("dst").alias("river_id"), "other")
+        front = written(outside(on).join(found.table(), ["river_id", "other"], "left_anti"))
+        found.append(front)
+    placed = found.table().join(theirs, "other").select("river_id", "other", "_x.*")
+    earlier = Window.partitionBy("river_id", "root").orderBy("first", F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = placed.withColumn("_to", F.max(F.col("first") + F.col("size")).over(earlier)).filter("_to is null or _to <= first")
+    more = outer.join(sums.withColumnRenamed("river_id", "other"), "other").groupBy("river_id").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    return sums.join(more, "river_id", "left").select("river_id", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in columns])
 
 
 def n_upstream(network: Network) -> DataFrame:
-    counts = upstream(network).groupBy("river_id").agg(F.count(F.lit(1)).alias("n_upstream"))
-    return network.rivers.join(counts, "river_id", "left").withColumn("n_upstream", F.coalesce("n_upstream", F.lit(0)))
+    """The rivers with ``n_upstream``, how many others drain into each, over all links."""
+    one = network.rivers.select("river_id", F.lit(1).cast("long").alias("n"))
+    counts = upstream_sums(network.rivers, network.flows, one, ["n"])
+    return network.rivers.join(counts.select("river_id", (F.col("n") - 1).alias("n_upstream")), "river_id")
 
 
 def downstream_path(network: Network) -> DataFrame:
@@ -214,10 +247,10 @@ def downstream_path(network: Network) -> DataFrame:
     return closure(main).select(F.col("src").alias("river_id"), F.col("dst").alias("below"), "depth")
 
 
-def catchment_segments(network: Network) -> DataFrame:
-    """Segments of a river and of all rivers upstream of it."""
-    own = network.rivers.select("river_id", F.col("river_id").alias("ancestor"))
-    every = own.unionByName(upstream(network).select("river_id", "ancestor"))
+def catchment_segments(network: Network, of: DataFrame | None = None) -> DataFrame:
+    """Segments of a river and of all rivers upstream of it; only of the rivers ``of``, if given."""
+    own = (network.rivers if of is None else of).select("river_id", F.col("river_id").alias("ancestor"))
+    every = own.unionByName(upstream(network, of).select("river_id", "ancestor"))
     return every.join(network.segment_river.withColumnRenamed("river_id", "ancestor"), "ancestor").select("river_id", "cleabs")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.operators.iterate import closure, follow
+from rillway.operators.iterate import follow, subtree_fold
 from rillway.plans.tables import written
 
 
@@ -39,17 +39,10 @@ def trace_tree(edges: DataFrame, root: str) -> DataFrame:
     return written(one.join(below, "dst", "left"))
 
 
-def _pairs(tree: DataFrame) -> DataFrame:
-    """All (edge, edge upstream of it) pairs, each edge with itself too."""
-    up = tree.filter("parent is not null").select(F.col("parent").alias("src"), F.col("cleabs").alias("dst"))
-    own = tree.select(F.col("cleabs").alias("src"), F.col("cleabs").alias("dst"))
-    return closure(up).select("src", "dst").unionByName(own)
-
-
 def tree_totals(tree: DataFrame) -> DataFrame:
     """Segments and metres upstream of each edge, itself included."""
-    sums = _pairs(tree).join(tree.select(F.col("cleabs").alias("dst"), "length_m"), "dst").groupBy(F.col("src").alias("cleabs")).agg(F.count(F.lit(1)).alias("n_upstream"), F.sum("length_m").alias("upstream_m"))
-    return tree.join(sums, "cleabs")
+    chain = tree.select(F.col("cleabs").alias("id"), F.col("parent").alias("next"), F.lit(1).cast("long").alias("n_upstream"), F.col("length_m").alias("upstream_m"))
+    return tree.join(subtree_fold(chain, sums=["n_upstream", "upstream_m"]).withColumnRenamed("id", "cleabs"), "cleabs")
 
 
 def ordered_children(tree: DataFrame) -> DataFrame:
@@ -83,6 +76,6 @@ def collapse_chains(tree: DataFrame) -> DataFrame:
 
 def prune_order(tree: DataFrame, least: int) -> DataFrame:
     """The tree without branches whose largest order is under ``least``."""
-    top = _pairs(tree).join(tree.select(F.col("cleabs").alias("dst"), "ord"), "dst").groupBy(F.col("src").alias("cleabs")).agg(F.max("ord").alias("_m"))
+    top = subtree_fold(tree.select(F.col("cleabs").alias("id"), F.col("parent").alias("next"), F.col("ord").alias("_m")), most=["_m"]).withColumnRenamed("id", "cleabs")
     # An edge that carries a larger order carries it down to every edge below, so no walk is needed.
     return tree.join(top.filter(F.col("_m") >= least).select("cleabs"), "cleabs", "left_semi")

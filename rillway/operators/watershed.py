@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.operators.rivers import upstream_sums
+
 AREA_MIN, AREA_MAX, MIN_BOX_DEG = 5.0, 150.0, 0.003
 
 
@@ -20,6 +22,13 @@ def areas(members: DataFrame, area: str = "area_km2") -> DataFrame:
     return members.groupBy("river_id").agg(F.round(F.sum(area), 1).alias("area_km2"), F.count(F.lit(1)).alias("n_sub_basins"))
 
 
+def drainage_areas(rivers: DataFrame, links: DataFrame, basins: DataFrame, area: str = "area_km2") -> DataFrame:
+    """As ``areas`` of ``membership``, without the pairs of rivers: a sum over each river's tree, and what forks add to it."""
+    own = basins.filter("river_id is not null and trim(river_id) <> ''").groupBy("river_id").agg(F.sum(area).alias("area_km2"), F.count(F.lit(1)).alias("n_sub_basins"))
+    sums = upstream_sums(rivers, links, own, ["area_km2", "n_sub_basins"]).filter("n_sub_basins > 0")
+    return sums.select("river_id", F.round("area_km2", 1).alias("area_km2"), "n_sub_basins")
+
+
 def dissolve_edges(members: DataFrame, ring: str = "ring") -> DataFrame:
     """Boundary edges of the union of abutting polygons: those that an odd number of rings have.
 

@@ -189,35 +189,10 @@ def q_bilinear(spark, sf):
     return q.select("r", "c", F.round((F.col("z") * (1 - v) + F.col("zb") * v) * (1 - u) + (F.col("zc") * (1 - v) + F.col("zd") * v) * u, 6).alias("height"))
 
 
-def _frame(spark, tile="t0"):
-    return spark.createDataFrame([(tile, 0.0, 43.0, 0.001)], "tile string, west double, north double, cell double")
-
-
-def q_delineate(spark, sf):
-    """Catchments of places in the terrain's valley, searched over thresholds."""
-    cells = _cells(spark, sf).withColumn("tile", F.lit("t0"))
-    tries = view(spark, sf, "SELECT s_suppkey AS k FROM supplier").select(F.lit("t0").alias("tile"), F.concat(F.lit("V"), "k").alias("river_id"), (0.0255 + (F.col("k") % 5) * 0.001).alias("lon"), (43.0 - 0.0005 - F.col("k") % 38 * 0.001).alias("lat"), F.lit(0.0).alias("offset_m"))
-    tries = K.candidates(tries, thresholds=(8, 20))
-    first = tries.filter("seq = 0")
-    lines = first.select("river_id", F.array(F.struct("lon", F.col("lat").alias("lat")), F.struct("lon", (F.col("lat") - 0.002).alias("lat"))).alias("line"))
-    return D.delineate(cells, _frame(spark), tries, lines).select("river_id", "source", F.round("area_km2", 6).alias("area_km2"), "n_cells", F.round("frac", 6).alias("frac"), "threshold", "error")
-
-
 def q_condition_stats(spark, sf):
     return tiled.statistics(_conditioned(spark, sf)).withColumn("raised", F.round("raised", 6))
 
 
-def q_payload(spark, sf):
-    cells = _cells(spark, sf).withColumn("tile", F.lit("t0"))
-    p = lambda lon, lat: F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat"))
-    ring = F.array(F.array(p(0.01, 42.99), p(0.04, 42.99), p(0.04, 42.975), p(0.01, 42.975), p(0.01, 42.99)))
-    rivers = spark.range(3).select(F.concat(F.lit("V"), "id").alias("river_id"), F.lit("t0").alias("tile"), ring.alias("rings"))
-    streams = rivers.select("river_id", F.array(p(0.025, 42.99), p(0.025, 42.975)).alias("line"))
-    made = D.payloads(cells, _frame(spark), rivers, streams)
-    meta = F.get_json_object("payload", "$.meta.n_valid").cast("long")
-    return made.select("river_id", meta.alias("n_valid"), F.length(F.get_json_object("payload", "$.streams")).alias("stream_chars"), "error")
-
-
 def q_shaded(spark, sf):
     tiles = _cells(spark, sf).withColumn("tile", F.concat(F.lit("t"), F.floor(F.col("r") / 64).cast("string")))
     return D.shaded_relief(tiles, 20.0, 225.0, 20.0).select("tile", "r", "c", F.round("hillshade", 6).alias("hillshade"), "core", "cast")
@@ -312,9 +287,7 @@ QUERIES = {
     "mask_dilate": (q_dilate, f"WITH cell AS ({CELL}), m AS (SELECT r, c FROM cell WHERE z % 4 = 1 AND c < 20) SELECT r, c FROM cell a WHERE EXISTS (SELECT 1 FROM m WHERE pow(m.r - a.r, 2) + pow(m.c - a.c, 2) <= 4)"),
     "fill_stats": (q_fill_stats, f"WITH cell AS ({CELL}), low AS (SELECT a.r, a.c, min(b.z) AS m, count(*) AS n FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c) SELECT count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN n = 8 AND m - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised FROM cell LEFT JOIN low USING (r, c)"),
     "bilinear_sample": (q_bilinear, f"WITH cell AS ({CELL}) SELECT a.r, a.c, round((a.z * (1 - a.c % 3 / 3.0::DOUBLE) + b.z * (a.c % 3 / 3.0::DOUBLE)) * (1 - a.r % 4 / 4.0::DOUBLE) + (d.z * (1 - a.c % 3 / 3.0::DOUBLE) + e.z * (a.c % 3 / 3.0::DOUBLE)) * (a.r % 4 / 4.0::DOUBLE), 6) AS height FROM cell a JOIN cell b ON b.r = a.r AND b.c = a.c + 1 JOIN cell d ON d.r = a.r + 1 AND d.c = a.c JOIN cell e ON e.r = a.r + 1 AND e.c = a.c + 1"),
-    "delineate_search": (q_delineate, None),
     "condition_stats": (q_condition_stats, f"{FLOOD} SELECT tile, count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised, max(acc) AS most_acc, avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END) > 0.05 AS much_raised FROM done GROUP BY tile"),
-    "terrain_payload": (q_payload, None),
     "shaded_relief": (q_shaded, None),
     "local_xz": (q_local, f"SELECT k, round({_EX}, 3) AS x, round({_EZ}, 3) AS z FROM ({_L})"),
     "camera_shot": (q_camera, f"WITH {_SHOT} SELECT k, round(CASE WHEN {_SET} THEN ox + 3000 * cos({_ELV}) * sin(radians(k % 360)) ELSE ex - (ox - ex) / CASE WHEN d > 0 THEN d ELSE 1 END * 750 END, 3) AS x, round(CASE WHEN {_SET} THEN 150 + 3000 * sin({_ELV}) ELSE 1400 END, 3) AS y, round(CASE WHEN {_SET} THEN oz + 3000 * cos({_ELV}) * cos(radians(k % 360)) ELSE ez - (oz - ez) / CASE WHEN d > 0 THEN d ELSE 1 END * 750 END, 3) AS z, round(CASE WHEN {_SET} THEN 150.0::DOUBLE ELSE 168.0::DOUBLE END, 3) AS target_y FROM s"),

@@ -183,8 +183,7 @@ def q_closure(spark, sf):
 
 
 def _with_counts(spark, sf):
-    counts = _closed(spark, sf).groupBy("river_id").agg(F.count(F.lit(1)).alias("n_upstream"))
-    return network(spark, sf).rivers.join(counts, "river_id", "left").withColumn("n_upstream", F.coalesce("n_upstream", F.lit(0)))
+    return R.n_upstream(network(spark, sf))
 
 
 def q_n_upstream(spark, sf):

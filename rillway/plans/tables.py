@@ -19,11 +19,30 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read back; the files go with the driver."""
-    spark = df.sparkSession
+def _new_path(spark: SparkSession) -> str:
+    """A path in the shared folder; what is there goes with the driver."""
     path = f"{work_dir(spark)}/rillway/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back; the files go with the driver."""
+    path = _new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A written table that rows are appended to; what is appended must be written itself."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self._spark, self._schema, self._path = first.sparkSession, first.schema, _new_path(first.sparkSession)
+        self.append(first)
+
+    def append(self, more: DataFrame) -> None:
+        more.select(self._schema.names).write.mode("append").parquet(self._path)
+
+    def table(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(self._path)

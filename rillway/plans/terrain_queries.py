@@ -106,7 +106,8 @@ def q_membership(spark, sf):
 
 
 def _areas(spark, sf):
-    return watershed.areas(_members(spark, sf))
+    net = network(spark, sf)
+    return watershed.drainage_areas(net.rivers, net.flows, _basins(spark, sf))
 
 
 def q_basin_area(spark, sf):

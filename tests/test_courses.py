@@ -131,6 +131,9 @@ def test_catchment_against_paths():
         assert {tuple(x) for x in np.argwhere(delineation.catchment(directions, *cell))} == want
 
 
+FRAME = "tile string, west double, north double, cell double, rows int, cols int"
+
+
 def _valley():
     """Two valleys that run south, a ridge at column 20 between them."""
     r, c = np.mgrid[0:60, 0:40]
@@ -141,36 +144,43 @@ def test_search_takes_the_valley_of_the_course(spark):
     z, cell = _valley(), 0.001
     tiles = [("t", int(r), int(c), float(z[r, c])) for r, c in np.ndindex(z.shape)]
     tiles = spark.createDataFrame(tiles, "tile string, r int, c int, z double")
-    frames = spark.createDataFrame([("t", 1.0, 43.0, cell)], "tile string, west double, north double, cell double")
+    frames = spark.createDataFrame([("t", 1.0, 43.0, cell, 60, 40)], FRAME)
     at = lambda r, c: (1.0 + (c + 0.5) * cell, 43.0 - (r + 0.5) * cell)
     # The first point lies nearer to the other valley's channel.
-    rows = [("t", "left", 0, 0.0, 30, *at(58, 26)), ("t", "left", 1, 100.0, 30, *at(50, 11)), ("t", "left", 2, 200.0, 10**6, *at(50, 11)), ("t", "lost", 0, 0.0, 10**6, *at(5, 5)), ("gone", "other", 0, 0.0, 10, 1.0, 43.0)]
-    tries = spark.createDataFrame(rows, "tile string, river_id string, seq long, offset_m double, threshold int, lon double, lat double")
-    frames = frames.unionByName(spark.createDataFrame([("gone", 1.0, 43.0, cell)], "tile string, west double, north double, cell double"))
+    rows = [("left", 0, 0.0, 30, *at(58, 26)), ("left", 1, 100.0, 30, *at(50, 11)), ("left", 2, 200.0, 10**6, *at(50, 11)), ("lost", 0, 0.0, 10**6, *at(5, 5)), ("other", 0, 0.0, 10, 5.0, 43.0)]
+    tries = spark.createDataFrame(rows, "river_id string, seq long, offset_m double, threshold int, lon double, lat double")
+    box = (1.0, 42.94, 1.04, 43.0)
+    boxes = spark.createDataFrame([("left", *box), ("lost", *box), ("other", 5.0, 43.0, 6.0, 44.0), ("dot", 1.0, 42.95, 1.002, 43.0), ("none", *box)], "river_id string, west double, south double, east double, north double")
     course = [{"lon": x, "lat": y} for x, y in (at(5, 10), at(49, 10))]
     lines = spark.createDataFrame([("left", course)], "river_id string, line array<struct<lon:double,lat:double>>")
-    got = {r.river_id: r for r in D.delineate(tiles, frames, tries, lines).collect()}
+    got = {r.river_id: r for r in D.delineate(tiles, frames, tries, lines, boxes).collect()}
     left = got["left"]
     assert (left.source, left.offset_m, left.n_tried, left.error) == ("dem", 100.0, 2, None) and left.frac > 0.99
     assert 0.8 * 50 * 20 < left.n_cells < 1.1 * 51 * 21
     one = geo.M_PER_DEG_LAT * cell * geo.M_PER_DEG_LON * cell * math.cos(math.radians(43)) / 1e6
     assert left.area_km2 == pytest.approx(left.n_cells * one, rel=0.05)
     assert got["lost"].source == "undetermined" and got["lost"].ring is None and got["other"].error == "no cells"
+    assert (got["lost"].note, got["none"].note, got["dot"].note) == ("no pour point accepted", "no pour point accepted", "box too narrow") and len(got) == 5
 
 
 def test_payload(spark):
     z, cell = _valley(), 0.001
     tiles = spark.createDataFrame([("t", int(r), int(c), float(z[r, c])) for r, c in np.ndindex(z.shape)], "tile string, r int, c int, z double")
-    frames = spark.createDataFrame([("t", 1.0, 43.0, cell)], "tile string, west double, north double, cell double")
+    frames = spark.createDataFrame([("t", 1.0, 43.0, cell, 60, 40)], FRAME)
     p = lambda x, y: {"lon": 1.0 + x * cell, "lat": 43.0 - y * cell}
     ring = [p(8, 8), p(30, 8), p(30, 40), p(8, 40), p(8, 8)]
     away = [p(900, 8), p(910, 8), p(910, 20), p(900, 8)]
-    rivers = spark.createDataFrame([("a", "t", [ring]), ("b", "t", [away])], "river_id string, tile string, rings array<array<struct<lon:double,lat:double>>>")
+    rivers = spark.createDataFrame([("a", [ring]), ("b", [away])], "river_id string, rings array<array<struct<lon:double,lat:double>>>")
     streams = spark.createDataFrame([("a", [p(10, 10), p(10, 39)]), ("a", [p(-500, 0), p(-400, 0)])], "river_id string, line array<struct<lon:double,lat:double>>")
     got = {r.river_id: r for r in D.payloads(tiles, frames, rivers, streams).collect()}
     assert got["b"].payload is None and "no cell" in got["b"].error
     made = json.loads(got["a"].payload)
     meta = made["meta"]
+    # Heights run over the whole tile, or over the river's box, not over what is drawn.
+    assert (meta["z_min_tile"], meta["z_max_tile"]) == (z.min(), z.max()) and meta["z_max"] < z.max()
+    boxed = rivers.filter("river_id = 'a'").selectExpr("*", "1.0D as west", "42.955D as south", "1.02D as east", "43.0D as north")
+    other = json.loads(D.payloads(tiles, frames, boxed, streams).first().payload)["meta"]
+    assert (other["z_min_tile"], other["z_max_tile"]) == (z[:45, :20].min(), z[:45, :20].max()) and other["z_max"] == meta["z_max"]
     assert meta["n_valid"] <= meta["rows"] * meta["cols"] and meta["rows"] == 32 + 2 * terrain.APRON and len(made["streams"]) == 1
     image = base64.b64decode(made["heightmap"].split(",")[1])
     cols, rows = struct.unpack(">II", image[16:24])
@@ -217,6 +227,14 @@ def test_cast_shadow_against_rays():
             assert got[r, c] == hidden
 
 
+def test_shadow_of_cells_that_are_not_square():
+    z = np.zeros((5, 60))
+    z[:, 50:] = 100.0
+    for dx in (5.0, 20.0):
+        hidden = kernels.cast_shadow(z, 90.0, 45.0, dx, 10.0)
+        assert abs(hidden[2].sum() * dx - 100) <= 1.5 * dx
+
+
 def test_simplify_keeps_what_is_far_off():
     rng = random.Random(4)
     line = np.array([(x, rng.uniform(-1, 1)) for x in range(60)], dtype=float)

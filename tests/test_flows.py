@@ -63,11 +63,29 @@ def test_watershed_helpers(spark, tmp_path):
 
 
 def test_delineate(spark):
-    # One river down the middle of a valley of 40 by 21 cells.
+    # One river that winds down a valley of 40 by 21 cells.
     cell = 0.001
     z = [("t", r, c, 500.0 - 2 * r + 10 * abs(c - 10)) for r in range(40) for c in range(21)]
     at = lambda r, c: {"lon": 1 + (c + 0.5) * cell, "lat": 43 - (r + 0.5) * cell}
-    rows = [("v1", "a", "b", "Sens direct", "1", "RV_V", "Val", False, 3000.0, [at(4, 10), at(36, 10)])]
+    rows = [("v1", "a", "b", "Sens direct", "1", "RV_V", "Val", False, 3000.0, [at(4, 10), at(8, 2), at(12, 18), at(16, 10), at(36, 10)])]
     frames = spark.createDataFrame([("t", 1.0, 43.0, cell, 40, 21)], "tile string, west double, north double, cell double, rows int, cols int")
     got = flows.delineate(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(z, "tile string, r int, c int, z double"), frames, ["Val"], offsets=(0, 100), thresholds=(15,)).collect()
     assert [(r.river_id, r.source, r.error) for r in got] == [("RV_V", "dem", None)] and got[0].frac > 0.95 and got[0].n_cells > 500
+
+
+def test_delineate_over_tiles(spark):
+    # The same valley over four tiles that share their borders' cells; a second river lies beyond all of them.
+    cell = 0.001
+    z = lambda r, c: 500.0 - 2 * r + 10 * abs(c - 10)
+    at = lambda r, c: {"lon": 1 + (c + 0.5) * cell, "lat": 43 - (r + 0.5) * cell}
+    whole = [("t", r, c, z(r, c)) for r in range(40) for c in range(21)]
+    corners = {f"t{k}{m}": (r0, c0) for k, r0 in enumerate((0, 17)) for m, c0 in enumerate((0, 9))}
+    parts = [(t, r, c, z(r + r0, c + c0)) for t, (r0, c0) in corners.items() for r in range(23) for c in range(12) if r + r0 < 40 and c + c0 < 21]
+    frames = [(t, 1 + c0 * cell, 43 - r0 * cell, cell, 23, 12) for t, (r0, c0) in corners.items()]
+    rows = [("v1", "a", "b", "Sens direct", "1", "RV_V", "Val", False, 3000.0, [at(4, 10), at(8, 2), at(12, 18), at(16, 10), at(36, 10)]), ("w1", "x", "y", "Sens direct", "1", "RV_W", "Away", False, 3000.0, [{"lon": 7.0, "lat": 44.0}, {"lon": 7.1, "lat": 43.9}])]
+    kind = "tile string, west double, north double, cell double, rows int, cols int"
+    cells = lambda of: spark.createDataFrame(of, "tile string, r int, c int, z double")
+    run = lambda of, f: {r.river_id: r for r in flows.delineate(spark.createDataFrame(rows, SCHEMA), cells(of), spark.createDataFrame(f, kind), offsets=(0, 100), thresholds=(15,)).collect()}
+    one, four = run(whole, [("t", 1.0, 43.0, cell, 40, 21)]), run(parts, frames)
+    assert one["RV_V"] == four["RV_V"] and one["RV_V"].source == "dem" and one["RV_V"].n_cells > 500
+    assert (four["RV_W"].source, four["RV_W"].error) == ("undetermined", "no cells")
