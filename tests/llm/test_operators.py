@@ -274,6 +274,36 @@ def test_toxicity_learns_from_words_of_one_text():
     assert got[0] > 0.7 > got[1]
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "toxic", toxicity.in_fold().alias("held")).filter("held").collect()
+    scores = model.scores([r.text for r in rows])
+    toxic = np.array([r.toxic == 1 for r in rows])
+    assert (scores[toxic] >= 0.7).sum() >= 15 and (scores[~toxic] >= 0.7).sum() <= 1
+    rng = random.Random(1)
+    random_words = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 10))) for _ in range(n)) for n in (1000, 20_000)]
+    clean = " ".join(r.text for r, s in zip(rows, scores, strict=True) if r.toxic == 0 and s < 0.3)
+    worst = rows[int(np.where(toxic, scores, 0).argmax())].text
+    got = model.scores([*random_words, clean, f"{clean} {worst} {clean}", worst])
+    assert len(set(toxicity.words_of(clean))) > 10_000 and (got[:3] < 0.3).all()
+    assert got[3] >= 0.7 and got[4] >= 0.7
+
+
+def test_toxicity_windows():
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(400)]
+    model = toxicity.Model(np.random.default_rng(0).normal(-4, 3, toxicity.BUCKETS), -1.0)
+    for n in (1, 127, 128, 129, 191, 192, 193, 700, 1500):
+        words = rng.choices(vocab, k=n)
+        starts = range(0, max(n - toxicity.WINDOW, 0) + toxicity.STRIDE, toxicity.STRIDE)
+        margin = {w: float(model.margins([w])[0]) for w in set(words)}
+        best = max(sum(math.exp(min(margin[w], 30)) for w in set(words[a : a + toxicity.WINDOW])) for a in starts)
+        got = model.scores([" ".join(words), " ".join(words)])
+        assert got[0] == got[1] == pytest.approx(1 / (1 + math.exp(1.0) / (1 + best)))
+
+
 def test_lm_scores(docs, nothing):
     texts = [(r.doc_id, lm_scores.words_of(r.text)) for r in docs.collect()]
     count = Counter(w for _, t in texts for w in t)
