@@ -20,20 +20,20 @@ def _square(v: Column, side: float) -> Column:
     return F.floor(v / F.lit(side)).cast("long")
 
 
-def _in_squares(lines: DataFrame, side: float) -> DataFrame:
-    """A row for each line and each square that it touches."""
-    west, east = F.least("x1", "x2") - EPS, F.greatest("x1", "x2") + EPS
+def in_squares(lines: DataFrame, side: float, eps: float = EPS) -> DataFrame:
+    """A row for each line (``x1``, ``y1``, ``x2``, ``y2``) and each square (``gx``, ``gy``) that it touches, widened by ``eps``."""
+    west, east = F.least("x1", "x2") - eps, F.greatest("x1", "x2") + eps
     cols = lines.withColumn("gx", F.explode(F.sequence(_square(west, side), _square(east, side))))
-    dx = F.when(F.abs(F.col("x2") - F.col("x1")) > EPS, F.col("x2") - F.col("x1"))
+    dx = F.when(F.abs(F.col("x2") - F.col("x1")) > eps, F.col("x2") - F.col("x1"))
 
     def share(x: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("x1")) / dx))
 
     # The part of the line that lies in this column of squares.
-    a, b = share(F.col("gx") * side - EPS), share((F.col("gx") + 1) * side + EPS)
+    a, b = share(F.col("gx") * side - eps), share((F.col("gx") + 1) * side + eps)
     y = [F.when(dx.isNotNull(), F.col("y1") + t * (F.col("y2") - F.col("y1"))).otherwise(F.col(end)) for t, end in ((a, "y1"), (b, "y2"))]
     cols = cols.withColumn("_ya", y[0]).withColumn("_yb", y[1])
-    south, north = F.least("_ya", "_yb") - EPS, F.greatest("_ya", "_yb") + EPS
+    south, north = F.least("_ya", "_yb") - eps, F.greatest("_ya", "_yb") + eps
     return cols.withColumn("gy", F.explode(F.sequence(_square(south, side), _square(north, side)))).drop("_ya", "_yb")
 
 
@@ -55,7 +55,7 @@ def nearest_lines(points: DataFrame, lines: DataFrame, side: float | None = None
         return _best(points.crossJoin(lines))
     w, h = x1 - x0, y1 - y0
     side = side or max(SIDE * (w * h / n) ** 0.5, max(w, h) / MOST, 1.0)
-    squares = written(_in_squares(lines, side))
+    squares = written(in_squares(lines, side))
     open_, out = written(points.withColumn("_gx", _square(F.col("px"), side)).withColumn("_gy", _square(F.col("py"), side))), None
     for ring in RINGS:
         around = F.sequence(F.lit(-ring), F.lit(ring))
