@@ -13,8 +13,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from rillway import flows
-from rillway.operators import courses
+from rillway.operators import courses, delineate, watershed
+from rillway.plans.tables import written
 from rillway.sources import config, geojson, wfs
+from rillway.streaming import jobs
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +40,10 @@ def _features(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _trace(spark: SparkSession, a: argparse.Namespace) -> None:
-    show(flows.trace(read_segments(spark, a.segments), a.node, a.skip_fictitious, a.least_order))
+    if (a.node is None) == (a.at is None):
+        raise ValueError("give either a node or a place")
+    at = tuple(float(x) for x in a.at.split(",")) if a.at else None
+    show(flows.trace(read_segments(spark, a.segments), a.node, a.skip_fictitious, a.least_order, a.collapse, at))
 
 
 def _cuts(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -48,7 +53,34 @@ def _cuts(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def _catalog(spark: SparkSession, a: argparse.Namespace) -> None:
-    show(flows.catalog(read_segments(spark, a.segments), a.river, a.folder, **_cuts(spark, a)))
+    given = _cuts(spark, a)
+    if a.basins:
+        given["basins"] = written(geojson.basins(spark, a.basins))
+    if a.catchments:
+        given["catchments"] = jobs.done(spark, a.catchments, delineate.RESULT)
+    if a.overrides:
+        given["cameras"] = config.overrides(spark, a.overrides).filter("camera is not null").select("river_id", "camera")
+    show(flows.catalog(read_segments(spark, a.segments), a.river, a.folder, geo=a.geo, **given))
+
+
+def _terrain(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
+    """A terrain folder's cells and frames."""
+    return spark.read.parquet(f"{a.terrain}/cells.parquet"), spark.read.parquet(f"{a.terrain}/frames.parquet")
+
+
+def _delineate(spark: SparkSession, a: argparse.Namespace) -> None:
+    show(flows.delineate(read_segments(spark, a.segments), *_terrain(spark, a), [a.river]))
+
+
+def _precompute(spark: SparkSession, a: argparse.Namespace) -> None:
+    basins = written(geojson.basins(spark, a.basins)) if a.basins else None
+    print(json.dumps(flows.precompute(read_segments(spark, a.segments), *_terrain(spark, a), a.river, a.out, basins, a.area_min, a.area_max)))
+
+
+def _draw(spark: SparkSession, a: argparse.Namespace) -> None:
+    counts, failed = flows.terrain(read_segments(spark, a.segments), *_terrain(spark, a), jobs.done(spark, a.catchments, delineate.RESULT), a.out, a.exaggeration)
+    print(json.dumps(counts))
+    show(failed)
 
 
 def _forest(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -99,13 +131,27 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--most", type=int, default=20, help="how many; 0 for all")
     p = command("features", _features, "write a river as GeoJSON", "segments", "river", "out")
     p.add_argument("--catchment", action="store_true", help="with all that flows into it")
-    p = command("trace", _trace, "the tree of segments above a node", "segments", "node")
+    p = command("trace", _trace, "the tree of segments above a node or a place", "segments")
+    p.add_argument("node", nargs="?")
+    p.add_argument("--at", help="longitude,latitude: begin above the nearest segment")
+    p.add_argument("--collapse", action="store_true", help="fold only children of their parent's name into it")
     p.add_argument("--skip-fictitious", action="store_true")
     p.add_argument("--least-order", type=int)
     for p in (command("catalog", _catalog, "a river's catalog", "segments", "river"), command("forest", _forest, "the catalogs of a study area's roots", "segments", "area")):
         p.add_argument("--folder", help="where to write the catalog and its page")
         p.add_argument("--overrides", help="YAML file of rivers to leave out")
         p.add_argument("--max-depth", type=int)
+        if p.prog.endswith("catalog"):
+            p.add_argument("--geo", action="store_true", help="with lines, mouths and catchments")
+            p.add_argument("--basins", help="GeoJSON of sub-basins")
+            p.add_argument("--catchments", help="what precompute has written")
+    p = command("delineate", _delineate, "a river's catchment from terrain", "segments", "terrain", "river")
+    p = command("precompute", _precompute, "catchments from terrain of a river and all above it", "segments", "terrain", "river", "out")
+    p.add_argument("--basins", help="GeoJSON of sub-basins; rivers that have any are skipped")
+    p.add_argument("--area-min", type=float, default=watershed.AREA_MIN)
+    p.add_argument("--area-max", type=float, default=watershed.AREA_MAX)
+    p = command("terrain", _draw, "the drawn terrain of each catchment, a file a river", "segments", "terrain", "catchments", "out")
+    p.add_argument("--exaggeration", type=float, default=1.0)
     p = command("layers", _layers, "list a service's feature types", "url", spark=False)
     p.add_argument("--keyword")
     p.add_argument("--watersheds", action="store_true")

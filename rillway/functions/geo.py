@@ -42,6 +42,11 @@ def line_length(line: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda t, p: t + F.hypot(p["a"]["x"] - p["b"]["x"], p["a"]["y"] - p["b"]["y"]))
 
 
+def numbered_points(lines: Column) -> Column:
+    """All points of an array of lines in one array, each with its line's number, as ``kernels.parts`` takes them: lines of unequal lengths don't pass to a task as nested arrays."""
+    return F.flatten(F.transform(lines, lambda line, k: F.transform(line, lambda p: F.struct(k.alias("k"), p["lon"].alias("lon"), p["lat"].alias("lat")))))
+
+
 def ring_area_km2(ring: Column) -> Column:
     """Planar area of a closed ring of structs with ``lon`` and ``lat``."""
     def xy(p: Column) -> Column:

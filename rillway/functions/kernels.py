@@ -86,6 +86,14 @@ def simplify_to(points: np.ndarray, most: int, tolerance: float = 1e-4, grow: fl
     return out
 
 
+def parts(points: object) -> list[np.ndarray]:
+    """The lines of ``geo.numbered_points`` as arrays of (lon, lat)."""
+    if points is None or not len(points):
+        return []
+    rows = np.array([(p["k"], p["lon"], p["lat"]) for p in points], dtype=float)
+    return [line[:, 1:] for line in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)]
+
+
 def merge_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
     """Lines joined wherever exactly two ends meet."""
     rest = {k: [tuple(p) for p in line] for k, line in enumerate(lines)}

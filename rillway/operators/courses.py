@@ -178,11 +178,12 @@ def inside_share(lines: DataFrame, rings: DataFrame) -> DataFrame:
         for rows in batches:
             inner = []
             for line, found in zip(rows["line"], rows["rings"], strict=True):
-                inner.append(sum(kernels.length_inside(xy(line), xy(r)) for r in found) if found is not None else 0.0)
+                inner.append(sum(kernels.length_inside(xy(line), r) for r in kernels.parts(found)))
             long_ = [float(np.hypot(*np.diff(xy(line), axis=0).T).sum()) for line in rows["line"]]
             yield pd.DataFrame({"river_id": rows["river_id"], "long": long_, "inner": inner})
 
-    each = lines.join(rings, "river_id").mapInPandas(run, "river_id string, long double, inner double")
+    flat = rings.withColumn("rings", geo.numbered_points(F.col("rings")))
+    each = lines.join(flat, "river_id").mapInPandas(run, "river_id string, long double, inner double")
     return each.groupBy("river_id").agg(F.when(F.sum("long") > 0, F.sum("inner") / F.sum("long")).otherwise(0.0).alias("frac"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillway.functions.geo import numbered_points
 from rillway.operators.mosaic import met, mosaic
 from rillway.operators.watershed import too_narrow
 
@@ -22,12 +23,6 @@ WARN_BELOW = 0.9
 MARGIN_CELLS = 8
 
 
-def _xy(points):
-    import numpy as np
-
-    return np.array([(p["lon"], p["lat"]) for p in points], dtype=float)
-
-
 def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: DataFrame, boxes: DataFrame, accept: float = 0.9) -> DataFrame:
     """The best catchment of each river of ``boxes`` (``RESULT``): ``source`` is ``dem``, or ``undetermined`` where no pour point is accepted.
 
@@ -41,7 +36,7 @@ def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: Data
     wide = thin.filter("not _narrow").withColumnRenamed("river_id", "key")
     own = mosaic(wide, cells, frames).withColumnRenamed("key", "of")
     # A river's course, its pour points and its cell's size join as one row, of its own lines only.
-    course = lines.groupBy("river_id").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
+    course = lines.groupBy("river_id").agg(numbered_points(F.sort_array(F.collect_list("line"))).alias("_lines"))
     points = tries.groupBy("river_id").agg(F.sort_array(F.collect_list(F.struct("seq", "offset_m", "threshold", "lon", "lat"))).alias("_tries"))
     size = frames.agg(F.min("cell").alias("cell"))
     asked = thin.join(points, "river_id", "left").join(course, "river_id", "left").join(F.broadcast(size)).select("river_id", "_narrow", "cell", "_tries", "_lines")
@@ -62,7 +57,7 @@ def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: Data
             else:
                 grid, r0, c0 = kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part.z.to_numpy())
                 tile = delineation.condition(grid)
-                lines = [_xy(line) for line in f["_lines"]] if f["_lines"] is not None else []
+                lines = kernels.parts(f["_lines"])
                 tried = [(p["offset_m"], p["threshold"], p["lon"], p["lat"]) for p in f["_tries"]] if f["_tries"] is not None else []
                 found = delineation.search(tile, tried, lines, c0 * f["cell"], -r0 * f["cell"], f["cell"], accept)
                 if found is None:
@@ -100,9 +95,9 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
     else:
         tile = cells.filter("z is not null and not isnan(z)").groupBy("tile").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
         ends = met(near, frames).join(tile, "tile").groupBy(F.col("key").alias("river_id")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    course = streams.groupBy("river_id").agg(F.sort_array(F.collect_list("line")).alias("_lines"))
+    course = streams.groupBy("river_id").agg(numbered_points(F.sort_array(F.collect_list("line"))).alias("_lines"))
     # Under another name, as the cells' side comes from the same rivers.
-    facts = drawn.join(course, "river_id", "left").join(ends, "river_id", "left").select(F.col("river_id").alias("of"), "rings", "_lines", "cell", "lo", "hi")
+    facts = drawn.join(course, "river_id", "left").join(ends, "river_id", "left").select(F.col("river_id").alias("of"), numbered_points(F.col("rings")).alias("rings"), "_lines", "cell", "lo", "hi")
 
     def run(part: pd.DataFrame, fact: pd.DataFrame) -> pd.DataFrame:
         from rillway.functions import kernels, terrain
@@ -114,8 +109,7 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
             if part.empty:
                 raise ValueError("no cells")
             grid, r0, c0 = kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part.z.to_numpy())
-            lines = [_xy(line) for line in f["_lines"]] if f["_lines"] is not None else []
-            made = terrain.payload(grid, [_xy(r) for r in f["rings"]], lines, c0 * f["cell"], -r0 * f["cell"], f["cell"], (f["lo"], f["hi"]), exaggeration)
+            made = terrain.payload(grid, kernels.parts(f["rings"]), kernels.parts(f["_lines"]), c0 * f["cell"], -r0 * f["cell"], f["cell"], (f["lo"], f["hi"]), exaggeration)
             return pd.DataFrame({"river_id": [f["of"]], "payload": [json.dumps(made)], "error": [None]})
         except Exception as e:
             return pd.DataFrame({"river_id": [f["of"]], "payload": [None], "error": [f"{type(e).__name__}: {e}"]})

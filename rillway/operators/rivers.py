@@ -274,3 +274,26 @@ def resolve(rivers: DataFrame, text: str) -> DataFrame:
 def summary(rivers: DataFrame) -> DataFrame:
     """The listing of rivers, longest first."""
     return rivers.select("river_id", "name", F.round(F.col("length_m") / 1000, 2).cast("double").alias("length_km"), "strahler", F.col("n_segments").cast("long").alias("n_segments"), "parent_id", F.col("n_upstream").cast("long").alias("n_upstream")).orderBy(F.desc("length_km"), "river_id")
+
+
+def listed(rivers: DataFrame, named: bool = False, roots: bool = False, least_km: float = 0, most: int = 0) -> DataFrame:
+    """The listing's filters: named ones, roots, rounded length, and the first ``most`` (0: all), longest first."""
+    r = rivers.withColumn("length_km", F.round(F.col("length_m") / 1000, 2).cast("double"))
+    for wanted, test in ((named, F.col("name").isNotNull()), (roots, F.col("parent_id").isNull()), (bool(least_km), F.col("length_km") >= least_km)):
+        r = r.filter(test) if wanted else r
+    r = r.orderBy(F.desc("length_m"), "river_id")
+    return r.limit(most) if most else r
+
+
+def header(network: Network) -> DataFrame:
+    """One row: how many rivers, named ones, roots, leaves and links there are."""
+    kids = network.rivers.filter("parent_id is not null").select(F.col("parent_id").alias("river_id")).distinct().withColumn("_k", F.lit(1))
+    r = network.rivers.join(kids, "river_id", "left")
+    counts = r.agg(F.count(F.lit(1)).alias("rivers"), F.count("name").alias("named"), F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("_k").isNull()).alias("leaves"))
+    return counts.crossJoin(network.flows.agg(F.count(F.lit(1)).alias("links")))
+
+
+def child_order(rivers: DataFrame) -> DataFrame:
+    """Each river's place among its parent's children, the longest first."""
+    by_length = Window.partitionBy("parent_id").orderBy(F.desc("length_m"), "river_id")
+    return rivers.filter("parent_id is not null").select("parent_id", "river_id", F.row_number().over(by_length).cast("long").alias("place"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rillway.functions import drawing
 from rillway.operators import courses as K
 from rillway.operators import delineate as D
+from rillway.operators import rivers as R
 from rillway.operators import raster, tiled, watershed
 from rillway.plans.catalog_queries import TREE_SQL, _parts, _tree
 from rillway.plans.river_queries import RIVER_SQL, _with_counts, network
@@ -48,23 +49,11 @@ def q_candidates(spark, sf):
 
 
 def q_header(spark, sf):
-    net = network(spark, sf)
-    kids = net.rivers.filter("parent_id is not null").select(F.col("parent_id").alias("river_id")).distinct().withColumn("_k", F.lit(1))
-    r = net.rivers.join(kids, "river_id", "left").agg(F.count(F.lit(1)).alias("rivers"), F.count("name").alias("named"), F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("_k").isNull()).alias("leaves"))
-    return r.crossJoin(net.flows.agg(F.count(F.lit(1)).alias("links")))
-
-
-def listed(rivers, named: bool = False, roots: bool = False, least_km: float = 0, most: int = 0):
-    """The listing's filters: named ones, roots, rounded length, and the first ``most`` (0: all), longest first."""
-    r = rivers.withColumn("length_km", F.round(F.col("length_m") / 1000, 2).cast("double"))
-    for wanted, test in ((named, F.col("name").isNotNull()), (roots, F.col("parent_id").isNull()), (bool(least_km), F.col("length_km") >= least_km)):
-        r = r.filter(test) if wanted else r
-    r = r.orderBy(F.desc("length_m"), "river_id")
-    return r.limit(most) if most else r
+    return R.header(network(spark, sf))
 
 
 def q_list(spark, sf):
-    return listed(network(spark, sf).rivers, named=True, roots=True, least_km=200).select("river_id", "length_km")
+    return R.listed(network(spark, sf).rivers, named=True, roots=True, least_km=200).select("river_id", "length_km")
 
 
 def q_identified(spark, sf):
@@ -72,10 +61,7 @@ def q_identified(spark, sf):
 
 
 def q_child_order(spark, sf):
-    from pyspark.sql import Window
-
-    by_length = Window.partitionBy("parent_id").orderBy(F.desc("length_m"), "river_id")
-    return network(spark, sf).rivers.filter("parent_id is not null").select("parent_id", "river_id", F.row_number().over(by_length).cast("long").alias("place"))
+    return R.child_order(network(spark, sf).rivers)
 
 
 def q_walk(spark, sf):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 def nested(tree: DataFrame) -> dict:
     """The tree of ``catalog.nodes`` as nested dicts; a catalog is small enough for one document."""
-    rows = [r.asDict() for r in tree.toLocalIterator()]
+    rows = [r.asDict(recursive=True) for r in tree.toLocalIterator()]
     kids: dict = {}
     for r in rows:
         kids.setdefault(r["parent_id"], []).append(r)
@@ -30,6 +30,21 @@ def nested(tree: DataFrame) -> dict:
     return {"meta": {"root_id": root["river_id"], "root_name": root["name"], "n_nodes": len(rows)}, "tree": made[root["river_id"]]}
 
 
+def geo(block: DataFrame) -> dict:
+    """The geo block of ``courses.geo_block`` as the catalog's: its box, and each river's lines, mouth, catchment and camera."""
+    xy = lambda points: [[p["lon"], p["lat"]] for p in points]
+    rivers, box = {}, None
+    for r in block.toLocalIterator():
+        row = r.asDict(recursive=True)
+        one = {"line": [xy(part) for part in row["lines"]], "outlet": xy([row["outlet"]])[0], "catchment": None if row["catchment"] is None else [xy(ring) for ring in row["catchment"]]}
+        if row.get("camera"):
+            one["camera"] = json.loads(row["camera"]) if isinstance(row["camera"], str) else row["camera"]
+        rivers[row["river_id"]] = one
+        sides = [row[k] for k in ("west", "south", "east", "north")]
+        box = sides if box is None else [min(box[0], sides[0]), min(box[1], sides[1]), max(box[2], sides[2]), max(box[3], sides[3])]
+    return {"bbox": box, "rivers": dict(sorted(rivers.items()))}
+
+
 def dump(obj: object, path: str) -> None:
     Path(path).write_text(json.dumps(obj, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
 

@@ -19,6 +19,23 @@ def read_lines(spark: SparkSession, path: str, properties: str = SEGMENT_PROPERT
     return each.select("f.properties.*", line.alias("line"))
 
 
+def basins(spark: SparkSession, path: str, key: str = "liens_vers_cours_d_eau_principal") -> DataFrame:
+    """Polygons and multipolygons of a collection, or one feature a line: ``basin`` (a number), ``river_id`` (null if blank), ``rings``.
+
+    Rings may cross themselves and one another; ``overlay`` repairs them.
+    """
+    kind = "struct<type:string, properties:map<string,string>, geometry:struct<type:string, coordinates:string>>"
+    raw = spark.read.schema(f"type string, features array<{kind}>, properties map<string,string>, geometry struct<type:string, coordinates:string>").json(path, multiLine=True)
+    each = raw.select(F.explode(F.coalesce("features", F.array(F.struct("type", "properties", "geometry")))).alias("f")).filter("f.geometry is not null")
+    # Parts of a multipolygon nest one deeper.
+    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
+    found = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    rings = F.transform(found, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    river = F.trim(F.col("f.properties").getItem(key))
+    return each.select(F.monotonically_increasing_id().alias("basin"), F.when(river != "", river).alias("river_id"), rings.alias("rings")).filter("rings is not null")
+
+
 def _nested(schema: str) -> str:
     kind, rest = schema.split(", ", 1)
     properties, geometry = rest.split(">, geometry ", 1)
