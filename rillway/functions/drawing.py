@@ -18,6 +18,8 @@ MAP_WIDTH, MAP_STEP, MAP_LEAST = 1.1, 0.7, 2.2
 BOOST = {"selected": 1.7, "preview": 1.5, "upstream": 1.25}
 #: Fixed value: the radius of the Web Mercator sphere.
 RADIUS = 6378137.0
+#: Fixed value: how far outside its box, in shares of it, a draped line is kept.
+MARGIN = 0.05
 
 
 def local_xz(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> tuple[Column, Column]:
@@ -105,3 +107,14 @@ def inside(lon: Column, lat: Column, ring: Column) -> Column:
         return ((a["lat"] > lat) != (b["lat"] > lat)) & (a["lon"] + (lat - a["lat"]) / (b["lat"] - a["lat"]) * (b["lon"] - a["lon"]) > lon)
 
     return F.size(F.filter(edges, east)) % 2 == 1
+
+
+def draped(line: Column, west: Column, south: Column, east: Column, north: Column, cell: float) -> Column:
+    """A line's points, a cell or less apart, as structs (``u``, ``v``): shares of a box from its south-west corner; those far outside go."""
+    n = lambda a, b: F.greatest(F.lit(1), F.floor(F.hypot(b["lon"] - a["lon"], b["lat"] - a["lat"]) / cell + 1e-9).cast("int"))
+    pairs = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    share = lambda x, y: F.struct(F.round((x - west) / (east - west), 5).alias("u"), F.round((y - south) / (north - south), 5).alias("v"))
+    between = lambda e, k: share(e["a"]["lon"] + (e["b"]["lon"] - e["a"]["lon"]) * k / n(e["a"], e["b"]), e["a"]["lat"] + (e["b"]["lat"] - e["a"]["lat"]) * k / n(e["a"], e["b"]))
+    dense = F.flatten(F.transform(pairs, lambda e: F.transform(F.sequence(F.lit(1), n(e["a"], e["b"])), lambda k: between(e, k))))
+    whole = F.concat(F.array(share(F.get(line, F.lit(0))["lon"], F.get(line, F.lit(0))["lat"])), dense)
+    return F.filter(whole, lambda p: p["u"].between(-MARGIN, 1 + MARGIN) & p["v"].between(-MARGIN, 1 + MARGIN))

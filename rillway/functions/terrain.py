@@ -84,7 +84,7 @@ def draped(lines: list[np.ndarray], meta: dict) -> list[list[list[float]]]:
     for line in lines:
         dense = [line[:1]]
         for p, q in zip(line[:-1], line[1:], strict=True):
-            n = max(1, int(np.hypot(*(q - p)) / meta["cell_deg"]))
+            n = max(1, int(np.hypot(*(q - p)) / meta["cell_deg"] + 1e-9))
             dense.append(p + (q - p) * (np.arange(1, n + 1) / n)[:, None])
         at = np.concatenate(dense)
         u, v = (at[:, 0] - b["west"]) / (b["east"] - b["west"]), (at[:, 1] - b["south"]) / (b["north"] - b["south"])

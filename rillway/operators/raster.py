@@ -111,6 +111,34 @@ def largest_component(cells: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(sizes), "label").select("r", "c")
 
 
+def mask_edges(mask: DataFrame) -> DataFrame:
+    """Sides of cells (``x1``, ``y1``, ``x2``, ``y2``, in columns and rows) where a mask (``r``, ``c``) ends: those of one cell only."""
+    side = lambda x1, y1, x2, y2: F.struct((F.col("c") + x1).alias("x1"), (F.col("r") + y1).alias("y1"), (F.col("c") + x2).alias("x2"), (F.col("r") + y2).alias("y2"))
+    each = mask.select(F.explode(F.array(side(0, 0, 1, 0), side(0, 1, 1, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))).alias("e")).select("e.*")
+    return each.groupBy("x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+
+
+def dilated(mask: DataFrame, cells: DataFrame, radius: int) -> DataFrame:
+    """The cells (``r``, ``c``) that lie within ``radius`` cells of a mask's."""
+    near = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+    wide = mask.select(F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in near])).alias("p")).select("p.*").distinct()
+    return wide.join(cells.select("r", "c"), ["r", "c"], "left_semi")
+
+
+def sampled(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (with ``pr``, ``pc`` in rows and columns) with ``height`` between the four cells around each, if these are there; places beyond the terrain's box take its edge."""
+    box = cells.agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
+    at = places.join(F.broadcast(box)).withColumns({"_y": F.greatest("_r0", F.least("pr", "_r1")), "_x": F.greatest("_c0", F.least("pc", "_c1"))})
+    # A place on the last row or column takes the cells before it.
+    at = at.withColumns({"_r": F.least(F.floor("_y"), F.col("_r1") - 1).cast("int"), "_c": F.least(F.floor("_x"), F.col("_c1") - 1).cast("int")}).drop("_r0", "_r1", "_c0", "_c1")
+    corner = lambda dr, dc, name: cells.select((F.col("r") - dr).alias("_r"), (F.col("c") - dc).alias("_c"), F.col("z").alias(name))
+    for dr, dc, name in ((0, 0, "_za"), (0, 1, "_zb"), (1, 0, "_zc"), (1, 1, "_zd")):
+        at = at.join(corner(dr, dc, name), ["_r", "_c"])
+    u, v = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
+    mixed = (F.col("_za") * (1 - v) + F.col("_zb") * v) * (1 - u) + (F.col("_zc") * (1 - v) + F.col("_zd") * v) * u
+    return at.select(*places.columns, mixed.alias("height"))
+
+
 def quantised(cells: DataFrame) -> DataFrame:
     """Heights as 16 bits over their range, in a low and a high byte."""
     ends = cells.agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))

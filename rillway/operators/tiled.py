@@ -262,5 +262,5 @@ def condition(cells: DataFrame) -> DataFrame:
 def statistics(conditioned: DataFrame, raised_m: float = 0.5, much: float = 0.05) -> DataFrame:
     """One row a tile: cells, range of heights, the share raised by more than ``raised_m``, and whether that deserves a warning."""
     share = F.avg(F.when(F.col("filled") - F.col("z") > raised_m, 1.0).otherwise(0.0))
-    each = conditioned.groupBy("tile").agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), share.alias("raised"), F.max("acc").alias("most_acc"))
+    each = conditioned.groupBy("tile").agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), share.alias("raised"), *([F.max("acc").alias("most_acc")] if "acc" in conditioned.columns else []))
     return each.withColumn("much_raised", F.col("raised") > much)

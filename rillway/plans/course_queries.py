@@ -146,33 +146,29 @@ def q_geo_block(spark, sf):
     return b.select("river_id", *[F.round(c, 5).alias(c) for c in ("west", "south", "east", "north")])
 
 
+def _mask(spark, sf):
+    return _cells(spark, sf).filter("z % 4 = 1").select("r", "c")
+
+
 def q_mask_edges(spark, sf):
-    mask = _cells(spark, sf).filter("z % 4 = 1").select("r", "c")
-    side = lambda x1, y1, x2, y2: F.struct((F.col("c") + x1).alias("x1"), (F.col("r") + y1).alias("y1"), (F.col("c") + x2).alias("x2"), (F.col("r") + y2).alias("y2"))
-    each = mask.select(F.explode(F.array(side(0, 0, 1, 0), side(0, 1, 1, 1), side(0, 0, 0, 1), side(1, 0, 1, 1))).alias("e")).select("e.*")
-    return each.groupBy("x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    return raster.mask_edges(_mask(spark, sf))
 
 
 def q_dilate(spark, sf):
-    mask = _cells(spark, sf).filter("z % 4 = 1 and c < 20").select("r", "c")
-    near = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]
-    wide = mask.select(F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in near])).alias("p")).select("p.*").distinct()
-    return wide.join(_cells(spark, sf).select("r", "c"), ["r", "c"], "left_semi")
+    return raster.dilated(_mask(spark, sf), _cells(spark, sf), 2)
 
 
 def q_fill_stats(spark, sf):
     cells = _cells(spark, sf)
-    raised = raster.fill_pits(cells).withColumnRenamed("z", "filled").join(cells, ["r", "c"])
-    return raised.agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.round(F.avg(F.when(F.col("filled") - F.col("z") > 0.5, 1.0).otherwise(0.0)), 6).alias("raised"))
+    raised = raster.fill_pits(cells).withColumnRenamed("z", "filled").join(cells, ["r", "c"]).withColumn("tile", F.lit("t"))
+    return tiled.statistics(raised).select("n_cells", "z_min", "z_max", F.round("raised", 6).alias("raised"))
 
 
 def q_bilinear(spark, sf):
     """Heights at places between cells, from the four around each."""
     cells = _cells(spark, sf)
-    corner = lambda dr, dc, name: cells.select((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.col("z").alias(name))
-    q = cells.join(corner(0, 1, "zb"), ["r", "c"]).join(corner(1, 0, "zc"), ["r", "c"]).join(corner(1, 1, "zd"), ["r", "c"])
-    u, v = (F.col("r") % 4) / 4, (F.col("c") % 3) / 3
-    return q.select("r", "c", F.round((F.col("z") * (1 - v) + F.col("zb") * v) * (1 - u) + (F.col("zc") * (1 - v) + F.col("zd") * v) * u, 6).alias("height"))
+    places = cells.select("r", "c", (F.col("r") + (F.col("r") % 4) / 4).alias("pr"), (F.col("c") + (F.col("c") % 3) / 3).alias("pc"))
+    return raster.sampled(cells, places).select("r", "c", F.round("height", 6).alias("height"))
 
 
 def q_condition_stats(spark, sf):
@@ -270,9 +266,9 @@ QUERIES = {
     "river_lines": (q_river_lines, None),
     "geo_block": (q_geo_block, None),
     "mask_edges": (q_mask_edges, f"WITH m AS ({_MASK}), e AS (SELECT c AS x1, r AS y1, c + 1 AS x2, r AS y2 FROM m UNION ALL SELECT c, r + 1, c + 1, r + 1 FROM m UNION ALL SELECT c, r, c, r + 1 FROM m UNION ALL SELECT c + 1, r, c + 1, r + 1 FROM m) SELECT x1, y1, x2, y2 FROM e GROUP BY ALL HAVING count(*) = 1"),
-    "mask_dilate": (q_dilate, f"WITH cell AS ({CELL}), m AS (SELECT r, c FROM cell WHERE z % 4 = 1 AND c < 20) SELECT r, c FROM cell a WHERE EXISTS (SELECT 1 FROM m WHERE pow(m.r - a.r, 2) + pow(m.c - a.c, 2) <= 4)"),
+    "mask_dilate": (q_dilate, f"WITH cell AS ({CELL}), m AS (SELECT r, c FROM cell WHERE z % 4 = 1) SELECT r, c FROM cell a WHERE EXISTS (SELECT 1 FROM m WHERE pow(m.r - a.r, 2) + pow(m.c - a.c, 2) <= 4)"),
     "fill_stats": (q_fill_stats, f"WITH cell AS ({CELL}), low AS (SELECT a.r, a.c, min(b.z) AS m, count(*) AS n FROM cell a JOIN cell b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c) SELECT count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN n = 8 AND m - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised FROM cell LEFT JOIN low USING (r, c)"),
-    "bilinear_sample": (q_bilinear, f"WITH cell AS ({CELL}) SELECT a.r, a.c, round((a.z * (1 - a.c % 3 / 3.0::DOUBLE) + b.z * (a.c % 3 / 3.0::DOUBLE)) * (1 - a.r % 4 / 4.0::DOUBLE) + (d.z * (1 - a.c % 3 / 3.0::DOUBLE) + e.z * (a.c % 3 / 3.0::DOUBLE)) * (a.r % 4 / 4.0::DOUBLE), 6) AS height FROM cell a JOIN cell b ON b.r = a.r AND b.c = a.c + 1 JOIN cell d ON d.r = a.r + 1 AND d.c = a.c JOIN cell e ON e.r = a.r + 1 AND e.c = a.c + 1"),
+    "bilinear_sample": (q_bilinear, f"WITH cell AS ({CELL}), box AS (SELECT max(r) AS r1, max(c) AS c1 FROM cell), q AS (SELECT r, c, least(r + r % 4 / 4.0::DOUBLE, r1) AS y, least(c + c % 3 / 3.0::DOUBLE, c1) AS x, r1, c1 FROM cell, box), b AS (SELECT *, least(floor(y), r1 - 1) AS i, least(floor(x), c1 - 1) AS j FROM q) SELECT b.r, b.c, round((k.z * (1 - (x - j)) + l.z * (x - j)) * (1 - (y - i)) + (m.z * (1 - (x - j)) + n.z * (x - j)) * (y - i), 6) AS height FROM b JOIN cell k ON k.r = i AND k.c = j JOIN cell l ON l.r = i AND l.c = j + 1 JOIN cell m ON m.r = i + 1 AND m.c = j JOIN cell n ON n.r = i + 1 AND n.c = j + 1"),
     "condition_stats": (q_condition_stats, f"{FLOOD} SELECT tile, count(*) AS n_cells, min(z) AS z_min, max(z) AS z_max, round(avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS raised, max(acc) AS most_acc, avg(CASE WHEN filled - z > 0.5 THEN 1.0::DOUBLE ELSE 0 END) > 0.05 AS much_raised FROM done GROUP BY tile"),
     "shaded_relief": (q_shaded, None),
     "local_xz": (q_local, f"SELECT k, round({_EX}, 3) AS x, round({_EZ}, 3) AS z FROM ({_L})"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rillway.functions import geo
+from rillway.functions import drawing, geo
 from rillway.operators import nearest, raster, relief, tiled, watershed
 
 from rillway.plans.river_queries import RIVER_SQL, _closed, network
@@ -243,13 +243,10 @@ def q_slug(spark, sf):
 
 
 def q_uv(spark, sf):
-    v = view(spark, sf, LINE).select("k", *[F.col(c).cast("double").alias(c) for c in ("lon1", "lat1", "lon2", "lat2")])
-    span = F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1")))
-    n = F.greatest(F.lit(1), F.floor(F.round(span / 0.05, 6))).cast("int")
-    p = v.withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
-    u = (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * F.col("i") / F.col("n") + 1.7) / 4.8
-    w = (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * F.col("i") / F.col("n") - 42.0) / 1.15
-    return p.select("k", F.col("i").cast("long").alias("i"), F.round(u + 1e-8, 5).alias("u"), F.round(w + 1e-8, 5).alias("v")).filter("u between -0.05 and 1.05 and v between -0.05 and 1.05")
+    """The lines draped over their box, a twentieth of a degree apart; all moved by a little, so that nothing lies half-way between two roundings."""
+    lines = _points(view(spark, sf, LINE), ("lon1", "lat1"), ("lon2", "lat2"))
+    box = [F.lit(v) for v in (-1.7 - 4.8e-8, 42.0 - 1.15e-8, 3.1 - 4.8e-8, 43.15 - 1.15e-8)]
+    return lines.select("k", F.explode(drawing.draped(F.col("line"), *box, 0.05)).alias("p")).select("k", "p.u", "p.v")
 
 
 _NB = "nb AS (SELECT a.r, a.c, a.z, b.z AS nz, d.d, d.dr, d.dc FROM cell a CROSS JOIN (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1),(4,0,-1),(5,-1,-1),(6,-1,0),(7,-1,1)) d(d,dr,dc) JOIN cell b ON b.r = a.r + d.dr AND b.c = a.c + d.dc)"
@@ -300,7 +297,7 @@ QUERIES = {
     "zoom_pick": (q_zoom, f"SELECT k, coalesce(max(z) FILTER (({ZX1} - {ZX0} + 1) * ({ZY1} - {ZY0} + 1) <= 64 AND (greatest({ZX1} - {ZX0} + 1, {ZY1} - {ZY0} + 1) * 256 >= 1024 OR z <= 6)), 6) AS zoom FROM (SELECT k, CAST(lon1 AS DOUBLE) AS lon, CAST(lat1 AS DOUBLE) AS lat, 0.001::DOUBLE + (k % 100) * 0.02::DOUBLE AS w FROM ({LINE})), range(5, 17) t(z) GROUP BY k"),
     "catchment_bbox": (q_bbox_pad, f"SELECT k, round(w - ww * CASE WHEN lon > (w + e) / 2 THEN 0.25 ELSE 0.15 END + 1e-8::DOUBLE, 5) + 0.0 AS w, round(s - hh * CASE WHEN lat > (s + n) / 2 THEN 0.25 ELSE 0.15 END + 1e-8::DOUBLE, 5) + 0.0 AS s, round(e + ww * CASE WHEN lon <= (w + e) / 2 THEN 0.25 ELSE 0.15 END + 1e-8::DOUBLE, 5) + 0.0 AS e, round(n + hh * CASE WHEN lat <= (s + n) / 2 THEN 0.25 ELSE 0.15 END + 1e-8::DOUBLE, 5) + 0.0 AS n FROM (SELECT *, greatest(e - w, 1e-4::DOUBLE) AS ww, greatest(n - s, 1e-4::DOUBLE) AS hh FROM (SELECT k, CAST(lon1 AS DOUBLE) AS lon, CAST(lat1 AS DOUBLE) AS lat, CAST(least(lon1, lon2) AS DOUBLE) AS w, CAST(least(lat1, lat2) AS DOUBLE) AS s, CAST(greatest(lon1, lon2) AS DOUBLE) AS e, CAST(greatest(lat1, lat2) AS DOUBLE) AS n FROM ({LINE})))"),
     "nearest_segment": (q_nearest, _SEGD),
-    "stream_uv": (q_uv, f"SELECT k, i, round((lon1 + (lon2 - lon1) * i / n + 1.7) / 4.8 + 1e-8::DOUBLE, 5) AS u, round((lat1 + (lat2 - lat1) * i / n - 42.0) / 1.15 + 1e-8::DOUBLE, 5) AS v FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT k, CAST(lon1 AS DOUBLE) AS lon1, CAST(lat1 AS DOUBLE) AS lat1, CAST(lon2 AS DOUBLE) AS lon2, CAST(lat2 AS DOUBLE) AS lat2, CAST(greatest(1, floor(round(greatest(abs(lon2 - lon1), abs(lat2 - lat1))::DOUBLE / 0.05, 6))) AS BIGINT) AS n FROM ({LINE}))) WHERE u BETWEEN -0.05 AND 1.05 AND v BETWEEN -0.05 AND 1.05"),
+    "stream_uv": (q_uv, f"SELECT k, round((lon1 + (lon2 - lon1) * i / n + 1.7) / 4.8 + 1e-8::DOUBLE, 5) AS u, round((lat1 + (lat2 - lat1) * i / n - 42.0) / 1.15 + 1e-8::DOUBLE, 5) AS v FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT k, CAST(lon1 AS DOUBLE) AS lon1, CAST(lat1 AS DOUBLE) AS lat1, CAST(lon2 AS DOUBLE) AS lon2, CAST(lat2 AS DOUBLE) AS lat2, CAST(greatest(1, floor(sqrt(pow(lon2 - lon1, 2) + pow(lat2 - lat1, 2)) / 0.05::DOUBLE + 1e-9::DOUBLE)) AS BIGINT) AS n FROM ({LINE}))) WHERE u BETWEEN -0.05 AND 1.05 AND v BETWEEN -0.05 AND 1.05"),
     "slug": (q_slug, "SELECT c_custkey AS k, trim(regexp_replace(lower(strip_accents(concat('L''Échez du ', c_name, ' -- Ça ', c_mktsegment))), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer"),
     "basin_membership": (q_membership, f"{_MEM} SELECT river_id, basin FROM mem"),
     "basin_area": (q_basin_area, f"{_MEM} SELECT river_id, area_km2, n_sub_basins FROM area"),

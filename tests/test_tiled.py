@@ -101,3 +101,25 @@ def test_accumulation_and_catchment(spark):
     assert {x.cell: x.acc for x in raster.accumulation(df).collect()} == {f"{r}:{c}": acc[r, c] for r, c in np.ndindex(d.shape)}
     at = np.unravel_index(int(acc.argmax()), acc.shape)
     assert raster.catchment(df, *map(int, at)).count() == acc.max()
+
+
+def test_tables_and_kernels_agree(spark):
+    from pyspark.sql import functions as F
+
+    from rillway.functions import delineation, drawing, terrain
+
+    rng = np.random.default_rng(9)
+    z = rng.random((9, 11)) * 100
+    mask = rng.random(z.shape) < 0.4
+    cells = spark.createDataFrame([(r, c, float(z[r, c])) for r, c in np.ndindex(z.shape)], "r int, c int, z double")
+    on = spark.createDataFrame([(int(r), int(c)) for r, c in np.argwhere(mask)], "r int, c int")
+    assert sorted(map(tuple, raster.mask_edges(on).collect())) == sorted(tuple(map(int, e)) for e in delineation.mask_edges(mask))
+    assert {tuple(x) for x in raster.dilated(on, cells, 3).collect()} == {tuple(x) for x in np.argwhere(delineation.dilated(mask, 3))}
+    at = [(float(a), float(b)) for a, b in rng.uniform(-1, 11, (40, 2))]
+    got = raster.sampled(cells, spark.createDataFrame(at, "pr double, pc double")).collect()
+    assert len(got) == 40 and all(abs(kernels.bilinear(z, np.array([x.pr]), np.array([x.pc]))[0] - x.height) < 1e-9 for x in got)
+    lines = [rng.uniform(-0.5, 1.5, (5, 2)) for _ in range(6)]
+    meta = {"bounds": {"west": 0.0, "south": 0.0, "east": 1.0, "north": 1.0}, "cell_deg": 0.07}
+    df = spark.createDataFrame([(k, [{"lon": float(x), "lat": float(y)} for x, y in line]) for k, line in enumerate(lines)], "k int, line array<struct<lon:double,lat:double>>")
+    draped = {r.k: [[p.u, p.v] for p in r.p] for r in df.select("k", drawing.draped(F.col("line"), *[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)], 0.07).alias("p")).collect()}
+    assert [draped[k] for k in range(6) if len(draped[k]) > 1] == terrain.draped(lines, meta)
