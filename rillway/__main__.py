@@ -1,7 +1,7 @@
 """The flows from a shell: ``python -m rillway rivers segments.geojson --named``.
 
-Rows are printed as JSON, one a line; segments come from a GeoJSON file or from Parquet with
-the columns of ``sources.geojson.segments``.
+Rows are printed as JSON, one a line; segments come from a GeoJSON file, from GeoParquet, or
+from Parquet with the columns of ``sources.geojson.segments``.
 """
 
 from __future__ import annotations
@@ -15,12 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from rillway import flows
 from rillway.operators import courses, delineate, watershed
 from rillway.plans.tables import written
-from rillway.sources import config, geojson, wfs
+from rillway.sources import config, geojson, geoparquet, wfs
 from rillway.streaming import jobs
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path) if path.endswith(".parquet") else geojson.segments(geojson.read_lines(spark, path))
+    """Segments of a GeoJSON file, of GeoParquet, or of Parquet with the columns of ``geojson.segments``."""
+    if not path.endswith(".parquet"):
+        return geojson.segments(geojson.read_lines(spark, path))
+    if "geometry" in spark.read.parquet(path).columns:
+        return geojson.segments(geoparquet.lines(spark, path))
+    return spark.read.parquet(path)
+
+
+def read_basins(spark: SparkSession, path: str) -> DataFrame:
+    return written((geoparquet if path.endswith(".parquet") else geojson).basins(spark, path))
 
 
 def show(rows: DataFrame) -> None:
@@ -55,7 +64,7 @@ def _cuts(spark: SparkSession, a: argparse.Namespace) -> dict:
 def _catalog(spark: SparkSession, a: argparse.Namespace) -> None:
     given = _cuts(spark, a)
     if a.basins:
-        given["basins"] = written(geojson.basins(spark, a.basins))
+        given["basins"] = read_basins(spark, a.basins)
     if a.catchments:
         given["catchments"] = jobs.done(spark, a.catchments, delineate.RESULT)
     if a.overrides:
@@ -73,7 +82,7 @@ def _delineate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _precompute(spark: SparkSession, a: argparse.Namespace) -> None:
-    basins = written(geojson.basins(spark, a.basins)) if a.basins else None
+    basins = read_basins(spark, a.basins) if a.basins else None
     print(json.dumps(flows.precompute(read_segments(spark, a.segments), *_terrain(spark, a), a.river, a.out, basins, a.area_min, a.area_max)))
 
 
@@ -110,7 +119,8 @@ def _count(spark: SparkSession | None, a: argparse.Namespace) -> None:
 def _dump(spark: SparkSession, a: argparse.Namespace) -> None:
     spark.dataSource.register(wfs.WfsSource)
     given = {k: v for k, v in (("bbox", a.bbox), ("cql", a.cql), ("max", a.most), ("sort", a.sort), ("page", a.page)) if v is not None}
-    print(wfs.dump(spark.read.format("wfs").options(fetch=a.url, type=a.layer, **given).load(), a.out), file=sys.stderr)
+    found = spark.read.format("wfs").options(fetch=a.url, type=a.layer, **given).load()
+    print(geoparquet.write(geoparquet.from_geojson(found), a.out) if a.out.endswith(".parquet") else wfs.dump(found, a.out), file=sys.stderr)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -156,7 +166,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keyword")
     p.add_argument("--watersheds", action="store_true")
     command("schema", _schema, "fields of a feature type", "url", "layer", spark=False)
-    for p in (command("count", _count, "how many features a service has", "url", "layer", spark=False), command("dump", _dump, "copy features to GeoJSON parts", "url", "layer", "out")):
+    for p in (command("count", _count, "how many features a service has", "url", "layer", spark=False), command("dump", _dump, "copy features to GeoJSON parts, or to GeoParquet if the path ends so", "url", "layer", "out")):
         p.add_argument("--bbox")
         p.add_argument("--cql")
     for option, kind in (("--most", int), ("--sort", str), ("--page", int)):

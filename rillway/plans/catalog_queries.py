@@ -55,10 +55,6 @@ def q_forest(spark, sf):
     return _long(trees.select("river_id", "parent_id", "depth", "n_upstream"), "depth", "n_upstream")
 
 
-def q_also(spark, sf):
-    return C.also_flows_into(network(spark, sf).flows)
-
-
 def q_pfafstetter(spark, sf):
     return C.pfafstetter(_parts(spark, sf)[0], "CDE_1")
 
@@ -117,7 +113,6 @@ QUERIES = {
     "catalog_nodes": (q_nodes, f"{TREE_SQL} SELECT x.river_id, x.parent_id, x.role, x.ordinal, x.depth, CAST(round(f.length_m / 1000, 2) AS DOUBLE) AS length_km, f.n_upstream, coalesce(t.n, 0) AS n_tributaries, t.parent_id IS NULL AS is_headwater FROM node x JOIN full_r f USING (river_id) LEFT JOIN n_trib t ON t.parent_id = x.river_id"),
     "catalog_truncated": (q_truncated, f"{TREE_SQL}{_CUT} SELECT river_id, depth, nt AS n_tributaries, (SELECT count(*) FROM kids k WHERE k.parent_id = x.river_id AND k.river_id = 'CDE_5') AS n_folded, depth >= 2 AND nt > 0 AS truncated FROM cutnode x"),
     "forest_nodes": (q_forest, f"{TREE_SQL}, grove(river_id, parent_id, depth) AS (SELECT river_id, '_forest', CAST(1 AS BIGINT) FROM full_r WHERE parent_id IS NULL UNION ALL SELECT k.river_id, k.parent_id, depth + CASE WHEN t.n > 0 THEN 1 ELSE 0 END FROM grove x JOIN kids k ON k.parent_id = x.river_id JOIN n_trib t ON t.parent_id = x.river_id) SELECT river_id, g.parent_id, depth, n_upstream FROM grove g JOIN full_r USING (river_id) UNION ALL SELECT '_forest', NULL, 0, (SELECT count(*) FROM grove)"),
-    "also_flows_into": (q_also, f"{RIVER_SQL} SELECT src AS river_id, dst AS also FROM flow f WHERE dst <> (SELECT min(dst) FROM flow g WHERE g.src = f.src)"),
     "pfafstetter_codes": (q_pfafstetter, None),
     "sibling_window": (q_siblings, f"{TREE_SQL}, s AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY parent_id) AS n, lag(river_id) OVER w AS previous, lead(river_id) OVER w AS following FROM node WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id ORDER BY CASE WHEN role = 'mainline' THEN 0 ELSE 1 END, ordinal)) SELECT river_id, previous, following, greatest(k - 2, 0) AS more_before, greatest(n - k - 1, 0) AS more_after FROM s"),
     "breadcrumb": (q_breadcrumb, f"{TREE_SQL}, crumb(river_id, ancestor, up) AS (SELECT river_id, parent_id, CAST(1 AS BIGINT) FROM node WHERE parent_id IS NOT NULL UNION ALL SELECT c.river_id, x.parent_id, up + 1 FROM crumb c JOIN node x ON x.river_id = c.ancestor WHERE x.parent_id IS NOT NULL) SELECT river_id, ancestor, up FROM crumb"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["river_queries", "catalog_queries", "terrain_queries", "course_queries", "mosaic_queries", "overlay_queries"]
+_MODULES = ["river_queries", "catalog_queries", "terrain_queries", "course_queries", "mosaic_queries", "overlay_queries", "fork_queries"]
 
 
 def _all() -> dict:
