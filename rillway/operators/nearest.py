@@ -1,4 +1,4 @@
-"""Nearest line to each point: a grid of squares, searched in rings until the nearest is proven."""
+"""Nearest line to each point: squares of lines, searched from large ones to small ones."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from rillway.functions import geo
 from rillway.plans.tables import written
 
-#: Squares searched on each side of a point's own, round by round; what is then open is compared with every line.
-RINGS = (1, 4, 16)
+#: At most so many squares are where the search begins.
+TOP = 64
 #: A square holds some lines (SIDE times the square that each line would have to itself), and a line crosses at most about 2 * MOST squares.
 SIDE, MOST = 4.0, 1024
 #: Metres: how far a line is widened, and a proof held back, for rounding.
@@ -42,28 +42,49 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("p").agg(F.min(F.struct(F.round(d, 3).alias("metres"), "k")).alias("b")).select("p", "b.k", "b.metres")
 
 
+def _pyramid(squares: DataFrame) -> list[DataFrame]:
+    """The squares that hold lines, then those of four times the side that hold these, and so on up to at most ``TOP``."""
+    levels = [written(squares.select(F.col("gx").alias("x"), F.col("gy").alias("y")).distinct())]
+    while levels[-1].count() > TOP:
+        levels.append(written(levels[-1].select(F.shiftright("x", 2).alias("x"), F.shiftright("y", 2).alias("y")).distinct()))
+    return levels
+
+
+def _within_reach(near: DataFrame, side: float) -> DataFrame:
+    """Of the squares (``x``, ``y``) that each point may have its nearest line in, those that are no farther than some line must be.
+
+    A square that holds part of a line has it no farther away than its farthest corner.
+    """
+    low, high = (lambda g: F.col(g) * side - EPS), (lambda g: (F.col(g) + 1) * side + EPS)
+    out = lambda p, g: F.greatest(F.lit(0.0), low(g) - F.col(p), F.col(p) - high(g))
+    far = lambda p, g: F.greatest(F.abs(F.col(p) - low(g)), F.abs(high(g) - F.col(p)))
+    measured = near.withColumns({"_lo": F.hypot(out("px", "x"), out("py", "y")), "_hi": F.hypot(far("px", "x"), far("py", "y"))})
+    best = measured.groupBy("p").agg(F.min("_hi").alias("_most"))
+    return measured.join(best, "p").filter(F.col("_lo") <= F.col("_most") + EPS).drop("_lo", "_hi", "_most")
+
+
 def nearest_lines(points: DataFrame, lines: DataFrame, side: float | None = None) -> DataFrame:
     """``p``, ``k`` and ``metres`` of the nearest line, by (metres to a millimetre, k).
 
     ``points`` has ``p``, ``px``, ``py``; ``lines`` has ``k``, ``x1``, ``y1``, ``x2``, ``y2``, in
-    metres. A line nearer than ``ring`` squares' sides touches a square of that ring or within,
-    so a best distance below that is final.
+    metres. Squares that hold lines are searched from a few large ones down to those of some
+    lines each: a point goes on to the parts of the squares that can't be ruled out. So a point
+    far from all lines costs as much as one among them, and no point meets all lines.
     """
     lines = written(lines)
     x0, x1, y0, y1, n = lines.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.count(F.lit(1))).first()
     if not n:
-        return _best(points.crossJoin(lines))
+        return _best(points.join(lines.withColumnRenamed("k", "p").select("p", "x1", "y1", "x2", "y2"), "p").withColumn("k", F.col("p")))
     w, h = x1 - x0, y1 - y0
     side = side or max(SIDE * (w * h / n) ** 0.5, max(w, h) / MOST, 1.0)
     squares = written(in_squares(lines, side))
-    open_, out = written(points.withColumn("_gx", _square(F.col("px"), side)).withColumn("_gy", _square(F.col("py"), side))), None
-    for ring in RINGS:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
-        near = open_.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-        near = near.select("p", "px", "py", (F.col("_gx") + F.col("_i")).alias("gx"), (F.col("_gy") + F.col("_j")).alias("gy"))
-        found = written(_best(near.join(squares, ["gx", "gy"])).filter(F.col("metres") < ring * side - EPS))
-        out = found if out is None else out.unionByName(found)
-        open_ = written(open_.join(found, "p", "left_anti"))
-        if open_.isEmpty():
-            return out
-    return out.unionByName(_best(lines.crossJoin(F.broadcast(open_.select("p", "px", "py")))))
+    levels = _pyramid(squares)
+    # The largest squares, at most TOP of them, are part of the plan.
+    top = F.array(*[F.struct(F.lit(r.x).alias("x"), F.lit(r.y).alias("y")) for r in levels[-1].collect()])
+    near = points.select("p", "px", "py", F.explode(top).alias("s")).select("p", "px", "py", "s.x", "s.y")
+    for k in range(len(levels) - 1, -1, -1):
+        near = written(_within_reach(near, side * 4**k))
+        if k:
+            below = levels[k - 1].select(F.shiftright("x", 2).alias("_x"), F.shiftright("y", 2).alias("_y"), F.col("x").alias("_cx"), F.col("y").alias("_cy"))
+            near = near.join(below, (near["x"] == below["_x"]) & (near["y"] == below["_y"])).select("p", "px", "py", F.col("_cx").alias("x"), F.col("_cy").alias("y"))
+    return _best(near.withColumnsRenamed({"x": "gx", "y": "gy"}).join(squares, ["gx", "gy"]))
