@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillway import flows
 from rillway.operators import courses, delineate, watershed
 from rillway.plans.tables import written
-from rillway.sources import config, geojson, geoparquet, wfs
+from rillway.sources import config, geojson, geoparquet, geotiff, wfs
 from rillway.streaming import jobs
 
 
@@ -73,7 +73,9 @@ def _catalog(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _terrain(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    """A terrain folder's cells and frames."""
+    """The cells and frames of a folder: the tables of that name, or GeoTIFF files."""
+    if not jobs.exists(spark, f"{a.terrain}/cells.parquet"):
+        return geotiff.read(spark, a.terrain)
     return spark.read.parquet(f"{a.terrain}/cells.parquet"), spark.read.parquet(f"{a.terrain}/frames.parquet")
 
 
