@@ -111,12 +111,19 @@ def flat(lines: list) -> list:
     return [x for line in lines for x in [*(n for p in line for n in p), None, None]]
 
 
-def payload(grid: np.ndarray, rings: list[np.ndarray], streams: list[np.ndarray], west: float, north: float, cell: float, span: tuple[float, float], exaggeration: float = 1.0) -> dict:
-    """All that a viewer needs of one river's terrain."""
+def payload(grid: np.ndarray, rings: list[np.ndarray], streams: list[np.ndarray], west: float, north: float, cell: float, span: tuple[float, float], exaggeration: float = 1.0, colours: np.ndarray | None = None) -> dict:
+    """All that a viewer needs of one river's terrain; ``colours``: red, green and blue of the grid's cells, NaN where unknown."""
     band, meta = clip(grid, rings, west, north, cell, span, exaggeration=exaggeration)
     usual, strong = contour_lines(band, meta)
-    image = "data:image/png;base64," + base64.b64encode(png(height_pixels(band, meta))).decode("ascii")
-    return {"meta": meta, "heightmap": image, "streams": draped(streams, meta), "contours_minor": flat(usual), "contours_index": flat(strong)}
+    link = lambda pixels: "data:image/png;base64," + base64.b64encode(png(pixels)).decode("ascii")
+    made = {"meta": meta, "heightmap": link(height_pixels(band, meta)), "streams": draped(streams, meta), "contours_minor": flat(usual), "contours_index": flat(strong)}
+    if colours is not None:
+        r, c = round((north - meta["bounds"]["north"]) / cell), round((meta["bounds"]["west"] - west) / cell)
+        part, inside = colours[r : r + band.shape[0], c : c + band.shape[1]], ~np.isnan(band)
+        if not np.isnan(part[inside]).any():
+            shown = np.where(np.isnan(part), 255, np.round(part))
+            made["basemap"] = link(np.concatenate([shown, np.full((*inside.shape, 1), 255.0)], axis=2).astype(np.uint8))
+    return made
 
 
 def warp(image: np.ndarray, bounds: tuple[float, float, float, float], box: dict, rows: int, cols: int) -> np.ndarray:

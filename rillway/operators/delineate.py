@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from rillway.functions.geo import numbered_points
 from rillway.operators.mosaic import met, mosaic
 from rillway.operators.watershed import too_narrow
+from rillway.sources import basemap
 
 _POINT = "struct<lon:double,lat:double>"
 RESULT = f"river_id string, source string, area_km2 double, n_cells long, frac double, offset_m double, threshold int, n_tried int, moved_cells double, raised double, snap_lon double, snap_lat double, ring array<{_POINT}>, note string, error string"
@@ -74,13 +76,14 @@ def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: Data
     return own.groupBy("of").cogroup(asked.groupBy("river_id")).applyInPandas(run, RESULT)
 
 
-def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: DataFrame, exaggeration: float = 1.0) -> DataFrame:
+def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: DataFrame, exaggeration: float = 1.0, pixels: DataFrame | None = None, zoom: int = 0) -> DataFrame:
     """``river_id``, ``payload`` (JSON) and ``error``: the drawn terrain of each river, one river to a task.
 
     ``rivers``: ``river_id``, ``rings``, and the box of its terrain (``west``, ``south``, ``east``, ``north``), over
     whose heights colours and the height map run; without it, that is all of the tiles that the
     rings meet. ``streams``: ``river_id``, ``line``, of the whole catchment. A river's task takes the
-    cells of its rings' box and a margin.
+    cells of its rings' box and a margin. With ``pixels`` (``basemap.read``), a river all of whose
+    drawn cells have a colour at ``zoom`` has its ``basemap``, too.
     """
     every = F.flatten("rings")
     side = lambda f, k: f(F.transform(every, lambda p: p[k]))
@@ -89,6 +92,9 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
     pad = MARGIN_CELLS * F.col("cell")
     near = drawn.select(F.col("river_id").alias("key"), (side(F.array_min, "lon") - pad).alias("west"), (side(F.array_min, "lat") - pad).alias("south"), (side(F.array_max, "lon") + pad).alias("east"), (side(F.array_max, "lat") + pad).alias("north"))
     own = mosaic(near, cells, frames).withColumnRenamed("key", "river_id")
+    if pixels is not None:
+        middle = own.join(size).select("river_id", "r", "c", ((F.col("c") + 0.5) * F.col("cell")).alias("lon"), (-(F.col("r") + 0.5) * F.col("cell")).alias("lat"))
+        own = own.join(basemap.coloured(middle, pixels, zoom, ["river_id", "r", "c"]), ["river_id", "r", "c"], "left")
     if "west" in rivers.columns:
         whole = mosaic(rivers.select(F.col("river_id").alias("key"), "west", "south", "east", "north"), cells, frames)
         ends = whole.groupBy(F.col("key").alias("river_id")).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
@@ -109,7 +115,8 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
             if part.empty:
                 raise ValueError("no cells")
             grid, r0, c0 = kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part.z.to_numpy())
-            made = terrain.payload(grid, kernels.parts(f["rings"]), kernels.parts(f["_lines"]), c0 * f["cell"], -r0 * f["cell"], f["cell"], (f["lo"], f["hi"]), exaggeration)
+            colours = np.stack([kernels.to_grid(part.r.to_numpy(), part.c.to_numpy(), part[k].to_numpy(dtype=float))[0] for k in ("red", "green", "blue")], axis=2) if "red" in part else None
+            made = terrain.payload(grid, kernels.parts(f["rings"]), kernels.parts(f["_lines"]), c0 * f["cell"], -r0 * f["cell"], f["cell"], (f["lo"], f["hi"]), exaggeration, colours)
             return pd.DataFrame({"river_id": [f["of"]], "payload": [json.dumps(made)], "error": [None]})
         except Exception as e:
             return pd.DataFrame({"river_id": [f["of"]], "payload": [None], "error": [f"{type(e).__name__}: {e}"]})

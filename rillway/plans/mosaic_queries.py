@@ -8,6 +8,7 @@ from rillway.operators import courses as K
 from rillway.operators import delineate as D
 from rillway.operators import mosaic as M
 from rillway.plans.views import CELL, view
+from rillway.sources import basemap
 
 #: The valley's cells in tiles of 16 rows and 25 columns, each with two more columns than it should, which lie higher in the second tile.
 TILE_CELL = f"""
@@ -64,6 +65,21 @@ def q_payload(spark, sf):
     return made.select("river_id", meta("n_valid", "long"), meta("z_min", "double"), meta("z_max", "double"), meta("z_min_tile", "double"), meta("z_max_tile", "double"))
 
 
+#: The valley as an image at zoom 12, from a pixel near 0 east and 43 north on.
+_ZOOM, _ROW, _COLUMN = 12, 384000, 524288
+_SPOT = "SELECT s_suppkey AS k, (s_suppkey * 37 % 331) / 10.0D AS v, (s_suppkey * 53 % 452) / 10.0D AS u FROM supplier"
+
+
+def q_coloured(spark, sf):
+    """Places between an image's pixels take their colour from the four around each."""
+    z = F.col("z").cast("int")
+    pixels = view(spark, sf, CELL).select(F.lit(_ZOOM).alias("zoom"), (F.col("r") + _ROW).alias("y"), (F.col("c") + _COLUMN).alias("x"), (z % 256).alias("red"), (F.col("r") * 5).alias("green"), (F.col("c") * 5).alias("blue"))
+    whole = 2.0**_ZOOM * basemap.SIDE
+    lat = F.degrees(F.atan(F.sinh(F.pi() * (1 - 2 * (F.col("v") + _ROW + 0.5) / whole))))
+    places = view(spark, sf, _SPOT).select("k", ((F.col("u") + _COLUMN + 0.5) / whole * 360 - 180).alias("lon"), lat.alias("lat"))
+    return basemap.coloured(places, pixels, _ZOOM, ["k"]).select("k", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("red", "green", "blue")])
+
+
 _DUCK = {k: v.replace("D AS", "::DOUBLE AS").replace("001D", "001::DOUBLE").replace("0.0004D", "0.0004::DOUBLE").replace("0.0003D", "0.0003::DOUBLE").replace("0.0097D", "0.0097::DOUBLE").replace("0.0002D", "0.0002::DOUBLE").replace("2.0D", "2.0::DOUBLE") for k, v in (("t", TILE_CELL), ("b", BOX))}
 #: Which cells lie in a supplier's box, in whole cells; the first tile's height counts where two overlap.
 _IN = f"""cell AS ({CELL}), spot AS (SELECT concat('V', s_suppkey) AS key, s_suppkey % 40 AS w, s_suppkey % 31 AS n FROM supplier),
@@ -76,6 +92,9 @@ spread AS (SELECT tile, CAST(split_part(tile, '_', 1) AS INT) * 16 AS tr, CAST(s
 spot AS (SELECT concat('V', s_suppkey) AS key, s_suppkey % 40 AS w, s_suppkey % 31 AS n FROM supplier),
 b AS (SELECT key, tile, CAST(greatest(n - 1 - tr, 0) AS INT) AS r0, CAST(least(n + 8 - tr, 15) AS INT) AS r1, CAST(greatest(w - tc, 0) AS INT) AS c0, CAST(least(w + 9 - tc, 26) AS INT) AS c1 FROM spot CROSS JOIN spread)
 SELECT key, tile, r0, r1, c0, c1 FROM b WHERE r0 <= r1 AND c0 <= c1"""),
+    "basemap_warp": (q_coloured, f"""WITH cell AS ({CELL}), p AS (SELECT k, v, u, floor(v) AS i, floor(u) AS j FROM ({_SPOT.replace('10.0D', '10.0::DOUBLE')})),
+q AS (SELECT k, CASE WHEN r = i THEN 1 - (v - i) ELSE v - i END * CASE WHEN c = j THEN 1 - (u - j) ELSE u - j END AS w, r, c, CAST(z AS BIGINT) % 256 AS red FROM p JOIN cell ON r BETWEEN i AND i + 1 AND c BETWEEN j AND j + 1)
+SELECT k, round(sum(w * red) + 1e-7::DOUBLE, 4) AS red, round(sum(w * r * 5) + 1e-7::DOUBLE, 4) AS green, round(sum(w * c * 5) + 1e-7::DOUBLE, 4) AS blue FROM q GROUP BY k HAVING count(*) = 4"""),
     "delineate_search": (q_delineate, None),
     "terrain_payload": (q_payload, f"""WITH {_IN}, m AS (SELECT key, min(z) AS z_min_tile, max(z) AS z_max_tile FROM mos GROUP BY key),
 core AS (SELECT key, n + 3 + i AS r, w + 3 + j AS c FROM spot, (SELECT unnest(range(3)) AS i), (SELECT unnest(range(4)) AS j)),
