@@ -1,9 +1,10 @@
 """Exact dedup by two-pass Bloom filtering.
 
-Pass 1 inserts every text's hash into a register-blocked Bloom filter (one 64-bit word per
-hash, four bits in it), kept as a relation. A pattern that is inserted a second time marks
-a possibly repeated hash, and the marked patterns make up the second filter. Pass 2 tests
-each row against the second filter: rows that miss it are certainly unique and go straight
+Pass 1 finds what a Bloom filter would call repeated: every text's hash has a pattern, one
+64-bit word of the filter and four bits in it, and all rows are grouped by their pattern, so
+a pattern of every row shuffles (no first filter is built: at scale each row's bits would
+have to reach its word anyway). Patterns of two or more rows make up the second filter, a real
+one. Pass 2 tests each row against it: rows that miss it are certainly unique and go straight
 to the result, without a shuffle; only the others are grouped by their SHA-256.
 
 The second filter has at most ``max_words`` words of 8 bytes whatever the input, which is
