@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillway import flows
 from rillway.operators import courses, delineate, watershed
 from rillway.plans.tables import written
+from rillway.sinks import catalog_json
 from rillway.sources import config, geojson, geoparquet, geotiff, wfs
 from rillway.streaming import jobs
 
@@ -52,7 +53,11 @@ def _trace(spark: SparkSession, a: argparse.Namespace) -> None:
     if (a.node is None) == (a.at is None):
         raise ValueError("give either a node or a place")
     at = tuple(float(x) for x in a.at.split(",")) if a.at else None
-    show(flows.trace(read_segments(spark, a.segments), a.node, a.skip_fictitious, a.least_order, a.collapse, at))
+    tree = flows.trace(read_segments(spark, a.segments), a.node, a.skip_fictitious, a.least_order, a.collapse, at)
+    if a.draw:
+        print("\n".join(catalog_json.printed(tree, a.max_depth)))
+    else:
+        show(tree)
 
 
 def _cuts(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -108,6 +113,11 @@ def _layers(spark: SparkSession | None, a: argparse.Namespace) -> None:
         print(json.dumps(dict(zip(("name", "title", "abstract"), row, strict=True)), ensure_ascii=False))
 
 
+def _watersheds(spark: SparkSession, a: argparse.Namespace) -> None:
+    at = tuple(float(x) for x in a.at.split(",")) if a.at else None
+    print(wfs.dump(wfs.watersheds(spark, a.url, a.layer, a.bbox, at), a.out), file=sys.stderr)
+
+
 def _schema(spark: SparkSession | None, a: argparse.Namespace) -> None:
     body = wfs.get(a.url, {"SERVICE": "WFS", "VERSION": "2.0.0", "REQUEST": "DescribeFeatureType", "TYPENAMES": a.layer})
     for row in wfs.schema_pairs(body):
@@ -146,6 +156,8 @@ def parser() -> argparse.ArgumentParser:
     p = command("trace", _trace, "the tree of segments above a node or a place", "segments")
     p.add_argument("node", nargs="?")
     p.add_argument("--at", help="longitude,latitude: begin above the nearest segment")
+    p.add_argument("--draw", action="store_true", help="as a drawn tree")
+    p.add_argument("--max-depth", type=int)
     p.add_argument("--collapse", action="store_true", help="fold only children of their parent's name into it")
     p.add_argument("--skip-fictitious", action="store_true")
     p.add_argument("--least-order", type=int)
@@ -171,6 +183,9 @@ def parser() -> argparse.ArgumentParser:
     for p in (command("count", _count, "how many features a service has", "url", "layer", spark=False), command("dump", _dump, "copy features to GeoJSON parts, or to GeoParquet if the path ends so", "url", "layer", "out")):
         p.add_argument("--bbox")
         p.add_argument("--cql")
+    q = command("watersheds", _watersheds, "a layer's watersheds in a box, or that hold a place, as GeoJSON parts", "url", "layer", "out")
+    q.add_argument("--bbox")
+    q.add_argument("--at", help="longitude,latitude")
     for option, kind in (("--most", int), ("--sort", str), ("--page", int)):
         p.add_argument(option, type=kind)
     return top

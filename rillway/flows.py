@@ -65,7 +65,7 @@ def trace(segments: DataFrame, node: str | None = None, skip_fictitious: bool =
     """The tree of segments above a node, or above the upstream node of the segment nearest to a place ``at`` (longitude, latitude)."""
     if node is None:
         node = snap(segments, *at).first().node
-    tree = written(T.trace_tree(S.graph(segments), node))
+    tree = written(T.tree_totals(T.trace_tree(S.graph(segments), node)))
     if collapse:
         tree = written(T.collapse_chains(tree))
     if least_order is not None:

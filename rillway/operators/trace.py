@@ -46,9 +46,10 @@ def tree_totals(tree: DataFrame) -> DataFrame:
 
 
 def ordered_children(tree: DataFrame) -> DataFrame:
-    """The tree with each edge's place among its siblings: most metres upstream first."""
+    """The tree with each edge's place among its siblings: most metres upstream first, as far as the totals are known of the whole tree."""
     first = Window.partitionBy("parent").orderBy(F.desc("upstream_m"), "cleabs")
-    return tree_totals(tree).withColumn("ordinal", F.row_number().over(first))
+    whole = tree if "upstream_m" in tree.columns else tree_totals(tree)
+    return whole.withColumn("ordinal", F.row_number().over(first))
 
 
 def splice_fictitious(tree: DataFrame) -> DataFrame:
@@ -63,13 +64,14 @@ def splice_fictitious(tree: DataFrame) -> DataFrame:
 
 
 def collapse_chains(tree: DataFrame) -> DataFrame:
-    """The tree with only children of the same name folded into their parents; ``n_folded`` counts them."""
+    """The tree with only children of the same name folded into their parents; ``n_folded`` counts them, ``folded_m`` are their metres."""
     kids = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
     names = tree.select(F.col("cleabs").alias("parent"), F.col("name").alias("_pn"))
     folds = tree.join(kids, "parent").join(names, "parent").withColumn("_fold", (F.col("_n") == 1) & F.col("name").eqNullSafe(F.col("_pn")))
     chain = tree.select("cleabs").join(folds.filter("_fold").select("cleabs", F.col("parent").alias("next")), "cleabs", "left").select(F.col("cleabs").alias("id"), "next")
     heads = written(follow(written(chain)))
-    counts = heads.groupBy(F.col("last").alias("cleabs")).agg((F.count(F.lit(1)) - 1).alias("n_folded"))
+    long_ = tree.select(F.col("cleabs").alias("id"), F.coalesce("length_m", F.lit(0)).cast("double").alias("_m"))
+    counts = heads.join(long_, "id").groupBy(F.col("last").alias("cleabs")).agg((F.count(F.lit(1)) - 1).alias("n_folded"), F.sum(F.when(F.col("id") != F.col("last"), F.col("_m")).otherwise(0.0)).alias("folded_m"))
     moved = heads.select(F.col("id").alias("parent"), F.col("last").alias("_p"))
     return tree.join(counts, "cleabs").join(moved, "parent", "left").drop("parent").withColumnRenamed("_p", "parent")
 

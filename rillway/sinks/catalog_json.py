@@ -58,6 +58,35 @@ def listing(node: dict, most: int | None = None, level: int = 0) -> list[str]:
     return lines + [x for k in below for x in listing(k, most, level + 1)]
 
 
+def printed(tree: DataFrame, most: int | None = None) -> list[str]:
+    """A trace (``trace.ordered_children``) as lines with branches drawn; beyond ``most`` levels how many branches and segments follow."""
+    kids: dict = {}
+    for row in tree.toLocalIterator():
+        kids.setdefault(row["parent"], []).append(row.asDict())
+    for below in kids.values():
+        below.sort(key=lambda r: r["ordinal"])
+
+    def label(r: dict) -> str:
+        facts = [f"order {r['ord']}"] if r.get("ord") is not None else []
+        facts.append(f"{((r['length_m'] or 0) + (r.get('folded_m') or 0)) / 1000:.1f} km")
+        facts += [f"{r['n_folded'] + 1} seg"] if r.get("n_folded") else []
+        return f"{r.get('name') or '(unnamed)'}  ({', '.join(facts + (['fictif'] if r.get('fictif') else []))})"
+
+    out, todo = ["● (pour point)"], [(None, "", 0, None)]
+    while todo:  # a chain may be longer than calls nest
+        name, prefix, depth, shown = todo.pop()
+        if shown is not None:
+            out.append(shown)
+        below = kids.get(name, [])
+        if most is not None and depth >= most and below:
+            out.append(f"{prefix}… {len(below)} branch(es), {sum(r['n_upstream'] for r in below)} seg")
+            continue
+        for k, r in reversed(list(enumerate(below))):
+            last = k == len(below) - 1
+            todo.append((r["cleabs"], prefix + ("    " if last else "│   "), depth + 1, f"{prefix}{'└── ' if last else '├── '}{label(r)}"))
+    return out
+
+
 def page(title: str, data: str = "catalog.json") -> str:
     """A page that fetches the catalog and lists it."""
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul id=t></ul><script>fetch({json.dumps(data)}).then(r=>r.json()).then(d=>{{const w=(n,u)=>{{const l=document.createElement('li');l.textContent=n.name||n.id;u.append(l);const k=document.createElement('ul');l.append(k);[n.mainline,...n.tributaries].filter(Boolean).forEach(c=>w(c,k))}};w(d.tree,document.getElementById('t'))}})</script>"

@@ -6,6 +6,7 @@ import pytest
 
 from rillway import flows
 from rillway.operators import courses as K
+from rillway.sinks import catalog_json
 from rillway.sources import wfs
 
 SCHEMA = "cleabs string, ini string, fin string, sens string, ord string, river_key string, toponyme string, fictif boolean, length_m double, line array<struct<lon:double,lat:double>>"
@@ -47,6 +48,9 @@ def test_catalog_and_trace(segments, tmp_path):
     assert json.loads((tmp_path / "catalog.json").read_text())["meta"]["n_nodes"] == 2 and "Mere" in (tmp_path / "index.html").read_text()
     assert flows.forest(segments, ["RV_M", "RV_L"]).count() == 4
     assert {r.cleabs for r in flows.trace(segments, "c").collect()} == {"m1", "m2", "k1", "l1"}
+    assert catalog_json.printed(flows.trace(segments, "c")) == ["● (pour point)", "├── Mere  (order 2, 2.0 km)", "│   ├── Mere  (order 2, 3.0 km)", "│   └── Kine  (order 1, 1.5 km)", "└── (unnamed)  (order 1, 0.5 km)"]
+    folded = flows.trace(segments.filter("cleabs <> 'k1'"), "c", collapse=True)
+    assert catalog_json.printed(folded, 0) == ["● (pour point)", "… 2 branch(es), 3 seg"] and "├── Mere  (order 2, 5.0 km, 2 seg)" in catalog_json.printed(folded)
 
 
 def test_watershed_helpers(spark, tmp_path):
