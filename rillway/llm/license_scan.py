@@ -1,10 +1,12 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A template is a license notice. With ``n`` words in the longest one, a block is a line of a
-document, or ``3 n`` words of it from any word whose place is a multiple of ``n``, whatever the
-line breaks: a notice however wrapped, with comment marks or up to ``n`` other words in between,
-lies whole in one of these. They are only cut where the document as a whole holds enough of a
-template's words. Blocks and templates are sets of words. A block matches if it holds at least ``THRESHOLD`` of a template's words. Words outside the
+A template is a license notice, or a tag that names a license. With ``n`` words in the longest
+one, a block is a line of at most ``3 n`` words, or ``3 n`` words of the document from any word
+whose place is a multiple of ``n``, whatever the line breaks: a notice however wrapped, in a line
+however long, with comment marks or up to ``n`` other words in between, lies whole in one of
+these, and words that stand farther apart than a block is long never count together. Windows
+are only cut where the document as a whole holds enough of a template's words. Blocks and
+templates are sets of words. A block matches if it holds at least ``THRESHOLD`` of a template's words. Words outside the
 templates can't count towards that, so a block keeps only template words; these are ordered
 by the number of documents that hold them, over all documents, rarest first. If a block of
 ``b`` words and a template of ``t`` share at least ``a = ceil(THRESHOLD * t)``, they share one
@@ -18,7 +20,8 @@ Beside this, ``base`` phrases are found wherever their words stand in a row.
 Defined cases: a null text counts as empty (no words, no labels, score 0); very long texts
 are taken whole; repeated rows get one result each; other columns are left out; an empty
 table gives an empty result. The score is 1 for a base phrase, else the largest share of a
-template that a block holds, if it reached the threshold, else 0.
+template that a block holds, if it reached the threshold, else 0. A block that matches several
+templates gives all their labels; words that tie in frequency are ordered as strings.
 """
 
 from __future__ import annotations
@@ -43,6 +46,20 @@ TEMPLATES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "licensed under the gnu gpl v2": "gpl-2",
+    "this program is licensed under the gnu general public license version 2": "gpl-2",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "spdx license identifier mit": "mit",
+    "spdx license identifier isc": "isc",
+    "spdx license identifier apache 2 0": "apache-2",
+    "spdx license identifier gpl 2 0": "gpl-2",
+    "spdx license identifier gpl 3 0": "gpl-3",
+    "spdx license identifier lgpl 2 1": "lgpl",
+    "spdx license identifier bsd 3 clause": "bsd",
+    "spdx license identifier mpl 2 0": "mpl-2",
+    "spdx license identifier cc by nc 4 0": "cc-by-nc",
 }
 THRESHOLD = 0.9
 
@@ -93,18 +110,22 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, base: dict[str, str], sets:
         near = F.col("_t").rlike(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+".join(words))
         found = F.when(near, _starts(_cut("_t"), words)).otherwise(F.array().cast("array<int>"))
         places.append(_labelled(found, label))
-    d = d.withColumn("_lines", F.transform(F.split("_t", "\n"), lambda line: F.array_intersect(_cut(line), _strings(vocab))))
-    d = d.withColumn("_held", F.array_distinct(F.flatten("_lines")))
+    # Of each line, how many words it has and the template words among them; it is cut once.
+    cut = F.transform(F.split("_t", "\n"), _cut)
+    d = d.withColumn("_lines", F.transform(cut, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(w, _strings(vocab)).alias("s"))))
+    d = d.withColumn("_held", F.array_distinct(F.flatten("_lines.s")))
     enough = F.lit(False)
     for t, s in sets.items():
         enough = enough | (F.size(F.array_intersect("_held", _strings(s))) >= need[t])
-    windows = F.when((F.size("_lines") > 1) & enough, _windows(_cut("_t"), longest, vocab)).otherwise(F.array().cast("array<array<string>>"))
+    short = F.transform(F.filter("_lines", lambda x: x["n"] <= 3 * longest), lambda x: x["s"])
+    many = (F.size("_lines") > 1) | (F.size(short) == 0)
+    windows = F.when(many & enough, _windows(_cut("_t"), longest, vocab)).otherwise(F.array().cast("array<array<string>>"))
     least = min(need.values())
     return d.select(
         "doc_id",
         F.regexp_count("_t", F.lit(ALNUM_WORD)).cast("long").alias("n_words"),
         F.concat(*places).alias("_places"),
-        F.filter(F.concat("_lines", windows), lambda s: F.size(s) >= least).alias("_sets"),
+        F.filter(F.concat(short, windows), lambda s: F.size(s) >= least).alias("_sets"),
         "_held",
     )
 

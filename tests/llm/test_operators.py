@@ -151,6 +151,45 @@ def test_wrapped_licenses(spark):
     assert (got[-1].labels, got[-1].score) == ("", 0.0)
 
 
+def license_labels(text):
+    """Labels and best share by brute force: every block against every template."""
+    templates = license_scan.TEMPLATES
+    n = max(len(t.split()) for t in templates)
+    words = WORD.findall(low(text))
+    blocks = [w for line in (text or "").split("\n") for w in [WORD.findall(low(line))] if len(w) <= 3 * n]
+    blocks += [words[k : k + 3 * n] for k in range(0, len(words), n)]
+    labels, best = set(), 0.0
+    for block in map(set, blocks):
+        for t, label in templates.items():
+            share = len(block & set(t.split())) / len(set(t.split()))
+            if share >= license_scan.THRESHOLD:
+                labels.add(label)
+                best = max(best, share)
+    found = [label for p, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+    return ",".join(sorted(labels | set(found))), 1.0 if found else best
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(23)
+    texts = [None, "", "\n\n"]
+    for notice in license_scan.TEMPLATES:
+        w = notice.split()
+        for between in (0, 1, 4, 30):
+            # Words may be missing, and others between them; the line may be long.
+            kept = [x for x in w if rng.random() > 0.06]
+            noise = lambda k: [rng.choice(["other", "words", "the", "of", "x1"]) for _ in range(k)]
+            mixed = [y for x in kept for y in [x, *noise(rng.randint(0, between))]]
+            texts += [" ".join([*noise(90), *mixed, *noise(90)]), "\n".join([" ".join(noise(5)), *(" ".join(mixed[k : k + 6]) for k in range(0, len(mixed), 6))])]
+    far = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+    texts += ["".join(w + " other" * 30 + " " for w in far.split()), "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: GPL-2.0-only\nx = 1", "Licensed under the GNU GPL v2"]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, best = license_labels(t)
+        assert got[i].labels == labels and got[i].score == pytest.approx(best), (t, got[i])
+    n = len(texts)
+    assert [got[i].labels for i in range(n - 4, n)] == ["", "mit", "gpl-2", "gpl-2"]
+
+
 def test_license_phrases_by_brute_force(spark):
     rng = random.Random(21)
     parts = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "by", "nc", "BY-NC", "é", "x_y", "\n", "under the mit license", "cc by nc"]
