@@ -5,6 +5,7 @@ grows with the corpus. Counts cover all documents. A pair of words that another
 too scores ``log(c(u, v) / c(u))``; a pair that only this document has counts as unseen and
 backs off to ``log(BACKOFF * c(v) / N)``. A document's score is the mean over its pairs. A
 caller may close the vocabulary at ``vocabulary`` words; every other word then counts as one.
+A document is an id: that two rows of one id have a pair doesn't make it seen.
 
 The ``FREQUENT`` most frequent words have small ids, and executors get a table of their
 counts; any other word is known by its hash. This changes where a count comes from and no
@@ -23,7 +24,8 @@ other pair is shuffled once:
   document are in no pair on one side, and are sent alone for the sum.
 
 Defined cases: a null text, or one of fewer than two words, has no pairs and a null score;
-rows that share an id count as one document whose pairs add up, and each gets that score;
+rows that share an id, or have none, count as one document whose pairs add up, and each gets
+that score; ids are read as longs (the smallest long stands for a missing one);
 ties in word frequency are settled by the word's hash; very long texts are taken whole; other
 columns are left out; an empty table gives an empty result.
 """
@@ -48,6 +50,9 @@ _RARE, _FIRST = -(1 << 63), 1 << 62
 #: What stands for the missing neighbour at a text's edge, and where keys of whole documents begin,
 #: of a document's hot pairs and of their score; the parts of 1 that the score is sent in.
 _EDGE, _DOCUMENT, _SCORE, _PARTS = 1 << 20, 1 << 40, 1 << 41, 1 << 36
+#: The smallest and the largest long.
+_NO_ID, _LAST_ID = -(1 << 63), (1 << 63) - 1
+_COUNTED = "key long, n long, first long, last long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,12 +63,33 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def _hot_pairs(u: np.ndarray, v: np.ndarray, of: np.ndarray, width: int, n: np.ndarray, n_docs: np.ndarray) -> None:
-    """Adds pairs of documents ``of`` to the tables of how often, and in how many documents, they stand."""
-    each, count = np.unique((of << 32) | (u * width + v), return_counts=True)
-    pair = each & 0xFFFFFFFF
-    np.add.at(n, pair, count)
-    np.add.at(n_docs, pair, 1)
+class HotPairs:
+    """How often each pair of hot words stands, and the smallest and largest id of its documents.
+
+    The two are equal where only one document has the pair.
+    """
+
+    def __init__(self, width: int):
+        self.width = width
+        self.n = np.zeros(width * width, dtype=np.int64)
+        self.first = np.full(width * width, _LAST_ID, dtype=np.int64)
+        self.last = np.full(width * width, _NO_ID, dtype=np.int64)
+
+    def add(self, u: np.ndarray, v: np.ndarray, of: np.ndarray, ids: np.ndarray) -> None:
+        """Pairs of the documents at places ``of`` among ``ids``."""
+        each, count = np.unique((of << 32) | (u * self.width + v), return_counts=True)
+        pair, doc = each & 0xFFFFFFFF, ids[each >> 32]
+        np.add.at(self.n, pair, count)
+        np.minimum.at(self.first, pair, doc)
+        np.maximum.at(self.last, pair, doc)
+
+    def batch(self) -> pa.RecordBatch:
+        at = np.flatnonzero(self.n)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(self.n[at]), pa.array(self.first[at]), pa.array(self.last[at])], names=["key", "n", "first", "last"])
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
 def _frequent_words(docs: DataFrame, most: int) -> list[bytes]:
@@ -82,30 +108,30 @@ def _frequent_words(docs: DataFrame, most: int) -> list[bytes]:
 
 
 def _counted(docs: DataFrame, hot: list[bytes]) -> DataFrame:
-    """``key``, ``n`` and ``docs``: words by hash and how often they stand (``docs`` is 0), and
-    pairs of hot words by their places among these, with how many documents have them."""
-    width, places = len(hot) + 1, {w: k + 1 for k, w in enumerate(hot)}
+    """``key``, ``n``, ``first`` and ``last``: words by hash and how often they stand (``first`` is
+    null), and pairs of hot words by their places among these, with their documents' outermost ids."""
+    places = {w: k + 1 for k, w in enumerate(hot)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, n_docs = np.zeros(width * width, dtype=np.int64), np.zeros(width * width, dtype=np.int64)
+        pairs = HotPairs(len(hot) + 1)
         for batch in batches:
+            doc = _ids(batch.column(0))
             count: Counter = Counter()
             for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                lists = [words_of(t) for t in batch.column(0).slice(k, TEXTS_AT_ONCE).to_pylist()]
+                lists = [words_of(t) for t in batch.column(1).slice(k, TEXTS_AT_ONCE).to_pylist()]
                 flat = list(chain.from_iterable(lists))
                 count.update(flat)
                 if places and flat:
                     at = np.fromiter(map(places.get, flat, repeat(0)), dtype=np.int64, count=len(flat))
                     of = np.repeat(np.arange(len(lists)), [len(w) for w in lists])
                     pick = (at[:-1] > 0) & (at[1:] > 0) & (of[:-1] == of[1:])
-                    _hot_pairs(at[:-1][pick], at[1:][pick], of[:-1][pick], width, n, n_docs)
-            none = np.zeros(len(count), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_hashes(count)), pa.array(count.values(), pa.int64()), pa.array(none)], names=["key", "n", "docs"])
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["key", "n", "docs"])
+                    pairs.add(at[:-1][pick], at[1:][pick], of[:-1][pick], doc[k:])
+            none = pa.nulls(len(count), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(count)), pa.array(count.values(), pa.int64()), none, none], names=["key", "n", "first", "last"])
+        yield pairs.batch()
 
-    each = docs.select("text").mapInArrow(run, "key long, n long, docs long")
-    return each.groupBy("key", (F.col("docs") > 0).alias("_pair")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    each = docs.select("doc_id", "text").mapInArrow(run, _COUNTED)
+    return each.groupBy("key", F.col("first").isNotNull().alias("_pair")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def _most_frequent(counts: DataFrame, most: int) -> pa.Table:
@@ -153,19 +179,17 @@ def _hot(u: np.ndarray, v: np.ndarray, hot: int) -> np.ndarray:
 
 
 def _hot_counts(docs: DataFrame, hashes: np.ndarray, closed: bool, hot: int) -> DataFrame:
-    """``key``, ``n`` and ``docs``, the documents that have it, for the pairs of hot words of each task."""
-    width = hot + 1
+    """``key``, ``n``, ``first`` and ``last``, the outermost ids of its documents, for the pairs of hot words of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, n_docs = np.zeros(width * width, dtype=np.int64), np.zeros(width * width, dtype=np.int64)
-        for _, ids, of in _slices(batches, hashes, closed):
+        pairs = HotPairs(hot + 1)
+        for part, ids, of in _slices(batches, hashes, closed):
             u, v = ids[:-1], ids[1:]
             pick = (of[:-1] == of[1:]) & _hot(u, v, hot)
-            _hot_pairs(u[pick], v[pick], of[:-1][pick], width, n, n_docs)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(n_docs[at])], names=["key", "n", "docs"])
+            pairs.add(u[pick], v[pick], of[:-1][pick], _ids(part.column(0)))
+        yield pairs.batch()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, n long, docs long")
+    return docs.select("doc_id", "text").mapInArrow(run, _COUNTED)
 
 
 def _distinct(of: np.ndarray, g: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,25 +282,26 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabular
 
     # The pairs of hot words, all of them here.
     width = hot + 1
-    usual = (_hot_counts(thin, hashes, closed, hot) if closed else counted.filter("_pair")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow()
-    pair, n, n_docs = (usual[c].to_numpy() for c in ("key", "n", "docs"))
+    usual = (_hot_counts(thin, hashes, closed, hot) if closed else counted.filter("_pair")).groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")).toArrow()
+    pair, n = (usual[c].to_numpy() for c in ("key", "n"))
+    of_one = usual["first"].to_numpy() == usual["last"].to_numpy()
     if not closed:
         # From places among the guessed words to ids.
         ids = np.zeros(len(guessed) + 1, dtype=np.int64)
         ids[rank[:hot] + 1] = np.arange(1, hot + 1)
         u, v = ids[pair // len(ids)], ids[pair % len(ids)]
         keep = (u > 0) & (v > 0)
-        pair, n, n_docs = (u * width + v)[keep], n[keep], n_docs[keep]
+        pair, n, of_one = (u * width + v)[keep], n[keep], of_one[keep]
     scores, unseen = np.zeros(width * width), np.zeros(width * width)
-    unseen[pair] = n_docs < 2
-    scores[pair] = np.where(n_docs > 1, np.log(np.maximum(n, 1)) - logs[pair // width], backoff + logs[pair % width])
+    unseen[pair] = of_one
+    scores[pair] = np.where(of_one, backoff + logs[pair % width], np.log(np.maximum(n, 1)) - logs[pair // width])
 
     # All others. Dealt by g, which also serves the window over (g, o).
     rows = _pairs(thin, hashes, closed, hot, scores, unseen).repartition("g")
-    same = Window.partitionBy("g", "o")
-    rows = rows.withColumn("_c", F.sum("n").over(same)).withColumn("_in", F.count(F.lit(1)).over(same)).withColumn("_w", F.sum("n").over(Window.partitionBy("g")))
+    same, doc = Window.partitionBy("g", "o"), F.coalesce("doc_id", F.lit(_NO_ID))
+    rows = rows.withColumn("_c", F.sum("n").over(same)).withColumn("_several", F.max(doc).over(same) > F.min(doc).over(same)).withColumn("_w", F.sum("n").over(Window.partitionBy("g")))
     g, o, zero = F.col("g"), F.col("o"), F.lit(0).cast("long")
-    seen, rare = F.col("_in") > 1, g < 0
+    seen, rare = F.col("_several"), g < 0
     as_first = rare & (g.bitwiseAND(_FIRST) != 0)
     # Of a pair of two rare words only one of its two rows counts, and an edge never does.
     counts_here = ~rare | ((o != _EDGE) & ((o >= 0) | (seen == as_first)))

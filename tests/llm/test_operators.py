@@ -351,10 +351,10 @@ def test_lm_scores(docs, nothing):
     name = lambda w: w if w in known else None
     size = {w: count[w] for w in known} | {None: max(total - sum(count[w] for w in known), 1)}
     rows = [(i, Counter(zip(map(name, t), map(name, t[1:]), strict=False))) for i, t in texts]
-    pair, docs_with = Counter(), Counter()
+    pair = Counter()
     for _, c in rows:
         pair.update(c)
-        docs_with.update(c.keys())
+    docs_with = Counter(k for _, k in {(i, k) for i, c in rows for k in c})
     want = {}
     for i, c in rows:
         s, n, b = want.get(i, (0.0, 0, 0))
@@ -374,17 +374,18 @@ def test_lm_scores_of_all_words(spark, docs):
     more = [(2000 + i, " ".join(f"r{rng.randint(0, 400)}" for _ in range(rng.randint(1, 40)))) for i in range(60)]
     # More words than the table of frequent ones holds.
     more += [(3000 + k, " ".join(f"x{k}y{i}" for i in range(9000))) for k in range(8)]
+    more += [(5000, "aa bb cc dd"), (5000, "aa bb cc dd"), (5001, "ee ff gg"), (None, "hh ii"), (None, "hh ii r1"), (5002, "the of w1"), (5002, "the of w1")]
     more += [(None, "r1 r2 r3"), (None, "r2 r3"), (4000, "unheard of words qzx"), (4001, "qzx")]
-    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = docs.select("doc_id", "text", "lang", "_sha").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("lang", "_sha")}))
+    rows = rows.withColumnsRenamed({"lang": "g", "_sha": "first"}).withColumn("n", F.lit("clash"))
     texts = [(r.doc_id, lm_scores.words_of(r.text)) for r in rows.collect()]
     count = Counter(w for _, t in texts for w in t)
     assert len(count) > lm_scores.FREQUENT
     total = sum(count.values())
-    pair, docs_with, want = Counter(), Counter(), {}
+    pair, want = Counter(), {}
     for _, t in texts:
-        c = Counter(zip(t, t[1:], strict=False))
-        pair.update(c)
-        docs_with.update(c.keys())
+        pair.update(zip(t, t[1:], strict=False))
+    docs_with = Counter(p for _, p in {(i, p) for i, t in texts for p in zip(t, t[1:], strict=False)})
     for i, t in texts:
         s, n, b = want.get(i, (0.0, 0, 0))
         for u, v in zip(t, t[1:], strict=False):
