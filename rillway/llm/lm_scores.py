@@ -38,13 +38,14 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as _hash
 
 from rillway.llm.common import materialise, release_memory, ship_package, table
 
-FREQUENT, HOT, BACKOFF, WORDS_HELD, SAMPLE_DOCS, TEXTS_AT_ONCE = 65_535, 400, 0.4, 400_000, 16_000, 128
+FREQUENT, HOT, BACKOFF, WORDS_HELD, SAMPLE_DOCS, BYTES_AT_ONCE = 65_535, 400, 0.4, 250_000, 16_000, 1 << 18
 #: A rare word's code has the sign bit, and this bit too where it is sent as first word of a pair.
 _RARE, _FIRST = -(1 << 63), 1 << 62
 #: What stands for the missing neighbour at a text's edge, and where keys of whole documents begin,
@@ -59,6 +60,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``BYTES_AT_ONCE`` of text, of one text where that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // BYTES_AT_ONCE
+    starts = np.flatnonzero(np.diff(ends, prepend=-1))
+    yield from zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=False)
+
+
 def _hashes(words) -> np.ndarray:
     return np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
@@ -117,8 +125,8 @@ def _counted(docs: DataFrame, hot: list[bytes]) -> DataFrame:
         for batch in batches:
             doc = _ids(batch.column(0))
             count: Counter = Counter()
-            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                lists = [words_of(t) for t in batch.column(1).slice(k, TEXTS_AT_ONCE).to_pylist()]
+            for k, end in _cuts(batch.column(1)):
+                lists = [words_of(t) for t in batch.column(1).slice(k, end - k).to_pylist()]
                 flat = list(chain.from_iterable(lists))
                 count.update(flat)
                 if places and flat:
@@ -129,6 +137,7 @@ def _counted(docs: DataFrame, hot: list[bytes]) -> DataFrame:
             none = pa.nulls(len(count), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(_hashes(count)), pa.array(count.values(), pa.int64()), none, none], names=["key", "n", "first", "last"])
         yield pairs.batch()
+        release_memory()
 
     each = docs.select("doc_id", "text").mapInArrow(run, _COUNTED)
     return each.groupBy("key", F.col("first").isNotNull().alias("_pair")).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
@@ -165,8 +174,8 @@ def _slices(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, closed: bool)
     """Some documents at a time: their batch, and of each word its code and its document's place in it."""
     vocabulary = Vocabulary(hashes, closed)
     for batch in batches:
-        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            part = batch.slice(k, TEXTS_AT_ONCE)
+        for k, end in _cuts(batch.column(1)):
+            part = batch.slice(k, end - k)
             lists = [words_of(t) for t in part.column(1).to_pylist()]
             of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield part, vocabulary.ids(list(chain.from_iterable(lists))), of
