@@ -93,16 +93,32 @@ def test_confluence_and_direction(spark):
     assert {r.cleabs: (r.n_upstream, r.ordinal) for r in tree.collect()} == {"D2": (4, 1), "D1": (3, 1), "L": (1, 1), "R": (1, 2)}
 
 
-def test_cycle_and_chain_and_fictif(spark):
-    ring = S.graph(seg(spark, [("AB", "a", "b", {}), ("BA", "b", "a", {}), ("BO", "b", "out", {})]))
-    assert {r.cleabs for r in T.trace_upstream(ring, "out").collect()} == {"AB", "BA", "BO"}
-    assert {r.cleabs: r.river_id for r in R.resolve_unnamed(ring).collect()}["BO"] == "UNNAMED:out"
-    lost = S.graph(seg(spark, [("AB", "a", "b", {}), ("BA", "b", "a", {}), ("IN", "z", "b", {})]))
-    assert set(dict(pairs(R.resolve_unnamed(lost))).values()) == {"UNNAMED:a"}
-    chain = S.graph(seg(spark, [("E1", "n1", "root", {"name": "R"}), ("E2", "n2", "n1", {"name": "R"}), ("E3", "n3", "n2", {"name": "R"}), ("T1", "t1", "n3", {"name": "x"}), ("T2", "t2", "n3", {"name": "y"})]))
-    assert {r.cleabs: r.n_folded for r in T.collapse_chains(T.trace_tree(chain, "root")).collect()} == {"E1": 2, "T1": 0, "T2": 0}
-    lake = S.graph(seg(spark, [("FIC", "f", "root", {"fictif": True, "m": 50}), ("REAL", "r", "f", {"m": 800})]))
-    assert pairs(T.splice_fictitious(T.trace_tree(lake, "root")).select("cleabs", "parent")) == {("REAL", None)}
+def test_braids_that_turn_in_circles(spark):
+    # Three reaches turn around an eyot; a feeder comes in at its head, and one arm leaves for the sea.
+    eyot = [("w1", "m1", "m2", {}), ("w2", "m2", "m3", {}), ("w3", "m3", "m1", {}), ("feed", "h", "m1", {})]
+    open_ring = S.graph(seg(spark, [*eyot, ("arm", "m3", "sea", {})]))
+    assert {r.cleabs for r in T.trace_upstream(open_ring, "sea").collect()} == {"w1", "w2", "w3", "feed", "arm"}
+    assert {r.cleabs for r in T.trace_upstream(open_ring, "m2").collect()} == {"w1", "w2", "w3", "feed"}
+    assert dict(pairs(R.resolve_unnamed(open_ring)))["arm"] == "UNNAMED:sea"
+    # Without the arm nothing leaves, and all four go by the ring's first node.
+    assert dict(pairs(R.resolve_unnamed(S.graph(seg(spark, eyot))))) == dict.fromkeys(["w1", "w2", "w3", "feed"], "UNNAMED:m1")
+
+
+def test_chains_above_a_fork(spark):
+    # One reach above the foot, then two branches: one of four reaches in a row, one of two that fork again.
+    trunk = [("g", "g1", "foot", {"name": "Lauter"})]
+    long = [(f"l{k}", f"p{k}", f"p{k - 1}" if k > 1 else "g1", {"name": "Lauter"}) for k in range(1, 5)]
+    forked = [("s1", "q1", "g1", {"name": "Sulz"}), ("s2", "q2", "q1", {"name": "Sulz"}), ("u", "u0", "q2", {"name": "Ur"}), ("v", "v0", "q2", {"name": "Vils"})]
+    tree = T.trace_tree(S.graph(seg(spark, trunk + long + forked)), "foot")
+    assert {r.cleabs: r.n_folded for r in T.collapse_chains(tree).collect()} == {"g": 0, "l1": 3, "s1": 1, "u": 0, "v": 0}
+
+
+def test_fictitious_reaches_between_real_ones(spark):
+    # A lake of two drawn-in reaches lies between the outflow and two brooks.
+    rows = [("outflow", "lake", "mouth", {"m": 1200}), ("f1", "mid", "lake", {"fictif": True, "m": 90}), ("f2", "inlet", "mid", {"fictif": True, "m": 70})]
+    rows += [("brook", "b0", "inlet", {"m": 640}), ("rill", "r0", "mid", {"m": 310})]
+    spliced = T.splice_fictitious(T.trace_tree(S.graph(seg(spark, rows)), "mouth"))
+    assert pairs(spliced.select("cleabs", "parent")) == {("outflow", None), ("brook", "outflow"), ("rill", "outflow")}
 
 
 def test_cycles_of_rivers_and_nameless_forks(spark):
