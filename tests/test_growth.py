@@ -5,6 +5,8 @@ import time
 import numpy as np
 
 from rillway.functions import delineation
+from rillway.operators import courses as K
+from rillway.operators import rivers as R
 
 
 def test_many_rings_in_one_catchment():
@@ -25,3 +27,13 @@ def test_rings_counted_in_bounded_runs(monkeypatch):
     want = [r.tolist() for r in delineation.outer_rings(rings)]
     monkeypatch.setattr(delineation, "EDGES_AT_ONCE", 7)
     assert [r.tolist() for r in delineation.outer_rings(rings)] == want and delineation.outer_rings([]) == []
+
+
+def test_river_lines_by_the_batch(spark):
+    rows = [("a", "s1", [(0.0, 0.0), (1.0, 0.0)]), ("a", "s2", [(1.0, 0.0), (2.0, 0.123456)]), ("b", "s3", [(5.0, 5.0), (6.0, 6.0)]), ("c", "s4", [(7.0, 7.0)]), ("d", "s5", None)]
+    s = spark.createDataFrame(rows, "river_id string, cleabs string, line array<struct<lon:double,lat:double>>")
+    made = K.river_lines(R.Network(None, s.select("river_id", "cleabs"), None, None), s.select("cleabs", "line"))
+    plan = made._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan
+    got = {r.river_id: [[(p.lon, p.lat) for p in line] for line in r.lines] for r in made.collect()}
+    assert got == {"a": [[(0.0, 0.0), (1.0, 0.0), (2.0, 0.12346)]], "b": [[(5.0, 5.0), (6.0, 6.0)]], "c": [], "d": []}
