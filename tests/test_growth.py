@@ -3,12 +3,30 @@
 import time
 
 import numpy as np
+import pytest
 
 from rillway.functions import delineation
 from rillway.operators import courses as K
+from rillway.operators import iterate, nearest
 from rillway.operators import rivers as R
 
 
+@pytest.fixture
+def writes(monkeypatch):
+    """The number of rows of each table that the patched modules write."""
+    counts = []
+
+    def counting(df):
+        out = written(df)
+        counts.append(out.count())
+        return out
+
+    written = iterate.written
+    for module in (iterate, nearest, C):
+        monkeypatch.setattr(module, "written", counting)
+    return counts
+
+
 def test_many_rings_in_one_catchment():
     mask = np.random.default_rng(3).random((2500, 40)) < 0.5
     rings = delineation.stitch(delineation.mask_edges(mask))
@@ -37,3 +55,14 @@ def test_river_lines_by_the_batch(spark):
     assert "FlatMapGroups" not in plan
     got = {r.river_id: [[(p.lon, p.lat) for p in line] for line in r.lines] for r in made.collect()}
     assert got == {"a": [[(0.0, 0.0), (1.0, 0.0), (2.0, 0.12346)]], "b": [[(5.0, 5.0), (6.0, 6.0)]], "c": [], "d": []}
+
+
+def test_long_lines_among_few_places(spark, writes):
+    """Lines across the whole map: their squares aren't written."""
+    rng = np.random.default_rng(5)
+    ends = rng.uniform(0, 1e5, (3000, 4))
+    lines = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(ends)], "k long, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(i, float(ends[i % 5, 0]), float(ends[i % 5, 1])) for i in range(40)], "p long, px double, py double")
+    got = {r.p: (r.k, r.metres) for r in nearest.nearest_lines(points, lines).collect()}
+    assert got == {i: (i % 5, 0.0) for i in range(40)}
+    assert sum(writes) < 2 * 3000
