@@ -66,3 +66,8 @@ def test_long_lines_among_few_places(spark, writes):
     got = {r.p: (r.k, r.metres) for r in nearest.nearest_lines(points, lines).collect()}
     assert got == {i: (i % 5, 0.0) for i in range(40)}
     assert sum(writes) < 2 * 3000
+
+
+def test_forest_that_turns_falls_back(spark):
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "src string, dst string")
+    assert {(r.src, r.dst, r.depth) for r in iterate.forest_closure(links).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "b", 2), ("c", "b", 1), ("c", "c", 2)}
