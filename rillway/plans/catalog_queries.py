@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillway.operators import catalog as C
+from rillway.operators import rivers as R
 from rillway.plans.river_queries import RIVER_SQL, _with_counts, network
 from rillway.plans.tables import written
 from rillway.plans.views import LINE
@@ -69,15 +70,13 @@ def q_breadcrumb(spark, sf):
 
 def q_bbox(spark, sf):
     net = network(spark, sf)
-    from rillway.plans.river_queries import _closed
     from rillway.plans.views import LINE, view
 
     lines = view(spark, sf, LINE).select(F.concat(F.lit("T"), "k").alias("cleabs"), "lon1", "lat1", "lon2", "lat2")
-    every = net.rivers.select("river_id", F.col("river_id").alias("ancestor")).unionByName(_closed(spark, sf).select("river_id", "ancestor"))
-    own = net.segment_river.join(lines, "cleabs").groupBy(F.col("river_id").alias("ancestor")).agg(
+    own = net.segment_river.join(lines, "cleabs").groupBy("river_id").agg(
         F.min(F.least("lon1", "lon2")).alias("w"), F.min(F.least("lat1", "lat2")).alias("s"), F.max(F.greatest("lon1", "lon2")).alias("e"), F.max(F.greatest("lat1", "lat2")).alias("n")
     )
-    return every.join(own, "ancestor").groupBy("river_id").agg(*[F.round(f(c), 5).alias(c) for f, c in ((F.min, "w"), (F.min, "s"), (F.max, "e"), (F.max, "n"))])
+    return R.upstream_fold(net, own, least=["w", "s"], most=["e", "n"]).filter("w is not null").select("river_id", *[F.round(c, 5).alias(c) for c in ("w", "s", "e", "n")])
 
 
 _KIDS = """

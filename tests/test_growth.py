@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillway.functions import delineation
 from rillway.operators import courses as K
@@ -68,6 +69,39 @@ def test_long_lines_among_few_places(spark, writes):
     assert sum(writes) < 2 * 3000
 
 
+def test_pairs_of_a_forest_in_few_steps(spark, writes):
+    """Two chains of 90 and a star: each pair once, in as many tables as the depth has bits."""
+    links = [(f"a{i}", f"a{i + 1}") for i in range(90)] + [(f"b{i}", f"b{i + 1}") for i in range(90)] + [(f"s{i}", "a45") for i in range(20)]
+    flows = spark.createDataFrame(links, "src string, dst string")
+    got = R.upstream(R.Network(None, None, None, flows)).select("river_id", "ancestor", "depth").collect()
+    after = dict(links)
+    want = set()
+    for s in after:
+        at, n = s, 0
+        while at in after:
+            at, n = after[at], n + 1
+            want.add((at, s, n))
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert len(writes) <= 12
+
+
 def test_forest_that_turns_falls_back(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "src string, dst string")
     assert {(r.src, r.dst, r.depth) for r in iterate.forest_closure(links).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "b", 2), ("c", "b", 1), ("c", "c", 2)}
+
+
+def test_members_are_followed_from_basins_only(spark):
+    flows = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "b"), ("b", "d")], "src string, dst string")
+    net = R.Network(None, None, None, flows)
+    got = {(r.river_id, r.ancestor) for r in R.downstream(net, spark.createDataFrame([("a",)], "river_id string")).collect()}
+    assert got == {("b", "a"), ("c", "a"), ("d", "a")}
+
+
+def test_extremes_over_a_fork_and_a_tree(spark):
+    rivers = spark.createDataFrame([(n, None) for n in "abcd"], "river_id string, parent_id string")
+    values = spark.createDataFrame([("a", 1, "k"), ("b", 2, "z"), ("c", 4, "m"), ("d", 8, "b")], "river_id string, n long, s string")
+    for links, want in (([("a", "b"), ("b", "c"), ("d", "c")], {"a": 1, "b": 3, "c": 15, "d": 8}), ([("a", "b"), ("a", "d"), ("b", "c"), ("d", "c")], {"a": 1, "b": 3, "c": 15, "d": 9})):
+        net = R.Network(None, None, rivers, spark.createDataFrame(links, "src string, dst string"))
+        got = R.upstream_fold(net, values, ["n"], ["s"])
+        assert {r.river_id: r.n for r in got.collect()} == want
+        assert got.filter(F.col("river_id") == "c").first().s == "b"
