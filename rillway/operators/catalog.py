@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillway.operators.iterate import closure, follow
-from rillway.plans.tables import written
+from rillway.operators.iterate import chain_fold, chain_sums, follow, forest_closure
+from rillway.plans.tables import Grown, written
 
 
 def join_ranks(edges: DataFrame, segment_river: DataFrame, rivers: DataFrame) -> DataFrame:
@@ -46,6 +46,45 @@ def partition_children(rivers: DataFrame, ranks: DataFrame) -> DataFrame:
     return tagged.withColumn("ordinal", F.row_number().over(place)).drop("_k", "_pname", "hops")
 
 
+def _cut(max_depth: int | None) -> Column:
+    return F.lit(False) if max_depth is None else (F.col("depth") >= max_depth) & (F.col("n_tributaries") > 0)
+
+
+def _counted(places: DataFrame, counts: DataFrame) -> DataFrame:
+    return places.join(counts, "river_id", "left").withColumn("n_tributaries", F.coalesce("n_tributaries", F.lit(0))).withColumn("_kids", F.coalesce("_kids", F.lit(0)))
+
+
+def _by_chains(kept: DataFrame, counts: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    """The places of trees that don't hold one another, by pointer doubling: a chain that ends at a root is in its tree.
+
+    Depth grows by one at most, and only below tributaries' parents, so what is deeper than ``max_depth`` is what lies above a cut.
+    """
+    below = counts.select(F.col("river_id").alias("parent_id"), F.when(F.col("n_tributaries") > 0, 1).otherwise(0).alias("depth"))
+    links = written(kept.join(roots, "river_id", "left_anti").join(below, "parent_id"))
+    steps = links.select(F.col("river_id").alias("id"), F.col("parent_id").alias("next"), "depth").unionByName(roots.select(F.col("river_id").alias("id"), F.lit(None).cast("string").alias("next"), F.lit(0).alias("depth")))
+    at = chain_sums(steps, "depth").join(roots.select(F.col("river_id").alias("last")), "last", "left_semi").select(F.col("id").alias("river_id"), "depth", F.col("last").alias("root_id"))
+    if max_depth is not None:
+        at = at.filter(F.col("depth") <= max(max_depth, 0))
+    role = lambda c, other: F.coalesce(F.col(c), F.lit(other)).alias(c)
+    placed = at.join(links.drop("depth"), "river_id", "left").select("river_id", "parent_id", role("role", "root"), role("ordinal", 1), "depth", "root_id")
+    return _counted(placed, counts).withColumn("truncated", _cut(max_depth))
+
+
+def _by_levels(kept: DataFrame, counts: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    """The places of trees that may hold one another, a level at a time."""
+    level = written(roots.select("river_id", F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("role"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.col("river_id").alias("root_id")))
+    found = None
+    while level.take(1):
+        here = written(_counted(level, counts).withColumn("truncated", _cut(max_depth)))
+        if found is None:
+            found = Grown(here)
+        else:
+            found.append(here)
+        below = here.filter("not truncated").select(F.col("river_id").alias("parent_id"), (F.col("depth") + F.when(F.col("n_tributaries") > 0, 1).otherwise(0)).alias("depth"), "root_id")
+        level = written(kept.join(below, "parent_id").select("river_id", "parent_id", "role", "ordinal", "depth", "root_id"))
+    return found.table()
+
+
 def nodes(rivers: DataFrame, children: DataFrame, root: str | DataFrame, blacklist: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """The catalog tree under ``root``, or the trees under all of a table's ``river_id``: one row per
     river with its parent, role, depth and facts.
@@ -61,15 +100,9 @@ def nodes(rivers: DataFrame, children: DataFrame, root: str | DataFrame, blackli
     counts = written(kept.groupBy(F.col("parent_id").alias("river_id")).agg(F.count_if(F.col("role") == "tributary").alias("n_tributaries"), F.count(F.lit(1)).alias("_kids")))
     spark = rivers.sparkSession
     roots = spark.createDataFrame([(root,)], "river_id string") if isinstance(root, str) else root.select("river_id")
-    level = written(roots.select("river_id", F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("role"), F.lit(1).alias("ordinal"), F.lit(0).alias("depth"), F.col("river_id").alias("root_id")))
-    found = None
-    while level.take(1):
-        here = level.join(counts, "river_id", "left").withColumn("n_tributaries", F.coalesce("n_tributaries", F.lit(0))).withColumn("_kids", F.coalesce("_kids", F.lit(0)))
-        cut = F.lit(False) if max_depth is None else (F.col("depth") >= max_depth) & (F.col("n_tributaries") > 0)
-        here = written(here.withColumn("truncated", cut))
-        found = here if found is None else written(found.unionByName(here))
-        below = here.filter("not truncated").select(F.col("river_id").alias("parent_id"), (F.col("depth") + F.when(F.col("n_tributaries") > 0, 1).otherwise(0)).alias("depth"), "root_id")
-        level = written(kept.join(below, "parent_id").select("river_id", "parent_id", "role", "ordinal", "depth", "root_id"))
+    many = written(roots)
+    nested = many.count() > 1 and bool(kept.join(many, "river_id", "left_semi").take(1))
+    found = (_by_levels if nested else _by_chains)(kept, counts, many, max_depth)
     facts = rivers.select("river_id", "name", "length_m", "strahler", "n_upstream")
     return found.join(facts, "river_id").join(folded, "river_id", "left").select(
         "river_id", "parent_id", "role", "ordinal", "depth", "name", F.round(F.col("length_m") / 1000, 2).cast("double").alias("length_km"), "strahler", "n_upstream",
@@ -151,10 +184,10 @@ def pfafstetter(rivers: DataFrame, root: str, max_depth: int = 6, fanout: int =
         inherit = late.unionByName(big) if level + 1 == max_depth else late
         whole = written(inherit if whole is None else whole.unionByName(inherit))
         areas = big.select(F.col("river_id").alias("stem"), F.col("code").alias("prefix"))
-    up = rivers.filter("parent_id is not null").select(F.col("parent_id").alias("src"), F.col("river_id").alias("dst"))
-    above = closure(up, whole.select(F.col("river_id").alias("src"))).select(F.col("src").alias("river_id"), "dst")
-    taken = whole.unionByName(whole.join(above, "river_id").select(F.col("dst").alias("river_id"), "code"))
-    free = taken.join(codes, "river_id", "left_anti").groupBy("river_id").agg(F.max_by("code", F.length("code")).alias("code"))
+    # What lies above takes the longest code of those that it passes on its way down.
+    heard = whole.groupBy("river_id").agg(F.max_by("code", F.length("code")).alias("code"))
+    told = r.join(heard, "river_id", "left").select(F.col("river_id").alias("id"), F.col("parent_id").alias("next"), F.when(F.col("code").isNotNull(), F.struct(F.length("code").alias("n"), "code")).alias("c"))
+    free = chain_fold(told, "c", lambda x, y: F.greatest(x, y)).filter("c is not null").select(F.col("id").alias("river_id"), "c.code").join(codes, "river_id", "left_anti")
     return codes.unionByName(free).filter(F.col("river_id") != root)
 
 
@@ -171,7 +204,7 @@ def siblings(tree: DataFrame) -> DataFrame:
 def breadcrumb(tree: DataFrame) -> DataFrame:
     """All (``river_id``, ``ancestor``, ``up``) in the tree; ``up`` counts steps towards the root."""
     links = tree.filter("parent_id is not null").select(F.col("river_id").alias("src"), F.col("parent_id").alias("dst"))
-    return closure(links).select(F.col("src").alias("river_id"), F.col("dst").alias("ancestor"), F.col("depth").alias("up"))
+    return forest_closure(links).select(F.col("src").alias("river_id"), F.col("dst").alias("ancestor"), F.col("depth").alias("up"))
 
 
 def neighbourhood(tree: DataFrame, river_id: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillway.functions import delineation
+from rillway.operators import catalog as C
 from rillway.operators import courses as K
 from rillway.operators import iterate, nearest
 from rillway.operators import rivers as R
@@ -90,6 +91,19 @@ def test_forest_that_turns_falls_back(spark):
     assert {(r.src, r.dst, r.depth) for r in iterate.forest_closure(links).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "b", 2), ("c", "b", 1), ("c", "c", 2)}
 
 
+def test_catalog_of_a_deep_tree_in_few_steps(spark, writes):
+    """A chain of 80 with a tributary at each tenth place; cut at depth 3, without what lies above a banned river."""
+    kids = [(f"r{i + 1}", f"r{i}", "mainline", 1) for i in range(80)] + [(f"t{i}", f"r{i}", "tributary", 1) for i in range(0, 80, 10)]
+    children = spark.createDataFrame(kids, "river_id string, parent_id string, role string, ordinal int")
+    names = ["r0"] + [k[0] for k in kids]
+    rivers = spark.createDataFrame([(n, n, 1.0, 1, 0) for n in names], "river_id string, name string, length_m double, strahler int, n_upstream long")
+    every = {r.river_id: r for r in C.nodes(rivers, children, "r0").collect()}
+    assert set(every) == set(names) and every["r80"].depth == 8 and every["t70"].depth == 8 and every["r0"].depth == 0
+    assert len(writes) <= 14
+    cut = {r.river_id: r for r in C.nodes(rivers, children, "r0", blacklist=["t10", "r25"], max_depth=1).collect()}
+    assert set(cut) == {f"r{i}" for i in range(21)} | {"t0"} and cut["r20"].truncated and cut["r10"].n_folded == 1 and not cut["t0"].truncated
+
+
 def test_members_are_followed_from_basins_only(spark):
     flows = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "b"), ("b", "d")], "src string, dst string")
     net = R.Network(None, None, None, flows)
