@@ -119,3 +119,47 @@ def test_extremes_over_a_fork_and_a_tree(spark):
         got = R.upstream_fold(net, values, ["n"], ["s"])
         assert {r.river_id: r.n for r in got.collect()} == want
         assert got.filter(F.col("river_id") == "c").first().s == "b"
+
+
+def _walked(own, outlet, offsets):
+    """A river's mouth segment and the segments in which offsets lie, one step at a time."""
+    first = lambda k, node: max(((m, c, s, d) for c, s, d, m in own if (s, d)[k] == node), default=None)
+    at, seen, mouth = outlet, {outlet}, None
+    while e := first(0, at):
+        mouth, at = e[1], e[3]
+        if at in seen:
+            break
+        seen.add(at)
+    mouth = mouth or (first(1, outlet) or (0, None))[1]
+    found, at, seen, gone = {0.0: mouth} if mouth else {}, outlet, {outlet}, 0.0
+    while e := first(1, at):
+        found |= {o: e[1] for o in offsets if gone < o <= gone + e[0]}
+        gone, at = gone + e[0], e[2]
+        if at in seen or gone >= max(offsets):
+            break
+        seen.add(at)
+    return found
+
+
+def test_courses_in_rows_and_in_rounds(spark, monkeypatch):
+    """Rivers that braid, turn back on themselves and run on beyond their outlet: each way of walking agrees with single steps, and short rivers write nothing."""
+    rng, rows, rivers, want, offsets = np.random.default_rng(6), [], [], set(), (0.0, 3.0, 7.0, 12.0)
+    for k in range(60):
+        n = int(rng.integers(1, 12))
+        own = [(f"s{k}_{i:02}", *(f"n{x}" for x in rng.choice(6, 2, replace=False)), float(rng.integers(0, 5))) for i in range(n)]
+        outlet = own[0][2] if k % 20 else None
+        # A segment's first point tells which it is.
+        rows += [(*e, f"r{k}", [(float(k), 10.0 * i), (float(k), 10.0 * i)]) for i, e in enumerate(own)]
+        rivers.append((f"r{k}", outlet, n))
+        if outlet:
+            want |= {(f"r{k}", o, float(k), 10.0 * int(c[-2:])) for o, c in _walked(own, outlet, offsets[1:]).items()}
+    s = spark.createDataFrame(rows, "cleabs string, src string, dst string, length_m double, river_id string, line array<struct<lon:double,lat:double>>")
+    net = R.Network(s.select("cleabs", "src", "dst", "length_m"), s.select("cleabs", "river_id"), spark.createDataFrame(rivers, "river_id string, outlet string, n_segments long"), None)
+    made, write = [], K.written
+    monkeypatch.setattr(K, "written", lambda df: made.append(df) or write(df))
+    for short in (256, 5):
+        monkeypatch.setattr(K, "SHORT", short)
+        got = [tuple(r) for r in K.offset_points(net, s.select("cleabs", "line"), offsets).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+        assert {(r.river_id, 0.0, r.lon, r.lat) for r in K.outlet_points(net, s.select("cleabs", "line")).collect()} == {w for w in want if w[1] == 0}
+        assert bool(made) == (short < 12)
