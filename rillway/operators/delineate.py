@@ -36,7 +36,7 @@ def delineate(cells: DataFrame, frames: DataFrame, tries: DataFrame, lines: Data
     """
     thin = boxes.withColumn("_narrow", too_narrow(F.col("west"), F.col("south"), F.col("east"), F.col("north")))
     wide = thin.filter("not _narrow").withColumnRenamed("river_id", "key")
-    own = mosaic(wide, cells, frames).withColumnRenamed("key", "of")
+    own = mosaic(wide, cells, frames, whole=True).withColumnRenamed("key", "of")
     # A river's course, its pour points and its cell's size join as one row, of its own lines only.
     course = lines.groupBy("river_id").agg(numbered_points(F.sort_array(F.collect_list("line"))).alias("_lines"))
     points = tries.groupBy("river_id").agg(F.sort_array(F.collect_list(F.struct("seq", "offset_m", "threshold", "lon", "lat"))).alias("_tries"))
@@ -91,7 +91,7 @@ def payloads(cells: DataFrame, frames: DataFrame, rivers: DataFrame, streams: Da
     drawn = rivers.select("river_id", "rings").join(size)
     pad = MARGIN_CELLS * F.col("cell")
     near = drawn.select(F.col("river_id").alias("key"), (side(F.array_min, "lon") - pad).alias("west"), (side(F.array_min, "lat") - pad).alias("south"), (side(F.array_max, "lon") + pad).alias("east"), (side(F.array_max, "lat") + pad).alias("north"))
-    own = mosaic(near, cells, frames).withColumnRenamed("key", "river_id")
+    own = mosaic(near, cells, frames, whole=True).withColumnRenamed("key", "river_id")
     if pixels is not None:
         middle = own.join(size).select("river_id", "r", "c", ((F.col("c") + 0.5) * F.col("cell")).alias("lon"), (-(F.col("r") + 0.5) * F.col("cell")).alias("lat"))
         own = own.join(basemap.coloured(middle, pixels, zoom, ["river_id", "r", "c"]), ["river_id", "r", "c"], "left")

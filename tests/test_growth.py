@@ -10,6 +10,7 @@ from rillway.functions import delineation
 from rillway.operators import catalog as C
 from rillway.operators import courses as K
 from rillway.operators import iterate, nearest
+from rillway.operators import mosaic as M
 from rillway.operators import rivers as R
 
 
@@ -163,3 +164,33 @@ def test_courses_in_rows_and_in_rounds(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want) > 100
         assert {(r.river_id, 0.0, r.lon, r.lat) for r in K.outlet_points(net, s.select("cleabs", "line")).collect()} == {w for w in want if w[1] == 0}
         assert bool(made) == (short < 12)
+
+
+def test_mosaics_of_many_boxes_on_few_tiles(spark, monkeypatch):
+    """Tiles of unequal size that overlap, and boxes far larger, outside and within: as by hand, whatever the copies, with tasks by the boxes' cells."""
+    rng, cell = np.random.default_rng(9), 0.001
+    tiles = {"a": (0, 0, 40, 30), "b": (36, 25, 10, 10), "c": (40, 0, 5, 80), "d": (-7, -9, 9, 9)}
+    frames = spark.createDataFrame([(t, c * cell, -r * cell, cell, n, m) for t, (r, c, n, m) in tiles.items()], "tile string, west double, north double, cell double, rows int, cols int")
+    height = {(t, r, c): float(rng.integers(0, 1000)) for t, (_, _, n, m) in tiles.items() for r in range(n) for c in range(m) if rng.random() < 0.9}
+    cells = spark.createDataFrame([(*k, z) for k, z in height.items()], "tile string, r int, c int, z double")
+    spans = [(k, *(int(x) for x in rng.integers(-10, 40, 2)), *(int(x) for x in rng.integers(1, 12, 2))) for k in range(400)]
+    spans += [(400, -900, -900, 5000, 5000), (401, 500, 500, 3, 3), (402, -7, -9, 1, 1)]
+    # A box ends within cells: it holds those that it covers by any part.
+    boxes = spark.createDataFrame([(f"k{k}", (c + 0.25) * cell, -(r + n - 0.25) * cell, (c + m - 0.25) * cell, -(r + 0.25) * cell) for k, r, c, n, m in spans], "key string, west double, south double, east double, north double")
+    want, pairs = {}, set()
+    for k, r0, c0, n, m in spans:
+        for t, (tr, tc, rows, cols) in sorted(tiles.items(), reverse=True):
+            at = max(r0 - tr, 0), min(r0 + n - 1 - tr, rows - 1), max(c0 - tc, 0), min(c0 + m - 1 - tc, cols - 1)
+            if at[0] <= at[1] and at[2] <= at[3]:
+                pairs.add((f"k{k}", t, *at))
+                want |= {(f"k{k}", r + tr, c + tc): z for r in range(at[0], at[1] + 1) for c in range(at[2], at[3] + 1) if (z := height.get((t, r, c))) is not None}
+    got = [tuple(r) for r in M.met(boxes, frames).collect()]
+    assert set(got) == pairs and len(got) == len(pairs)
+    monkeypatch.setattr(M, "BOXES", 16)
+    monkeypatch.setattr(M, "CELLS", 1000)
+    for whole in (False, True):
+        made = M.mosaic(boxes, cells, frames, whole).withColumn("task", F.spark_partition_id()).collect()
+        assert {(r.key, r.r, r.c): r.z for r in made} == want and len(made) == len(want) > 8000
+        tasks = [r.task for r in made if whole is False or r.key != "k400"]
+        assert max(tasks.count(t) for t in set(tasks)) < 4000
+        assert not whole or len({(r.key, r.task) for r in made}) == len({r.key for r in made})
