@@ -88,3 +88,25 @@ def test_measured_in_lambert(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([("a", None), ("b", []), ("c", [[]])], RINGS)
     assert overlay.cover(none).count() == 0 and overlay.cover(none.filter(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("over_all", [False, True])
+def test_far_apart(spark, monkeypatch, over_all):
+    """Two groups of boxes far apart: what meets in squares doesn't grow with the extent, nor do the squares of a box over everything."""
+    rng, far, dealt = random.Random(7), 1_000_000, []
+    polygons = {f"b{g}_{k}": box(g * far + rng.randrange(30), g * far + rng.randrange(20), rng.randrange(1, 4), rng.randrange(1, 4)) for g in range(2) for k in range(600)}
+    of = {"near": [b for b in polygons if b < "b1"], "each": sorted(polygons)[::3]}
+    if over_all:
+        polygons["all"] = box(-1, -1, far + 60, far + 60)
+        of["all"] = ["all", "b0_1"]
+    for name in ("in_squares", "_boxes_in_squares"):
+        monkeypatch.setattr(overlay, name, lambda *a, deal=getattr(overlay, name): dealt.append(deal(*a)) or dealt[-1])
+    got = areas(spark, polygons, of)
+    x, y = (v.ravel() + 0.5 for v in np.mgrid[0:33, 0:23])
+    for r in ("near", "each"):
+        parts = [np.logical_or.reduce([inside(x + g * far, y + g * far, polygons[b]) for b in of[r] if b[1] == str(g)] or [np.zeros(len(x), dtype=bool)]) for g in range(2)]
+        assert got[r] == pytest.approx(sum(p.sum() for p in parts), abs=1e-3)
+    assert got.get("all", (far + 60) ** 2) == pytest.approx((far + 60) ** 2)
+    lines, boxes = [[r["count"] for r in d.groupBy("gx", "gy").count().collect()] for d in dealt]
+    assert sum(boxes) < 6 * len(polygons)
+    assert over_all or (sum(n * n for n in lines) < 100 * sum(lines) and max(boxes) < 60)
